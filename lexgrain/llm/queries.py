@@ -7,13 +7,70 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrain.llm import packing, prefix_bpe, splitting
+from lexgrain.llm import canon, packing, prefix_bpe, splitting
 from lexgrain.runtime import materialise, table
 
 CLAUSE_LIMIT, DOCUMENT_LIMIT, OVERLAP = 1500, 30_000, 150
 CONTAINER = 2048
 
 
+#: Fields of free entries and the kind of body that each asks for.
+BODY_FIELDS = {
+    "supreme_governing_body": "supreme",
+    "collegial_governing_bodies": "collegial",
+    "sole_executive_bodies": "sole",
+}
+
+
+def _body_entries(spark: SparkSession, root: str) -> DataFrame:
+    """Entries of the three fields by position; repeated deliveries count once."""
+    runs = table(spark, root, "extractions")
+    parts = []
+    for name, kind in BODY_FIELDS.items():
+        many = dict(runs.dtypes)[name].startswith("array")
+        values = F.col(name) if many else F.array(name)
+        parts.append(
+            runs.select("extraction_id", F.posexplode(values).alias("pos", "entry")).select(
+                "extraction_id",
+                F.lit(name).alias("field_name"),
+                F.lit(kind).alias("kind"),
+                F.col("pos").cast("long").alias("pos"),
+                "entry",
+            )
+        )
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.where(F.col("entry").rlike(r"[^\s\u00a0]")).dropDuplicates(
+        ["extraction_id", "field_name", "pos"]
+    )
+
+
+def p3_mapped(spark: SparkSession, root: str) -> DataFrame:
+    """Every entry with the listed body that it names and how close it is."""
+    entries = _body_entries(spark, root)
+    bodies = table(spark, root, "governing_bodies")
+    mapped = canon.map_to_reference(
+        entries, "entry", bodies, "body_id", "canonical_name", hint="kind", ref_hint="body_kind"
+    )
+    return entries.join(mapped, ["entry", "kind"], "left").select(
+        "extraction_id",
+        "field_name",
+        "pos",
+        "entry",
+        F.coalesce("body_id", F.lit(0)).cast("long").alias("body_id"),
+        "similarity",
+    )
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """Entries that are not character for character a listed name, with their body."""
+    names = table(spark, root, "governing_bodies").select(F.col("canonical_name").alias("entry"))
+    return (
+        p3_mapped(spark, root)
+        .join(names.distinct(), "entry", "left_anti")
+        .select("extraction_id", "field_name", "pos", "body_id")
+    )
+
+
 def p4_pieces(spark: SparkSession, root: str) -> DataFrame:
     """Pieces of all oversized clauses, chunks and charters."""
     # A span over the limit needs a text over the limit, which prunes the join.
@@ -78,6 +135,8 @@ def p7_containers(spark: SparkSession, root: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p3_found": p3_found,
+        "p3_mapped": p3_mapped,
         "p4_found": p4_found,
         "p4_pieces": p4_pieces,
         "p6_ids": p6_ids,
