@@ -7,13 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrain.llm import canon, packing, prefix_bpe, splitting
+from lexgrain.llm import canon, lookalikes, packing, prefix_bpe, splitting
 from lexgrain.runtime import materialise, table
 
 CLAUSE_LIMIT, DOCUMENT_LIMIT, OVERLAP = 1500, 30_000, 150
 CONTAINER = 2048
 
 
+def p2_consistent(spark: SparkSession, root: str) -> DataFrame:
+    """Values of clauses that are not in their consistent form, and that form."""
+    clauses = table(spark, root, "clauses")
+    texts = lookalikes.consistent_texts(clauses.select("clause_id", "text"), "clause_id", "text")
+    numbers = lookalikes.consistent_numbers(clauses.select("clause_id", "number"), "clause_id", "number")
+    both = texts.withColumn("field_name", F.lit("text")).unionByName(
+        numbers.withColumn("field_name", F.lit("number"))
+    )
+    return (
+        both.where("value <> consistent")
+        .dropDuplicates(["clause_id", "field_name"])
+        .select("clause_id", "field_name", "value", "consistent")
+    )
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Fields whose value differs from its consistent form."""
+    return p2_consistent(spark, root).select("clause_id", "field_name")
+
+
 #: Fields of free entries and the kind of body that each asks for.
 BODY_FIELDS = {
     "supreme_governing_body": "supreme",
@@ -135,6 +155,8 @@ def p7_containers(spark: SparkSession, root: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p2_found": p2_found,
+        "p2_consistent": p2_consistent,
         "p3_found": p3_found,
         "p3_mapped": p3_mapped,
         "p4_found": p4_found,
