@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrain.llm import canon, lookalikes, packing, prefix_bpe, splitting
+from lexgrain.llm import canon, lookalikes, neardup, packing, prefix_bpe, splitting
 from lexgrain.runtime import materialise, table
 
 CLAUSE_LIMIT, DOCUMENT_LIMIT, OVERLAP = 1500, 30_000, 150
@@ -137,6 +137,35 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return p4_pieces(spark, root).where("piece_no = 0").select("item_kind", "item_key").distinct()
 
 
+def _near_duplicates(
+    spark: SparkSession, root: str, how: neardup.NearDuplicates
+) -> dict[str, neardup.Links]:
+    kinds = {"clause": ("clauses", "clause_id", "text"), "document": ("documents_in", "doc_ord", "md_text")}
+    return {
+        kind: neardup.link(neardup.prepare(table(spark, root, name), key, text, how), how)
+        for kind, (name, key, text) in kinds.items()
+    }
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """All pairs of records whose sets of three-word runs overlap by 0.65 or more."""
+    how = neardup.NearDuplicates(words=3, threshold=0.65, least_words=20, weighted=False)
+    parts = [
+        neardup.pairs(found).select(F.lit(kind).alias("item_kind"), "key_a", "key_b")
+        for kind, found in _near_duplicates(spark, root, how).items()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p5_classes(spark: SparkSession, root: str) -> DataFrame:
+    """Class of every clause and charter: bags of five-word runs, similarity 0.8 or more."""
+    parts = [
+        neardup.classes(found).select(F.lit(kind).alias("item_kind"), "key", "class_id", "n_links")
+        for kind, found in _near_duplicates(spark, root, neardup.NearDuplicates()).items()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     """Token ids of every document."""
     docs = table(spark, root, "documents")
@@ -161,6 +190,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_mapped": p3_mapped,
         "p4_found": p4_found,
         "p4_pieces": p4_pieces,
+        "p5_found": p5_found,
+        "p5_classes": p5_classes,
         "p6_ids": p6_ids,
         "p7_containers": p7_containers,
     }
