@@ -11,20 +11,20 @@ run-together words: their letters must spell beginnings of the entry's words.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Letters of one alphabet that look like those of another, typed by mistake.
-LATIN = "ABCEHKMOPTXYaceopxyukmtbhr"
-CYRILLIC = "АВСЕНКМОРТХУасеорхуиктпвнг"
+from lexgrain.runtime import materialise
+
+#: Latin letters that look like Cyrillic ones, typed by mistake.
 _LOOKALIKE = str.maketrans("ABCEHKMOPTXYaceopxyk", "АВСЕНКМОРТХУасеорхук")
 _DIGIT_LETTERS = str.maketrans("036", "озб")
 #: Romanisation of Russian, longest first.
@@ -179,10 +179,60 @@ def _arrow_similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([similarity(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
-#: The abbreviation step ships the reference list to the workers; this is its checked size.
+#: Reference entries are kept by every worker; this is the checked size of their list.
 REFERENCE_ROWS = 100_000
 
 
+class Reference:
+    """Entries of the reference list with the weights of their tokens."""
+
+    def __init__(self, rows: list[tuple[int, str, str]], rules: Rules):
+        self.rules = rules
+        self.entries: dict[int, tuple[str, tuple[str, ...]]] = {}
+        for ref, kind, name in rows:
+            words = tuple(tokens_of(clean(name, rules), rules))
+            if words:
+                self.entries[ref] = (kind, words)
+        self.having: dict[str, list[int]] = {}
+        for ref, (_, words) in self.entries.items():
+            for word in set(words):
+                self.having.setdefault(word, []).append(ref)
+        n = len(self.entries)
+        self.weight = {w: math.log1p(n / len(refs)) for w, refs in self.having.items()}
+        self.heaviest = max(self.weight.values(), default=1.0)
+        self.whole = {
+            ref: sum(self.weight[w] for w in set(words)) for ref, (_, words) in self.entries.items()
+        }
+        self.known = [(ref, kind, words) for ref, (kind, words) in self.entries.items()]
+
+    def best(self, fixed: dict[str, list[tuple[str, float]]], hint: str) -> tuple[int, float] | None:
+        """Entry with the largest soft TF-IDF in both directions.
+
+        ``fixed``: for each typed token its vocabulary words with similarities.
+        """
+        typed_weight, total = {}, 0.0
+        for token, words in fixed.items():
+            near = max(words, key=lambda x: (x[1], x[0]), default=None)
+            typed_weight[token] = self.weight[near[0]] if near else self.heaviest
+            total += typed_weight[token]
+        of_listed: dict[int, dict[str, float]] = {}
+        of_typed: dict[int, dict[str, float]] = {}
+        for token, words in fixed.items():
+            for word, s in words:
+                for ref in self.having[word]:
+                    x, y = of_listed.setdefault(ref, {}), of_typed.setdefault(ref, {})
+                    x[word] = max(s, x.get(word, 0.0))
+                    y[token] = max(s, y.get(token, 0.0))
+        options = []
+        for ref in of_listed:
+            got = sum(s * self.weight[w] for w, s in of_listed[ref].items()) / self.whole[ref]
+            gave = sum(s * typed_weight[t] for t, s in of_typed[ref].items()) / total
+            score = round(min(got, gave), 6)
+            if score >= self.rules.entry_similarity:
+                options.append((score, self.entries[ref][0] == hint, -ref))
+        return (-max(options)[2], max(options)[0]) if options else None
+
+
 def map_to_reference(
     values: DataFrame,
     value: str,
@@ -198,106 +248,69 @@ def map_to_reference(
     Result: ``value`` (and ``hint`` if given), ``ref_id`` (null: names none),
     ``similarity``.  A hint (a kind of entry) only decides between entries that
     match equally well; otherwise the lower id wins.  Null and blank values give
-    no rows.  An empty reference list matches none.
+    no rows.  Null names are no entries; an empty reference list matches none.
     """
     rules = rules or Rules()
-    keys = ["_v", "_h"]
-    distinct = values.select(
-        F.col(value).alias("_v"), (F.col(hint) if hint else F.lit("")).alias("_h")
-    ).where(F.col("_v").isNotNull() & F.col("_v").rlike(r"[^\s ]")).distinct()
-    names = reference.select(
-        F.col(ref_id).cast("long").alias("_id"),
-        F.col(ref_name).alias("_name"),
-        (F.col(ref_hint) if ref_hint else F.lit("")).alias("_kind"),
-    ).where("_name is not null")
+    spark = values.sparkSession
+    listed = reference.select(
+        F.col(ref_id).cast("long"), (F.col(ref_hint) if ref_hint else F.lit("")), F.col(ref_name)
+    ).where(F.col(ref_name).isNotNull())
+    rows = [tuple(r) for r in listed.limit(REFERENCE_ROWS + 1).collect()]
+    if len(rows) > REFERENCE_ROWS:
+        raise ValueError(f"the reference list has more than {REFERENCE_ROWS} rows")
+    book = Reference(rows, rules)
+    words = spark.createDataFrame([(w,) for w in book.having], "_word string")
     tidy = _arrow_clean(rules)
-    forms = distinct.select("_v", "_h", tidy("_v").alias("_c")).select(
-        "_v", "_h", "_c.cleaned", "_c.tokens"
-    )
-    listed = names.select("_id", "_name", "_kind", tidy("_name").alias("_c")).select(
-        "_id", "_kind", "_c.cleaned", "_c.tokens"
-    )
-    postings = listed.select("_id", F.explode("tokens").alias("_word"))
-    total = F.broadcast(listed.agg(F.count("*").alias("_n")))
-    weight = (
-        postings.groupBy("_word")
-        .agg(F.count("*").alias("_df"))
-        .join(total)
-        .select("_word", F.log1p(F.col("_n") / F.col("_df")).alias("_w"))
+    forms = materialise(
+        values.select(F.col(value).alias("_v"), (F.col(hint) if hint else F.lit("")).alias("_h"))
+        .where(F.col("_v").isNotNull() & F.col("_v").rlike(r"[^\s\u00a0]"))
+        .distinct()
+        .select("_v", "_h", tidy("_v").alias("_c"))
+        .select("_v", "_h", "_c.cleaned", "_c.tokens")
     )
     # distinct tokens against the vocabulary, over shared letter pairs
-    typed = forms.select(F.explode("tokens").alias("_t")).distinct()
+    longer = F.greatest(F.length("_t"), F.length("_word"))
     fixed = (
-        typed.withColumn("_p", F.explode(_arrow_pairs("_t")))
-        .join(weight.select("_word", F.explode(_arrow_pairs("_word")).alias("_p")), "_p")
-        .where(F.abs(F.length("_t") - F.length("_word")) <= 0.42 * F.greatest(F.length("_t"), F.length("_word")) + 1)
+        forms.select(F.explode("tokens").alias("_t"))
+        .distinct()
+        .withColumn("_p", F.explode(_arrow_pairs("_t")))
+        .join(words.withColumn("_p", F.explode(_arrow_pairs("_word"))), "_p")
+        .where(F.abs(F.length("_t") - F.length("_word")) <= 0.42 * longer + 1)
         .select("_t", "_word")
         .distinct()
         .withColumn("_s", _arrow_similarity("_t", "_word"))
         .where(F.col("_s") >= rules.token_similarity)
+        .groupBy("_t")
+        .agg(F.sort_array(F.collect_list(F.struct("_word", "_s"))).alias("_near"))
     )
-    heaviest = F.broadcast(weight.agg(F.coalesce(F.max("_w"), F.lit(1.0)).alias("_max")))
-    entry = forms.select(*keys, F.explode("tokens").alias("_t"))
-    # weight of a typed token: that of the word it is closest to, else the largest
-    closest = fixed.join(weight, "_word").groupBy("_t").agg(F.max_by("_w", "_s").alias("_tw"))
-    typed_weight = (
-        entry.join(closest, "_t", "left")
-        .join(heaviest)
-        .groupBy(*keys)
-        .agg(F.sum(F.coalesce("_tw", "_max")).alias("_all_typed"))
+    gathered = (
+        forms.select("_v", "_h", "cleaned", F.explode_outer("tokens").alias("_t"))
+        .join(fixed, "_t", "left")
+        .groupBy("_v", "_h", "cleaned")
+        .agg(F.collect_list(F.struct("_t", "_near")).alias("_tokens"))
     )
-    listed_weight = postings.join(weight, "_word").groupBy("_id").agg(F.sum("_w").alias("_all_listed"))
-    hits = entry.join(fixed, "_t").join(postings, "_word").join(weight, "_word").join(closest, "_t")
-    # each token of either side counts once, with its best partner
-    of_listed = (
-        hits.groupBy(*keys, "_id", "_word").agg(F.max("_s").alias("_s"), F.first("_w").alias("_w"))
-        .groupBy(*keys, "_id").agg(F.sum(F.col("_s") * F.col("_w")).alias("_got_listed"))
-    )
-    of_typed = (
-        hits.groupBy(*keys, "_id", "_t").agg(F.max("_s").alias("_s"), F.first("_tw").alias("_w"))
-        .groupBy(*keys, "_id").agg(F.sum(F.col("_s") * F.col("_w")).alias("_got_typed"))
-    )
-    scored = (
-        of_listed.join(of_typed, [*keys, "_id"])
-        .join(listed_weight, "_id")
-        .join(typed_weight, keys)
-        .join(listed.select("_id", "_kind"), "_id")
-        .withColumn(
-            "_score",
-            F.round(
-                F.least(
-                    F.col("_got_listed") / F.col("_all_listed"), F.col("_got_typed") / F.col("_all_typed")
-                ),
-                6,
-            ),
-        )
-        .where(F.col("_score") >= rules.entry_similarity)
-    )
-    best = Window.partitionBy(*keys).orderBy(
-        F.desc("_score"), F.desc((F.col("_kind") == F.col("_h")).cast("int")), "_id"
-    )
-    matched = scored.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").select(*keys, "_id", "_score")
-    rest = forms.join(matched.select(*keys), keys, "left_anti").select(*keys, "cleaned", "tokens")
-    rows = listed.select("_id", "_kind", "tokens", "cleaned").limit(REFERENCE_ROWS + 1).collect()
-    if len(rows) > REFERENCE_ROWS:
-        raise ValueError(f"the reference list has more than {REFERENCE_ROWS} rows")
-    known = [(r._id, r._kind, tuple(re.findall(r"[^\W_]+", r.cleaned))) for r in rows]
-    known = [k for k in known if k[2]]
 
-    def abbreviations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for v, h, cleaned in zip(batch["_v"], batch["_h"], batch["cleaned"]):
-                found = shorthand(cleaned, h, known, rules)
-                out.append((v, h, *(found or (None, None))))
-            yield pd.DataFrame(out, columns=["_v", "_h", "_id", "_score"]).astype(
-                {"_id": "Int64", "_score": "float64"}
+            v, h, cleaned, tokens = (batch.column(i).to_pylist() for i in range(4))
+            found = []
+            for kind, text, near in zip(h, cleaned, tokens):
+                typed = {
+                    x["_t"]: [(y["_word"], y["_s"]) for y in x["_near"] or []] for x in near if x["_t"]
+                }
+                best = book.best(typed, kind) if typed else None
+                found.append(best or shorthand(text, kind, book.known, rules) or (None, None))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array([x[0] for x in found], pa.int64()),
+                    pa.array([x[1] for x in found], pa.float64()),
+                ],
+                names=["_v", "_h", "_id", "_score"],
             )
 
-    short = rest.select(*keys, "cleaned").mapInPandas(
-        abbreviations, "_v string, _h string, _id long, _score double"
-    )
-    result = matched.unionByName(short)
+    result = gathered.mapInArrow(choose, "_v string, _h string, _id long, _score double")
     columns = [F.col("_v").alias(value)]
     if hint:
         columns.append(F.col("_h").alias(hint))
