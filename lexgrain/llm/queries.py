@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrain.llm import canon, lookalikes, neardup, packing, prefix_bpe, splitting
+from lexgrain.llm import canon, lookalikes, neardup, packing, prefix_bpe, splitting, subjects
 from lexgrain.runtime import materialise, table
 
 CLAUSE_LIMIT, DOCUMENT_LIMIT, OVERLAP = 1500, 30_000, 150
@@ -182,6 +182,24 @@ def p7_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(_token_counts(spark, root), "doc_id", "n", CONTAINER)
 
 
+def p8_subjects(spark: SparkSession, root: str) -> DataFrame:
+    """Subject areas of every document, with the model's logits."""
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    areas = [r[0] for r in table(spark, root, "subject_areas").select("subject_id").orderBy("subject_id").collect()]
+    trained = subjects.train(docs, table(spark, root, "subject_labels"), "doc_id", "text", "subject_id", areas)
+    return subjects.score(docs, "doc_id", "text", trained, areas)
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    """Areas of the documents that have no hand label."""
+    labelled = table(spark, root, "subject_labels").select("doc_id").distinct()
+    return (
+        p8_subjects(spark, root)
+        .select("doc_id", F.explode("subject_ids").alias("subject_id"))
+        .join(labelled, "doc_id", "left_anti")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
@@ -194,6 +212,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_classes": p5_classes,
         "p6_ids": p6_ids,
         "p7_containers": p7_containers,
+        "p8_found": p8_found,
+        "p8_subjects": p8_subjects,
     }
 
 
