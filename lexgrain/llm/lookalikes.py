@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexgrain.runtime import materialise
+
 #: Letters that look alike in Latin, Cyrillic and Greek; "." where there is none.
 _LATIN = "ABCEHIJKMOPSTXYaceijopsxyVbuknvg"
 _CYRIL = "АВСЕНІЈКМОРЅТХУасеіјорѕху......."
@@ -42,10 +45,21 @@ _DOTS = "․．。·"
 _LABEL = re.compile(rf"^(\W*?)([0-9{_GLYPHS}]{{1,3}}(?:\.[0-9{_GLYPHS}]{{1,3}})+)(?=[.)*|\s]|$)")
 _NUMBER = re.compile(rf"[0-9{_GLYPHS}]+(?:\.[0-9{_GLYPHS}]+)*\.?")
 _WORD = re.compile(r"[^\W\d_]+")
-#: Rows that may need repair: outside this set, or Latin and Cyrillic side by side.
-#: The operator's rules look at the rest of each such row; all others are consistent.
-ORDINARY = r"[^\n -~А-Яа-яЁё№§²½°…«»—]|[A-Za-z][А-Яа-яЁё]|[А-Яа-яЁё][A-Za-z]"
-_LABEL_SUSPECT = rf"^[^\p{{L}}\p{{N}}]*(?:[0-9]+\.)*[0-9]*[{_GLYPHS}][0-9{_GLYPHS}]?\."
+#: Texts that may need repair hold a character outside this set ...
+_ODD = re.compile(r"[^\n -~А-Яа-яЁё№§²½°…«»—]")
+#: ... or Latin and Cyrillic side by side, or a letter in their number label.
+_LATIN_LETTER = re.compile("[A-Za-z]")
+_SIDE_BY_SIDE = re.compile("[A-Za-z][А-Яа-яЁё]|[А-Яа-яЁё][A-Za-z]")
+_LABEL_SUSPECT = re.compile(rf"[^\w]*[0-9.]*[{_GLYPHS}][0-9{_GLYPHS}]{{0,2}}\.")
+
+
+def suspect(text: str) -> bool:
+    """Whether a text has anything that could be inconsistent."""
+    return bool(
+        _ODD.search(text)
+        or _LABEL_SUSPECT.match(text)
+        or (_LATIN_LETTER.search(text) and _SIDE_BY_SIDE.search(text))
+    )
 
 
 def _map_char(c: str) -> str:
@@ -134,26 +148,21 @@ def readings(word: str) -> list[str]:
     return [f for _, _, f in sorted(forms) if f != word]
 
 
-_SPELL_TYPE = T.StructType(
-    [
-        T.StructField("plain", T.StringType()),
-        T.StructField("words", T.ArrayType(T.StringType())),
-    ]
-)
-
-
-@F.arrow_udf(_SPELL_TYPE)
-def _spell(texts: pa.Array) -> pa.Array:
-    plain, words = [], []
-    for text in texts.to_pylist():
-        text = None if text is None else plain_text(text)
-        plain.append(text)
-        words.append(
-            [] if text is None else sorted({w for w in _WORD.findall(text) if not w.isascii() and readings(w)})
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Plain text and words of several scripts of each suspect text."""
+    for batch in batches:
+        keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        rows = []
+        for key, text in zip(keys, texts):
+            if text and suspect(text):
+                plain = plain_text(text)
+                words = {w for w in _WORD.findall(plain) if not w.isascii() and readings(w)}
+                rows.append((key, text, plain, sorted(words)))
+        columns = list(zip(*rows)) if rows else [(), (), (), ()]
+        kinds = (batch.schema.field(0).type, pa.string(), pa.string(), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["_k", "_v", "_plain", "_words"]
         )
-    return pa.StructArray.from_arrays(
-        [pa.array(plain, pa.string()), pa.array(words, pa.list_(pa.string()))], names=["plain", "words"]
-    )
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
@@ -199,9 +208,9 @@ def consistent_texts(rows: DataFrame, key: str, text: str) -> DataFrame:
     ones.  Repeated keys give one row each.  Words without a reading in one
     script stay as they are.  The corpus vocabulary is that of ``rows``.
     """
-    odd = rows.where(F.col(text).rlike(ORDINARY) | F.col(text).rlike(_LABEL_SUSPECT))
-    spelled = odd.select(F.col(key).alias("_k"), F.col(text).alias("_v"), _spell(text).alias("_s")).select(
-        "_k", "_v", F.col("_s.plain").alias("_plain"), F.col("_s.words").alias("_words")
+    kind = dict(rows.dtypes)[key]
+    spelled = materialise(
+        rows.select(key, text).mapInArrow(_spell, f"_k {kind}, _v string, _plain string, _words array<string>")
     )
     candidates = (
         spelled.select(F.explode("_words").alias("_w"))
