@@ -7,13 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrain.llm import canon, lookalikes, neardup, packing, prefix_bpe, splitting, subjects
+from lexgrain.llm import canon, lookalikes, neardup, ocr_repair, packing, prefix_bpe, splitting, subjects
 from lexgrain.runtime import materialise, table
 
 CLAUSE_LIMIT, DOCUMENT_LIMIT, OVERLAP = 1500, 30_000, 150
 CONTAINER = 2048
 
 
+def _repaired(spark: SparkSession, root: str) -> DataFrame:
+    charters = table(spark, root, "documents_in")
+    scanned = charters.where("recognizer = 'ocr'").select("doc_id", "md_text")
+    clean = charters.where("recognizer <> 'ocr'").select("md_text")
+    return ocr_repair.repair_documents(scanned, "doc_id", "md_text", clean, "md_text")
+
+
+def p1_repaired(spark: SparkSession, root: str) -> DataFrame:
+    """Scanned charters as continuous paragraphs."""
+    return _repaired(spark, root).select("doc_id", "repaired").dropDuplicates(["doc_id"])
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of scanned charters that are page furniture, end in a broken word or are misread."""
+    return (
+        _repaired(spark, root)
+        .select("doc_id", F.explode("found").alias("f"))
+        .select("doc_id", "f.line_no", "f.kind")
+        .distinct()
+    )
+
+
 def p2_consistent(spark: SparkSession, root: str) -> DataFrame:
     """Values of clauses that are not in their consistent form, and that form."""
     clauses = table(spark, root, "clauses")
@@ -202,6 +224,8 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_repaired": p1_repaired,
         "p2_found": p2_found,
         "p2_consistent": p2_consistent,
         "p3_found": p3_found,
