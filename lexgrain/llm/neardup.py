@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from lexgrain.runtime import materialise
 
 _WORD = re.compile(r"[^\W_]+")
-_MEMO_WORDS = 500_000
+_MEMO_WORDS = 200_000
 _U = np.uint64
 
 
@@ -44,7 +44,7 @@ class NearDuplicates:
     threshold: float = 0.8
     least_words: int = 0
     rows: int = 4
-    bands: int = 32
+    bands: int = 24
     weighted: bool = True
     #: Buckets with more records than this are compared in blocks of this size.
     block: int = 256
@@ -174,6 +174,9 @@ def signatures(record: np.ndarray, element: np.ndarray, weight: np.ndarray, n: i
     return out.reshape(n, m)
 
 
+#: Keys of candidates are broadcast up to this number (16 MB), joined by a shuffle beyond.
+BROADCAST_KEYS = 1_000_000
+
 _PREPARED = T.StructType(
     [
         T.StructField("key", T.LongType()),
@@ -182,7 +185,7 @@ _PREPARED = T.StructType(
         T.StructField("bag", T.BinaryType()),
     ]
 )
-_BATCH_WORDS = 400_000
+_BATCH_WORDS = 150_000
 
 
 def prepare(records: DataFrame, key: str, text: str, how: NearDuplicates) -> DataFrame:
@@ -196,7 +199,7 @@ def prepare(records: DataFrame, key: str, text: str, how: NearDuplicates) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, bags, counts, words = [], [], [], 0
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k, t in _one_by_one(batch):
                 hashes, n = shingles(t, how.words) if t else (np.zeros(0, _U), 0)
                 if n < how.least_words or not len(hashes):
                     continue
@@ -216,6 +219,13 @@ def prepare(records: DataFrame, key: str, text: str, how: NearDuplicates) -> Dat
     )
 
 
+def _one_by_one(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows of a batch, few of them as Python strings at a time."""
+    for at in range(0, batch.num_rows, 256):
+        part = batch.slice(at, 256)
+        yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+
+
 def _rows(keys: list, bags: list, counts: list, how: NearDuplicates) -> pa.RecordBatch:
     m = how.components
     record = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
@@ -279,10 +289,25 @@ def _alike(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.nda
     return np.concatenate(left), np.concatenate(right)
 
 
-def _block_pairs(how: NearDuplicates):
-    # four standard deviations below the threshold: whatever may reach it is verified
+def least_equal(how: NearDuplicates) -> int:
+    """Equal components that a pair needs to be verified: four standard deviations
+    below what is expected at the threshold."""
     spread = (how.threshold * (1 - how.threshold) / how.components) ** 0.5
-    least = max(1, int(how.components * (how.threshold - 4 * spread)))
+    return max(1, int(how.components * (how.threshold - 4 * spread)))
+
+
+@F.arrow_udf(T.IntegerType())
+def _agreement(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Equal components of two signatures."""
+    if not len(a):
+        return pa.array([], pa.int32())
+    x = np.frombuffer(b"".join(a.to_pylist()), np.uint16).reshape(len(a), -1)
+    y = np.frombuffer(b"".join(b.to_pylist()), np.uint16).reshape(len(b), -1)
+    return pa.array((x == y).sum(axis=1).astype(np.int32))
+
+
+def _block_pairs(how: NearDuplicates):
+    least = least_equal(how)
 
     def run(group: pa.Table) -> pa.Table:
         keys = np.array(group.column("key").to_pylist(), dtype=np.int64)
@@ -315,12 +340,15 @@ def link(prepared: DataFrame, how: NearDuplicates) -> Links:
     count once.
     """
     table = materialise(prepared)
-    spark = table.sparkSession
-    copies = table.groupBy("print").agg(F.min("key").alias("rep"))
-    members = table.select("key", "print").distinct().join(copies, "print").select("key", "rep")
-    # one row for each different bag
-    different = table.join(copies.select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"])
-    different = materialise(different)
+    # one signature for each different bag, under the smallest key that has it
+    first = table.groupBy("print").agg(F.min(F.struct("key", "signature")).alias("m"))
+    different = materialise(first.select("print", F.col("m.key").alias("key"), F.col("m.signature").alias("signature")))
+    members = (
+        table.select("key", "print")
+        .distinct()
+        .join(different.select("print", F.col("key").alias("rep")), "print")
+        .select("key", "rep")
+    )
     bands = different.select("key", F.explode(_bands(how.rows)("signature")).alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     bucket = materialise(bands.join(shared, "band"))
@@ -348,13 +376,26 @@ def link(prepared: DataFrame, how: NearDuplicates) -> Links:
         )
     )
     blocked = many.groupBy("band", "p", "q").applyInArrow(_block_pairs(how), "key_a long, key_b long")
-    candidates = near.unionByName(blocked).distinct()
-    bags = different.select("key", "bag")
+    # signatures rule out what only shares a band by chance
+    signs = different.select("key", "signature")
+    promising = (
+        near.distinct()
+        .join(signs.select(F.col("key").alias("key_a"), F.col("signature").alias("s")), "key_a")
+        .join(signs.select(F.col("key").alias("key_b"), F.col("signature").alias("t")), "key_b")
+        .where(_agreement("s", "t") >= least_equal(how))
+        .select("key_a", "key_b")
+    )
+    candidates = materialise(promising.unionByName(blocked).distinct())
+    # only bags of candidates travel; their keys go to the bags if they are few
+    wanted = materialise(candidates.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct())
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    bags = materialise(table.select("key", "bag").join(few, "key", "left_semi"))
     links = (
         candidates.join(bags.select(F.col("key").alias("key_a"), F.col("bag").alias("bag_a")), "key_a")
         .join(bags.select(F.col("key").alias("key_b"), F.col("bag").alias("bag_b")), "key_b")
         .select("key_a", "key_b", _overlap("bag_a", "bag_b").alias("similarity"))
         .where(F.col("similarity") >= how.threshold)
+        .dropDuplicates(["key_a", "key_b"])
     )
     return Links(members, materialise(links))
 
