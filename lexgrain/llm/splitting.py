@@ -43,9 +43,8 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
     if not len(at):
         return at, np.zeros(0, np.int64)
     # start of the run of white space before each candidate
-    word_ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    index = np.searchsorted(word_ends, at, side="left") - 1
-    run = np.where(index >= 0, word_ends[np.maximum(index, 0)], 0)
+    word_ends = np.concatenate([[0], np.flatnonzero(~space[:-1] & space[1:]) + 1])
+    run = word_ends[np.searchsorted(word_ends, at, side="left") - 1]
     breaks = np.concatenate([[0], np.cumsum(np.isin(codes, _LINES))])
     lines = breaks[at] - breaks[run]
     before = codes[np.maximum(run - 1, 0)]
@@ -84,12 +83,17 @@ class RangeMaximum:
         return int(max(row[low], row[high - (1 << k)])) & ((1 << 40) - 1)
 
 
+def _parts_a_mark(text: str, at: int) -> bool:
+    """Whether a cut would part a mark or a joiner from its base character."""
+    if not 0 < at < len(text):
+        return False
+    return bool(unicodedata.combining(text[at])) or text[at] in "\u200d\ufe0f" or text[at - 1] == "\u200d"
+
+
 def _plain_cut(text: str, at: int, least: int) -> int:
     """``at``, moved left so that no mark is parted from its base character."""
     cut = at
-    while cut > least and (
-        unicodedata.combining(text[cut]) or text[cut] in "‍️" or text[cut - 1] == "‍"
-    ):
+    while cut > least and _parts_a_mark(text, cut):
         cut -= 1
     return cut if cut > least else at
 
@@ -131,7 +135,8 @@ def split_spans(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
             if i < len(at) and at[i] <= end:
                 start = int(at[i])
             else:
-                start = _plain_cut(text, start, spans[-1][0])
+                while start < end and _parts_a_mark(text, start):
+                    start += 1
         if start <= spans[-1][0]:
             start = end
     spans.append((start, n))
