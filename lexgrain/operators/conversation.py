@@ -31,9 +31,9 @@ def calls(messages: DataFrame) -> DataFrame:
 def replies(messages: DataFrame) -> DataFrame:
     """Tool messages with the call they answer: ``conv_id``, ``turn``, ``tool_call_id``, ``name``.
 
-    A message with an id of a call answers it.  One without is matched to the
-    pending calls of the last assistant message before it, first in first out.
-    Orphans keep the name ``tool``.
+    A message with an id answers that call; one without takes the calls of the last
+    assistant message before it in their order, first in first out.  Messages with
+    an unknown id, and more of them than calls, are orphans named ``tool``.
     """
     asked = calls(messages)
     ordered = Window.partitionBy("conv_id").orderBy("turn")
@@ -45,13 +45,12 @@ def replies(messages: DataFrame) -> DataFrame:
     ).dropDuplicates(["_conv", "_id"])
     same = (F.col("conv_id") == F.col("_conv")) & (F.col("tool_call_id") == F.col("_id"))
     named = tools.join(known, same, "left").drop("_conv")
-    direct = named.where("_id is not null")
-    orphans = named.where("_id is null").drop("_id", "_name")
-    answered = direct.select("conv_id", F.col("_id").alias("id")).distinct()
-    pending = asked.join(answered, ["conv_id", "id"], "left_anti")
-    nth_pending = Window.partitionBy("conv_id", "turn").orderBy("pos")
+    nameless = F.coalesce("tool_call_id", F.lit("")) == ""
+    direct = named.where(~nameless)
+    orphans = named.where(nameless).drop("_id", "_name")
+    nth_call = Window.partitionBy("conv_id", "turn").orderBy("pos")
     nth_orphan = Window.partitionBy("conv_id", "_last").orderBy("turn")
-    queue = pending.withColumn("_n", F.row_number().over(nth_pending)).select(
+    queue = asked.withColumn("_n", F.row_number().over(nth_call)).select(
         "conv_id", F.col("turn").alias("_last"), "_n", F.col("id").alias("_id"), F.col("name").alias("_name")
     )
     matched = orphans.withColumn("_n", F.row_number().over(nth_orphan)).join(queue, ["conv_id", "_last", "_n"], "left")
@@ -80,6 +79,7 @@ def usage(messages: DataFrame, conv: str, tokens: str, total: str) -> DataFrame:
 
 _INVOKE = re.compile(r"<invoke\s+name\s*=\s*[\"']?([\w.-]+)[\"']?\s*>(.*?)(?=</invoke>|<invoke\s|\Z)", re.S)
 _ARGUMENT = re.compile(r"<parameter\s+name\s*=\s*[\"']?([\w.-]+)[\"']?\s*>(.*?)(?=</parameter>|<parameter\s|</invoke>|\Z)", re.S)
+_TAG = re.compile(r"<([A-Za-z_][\w.-]*)>(.*?)</\1>", re.S)
 _CALL = T.ArrayType(
     T.StructType([T.StructField("name", T.StringType()), T.StructField("args", T.MapType(T.StringType(), T.StringType()))])
 )
@@ -90,7 +90,8 @@ def markup_calls(text: str | None) -> list[dict]:
     out = []
     for name, body in _INVOKE.findall(text or ""):
         args = {}
-        for key, value in _ARGUMENT.findall(body):
+        # parameters by name or, in the other dialect, tags of their own
+        for key, value in _ARGUMENT.findall(body) or _TAG.findall(body):
             value = value.strip()
             try:
                 decoded = json.loads(value)
@@ -107,3 +108,39 @@ def parsed_calls(texts: pa.Array) -> pa.Array:
     """Column of the tool calls in a text (see :func:`markup_calls`)."""
     kind = pa.list_(pa.struct([("name", pa.string()), ("args", pa.map_(pa.string(), pa.string()))]))
     return pa.array([[{"name": c["name"], "args": list(c["args"].items())} for c in markup_calls(t)] for t in texts.to_pylist()], kind)
+
+
+#: Kinds of content blocks that a model of text can't read.
+BINARY_KINDS = ("file", "image", "image_url", "input_file", "document", "media", "audio")
+HINT = "[binary content removed; read the file's text instead]"
+
+
+def text_blocks(blocks: Column | str) -> Column:
+    """Content blocks (array of struct with type and text) without binary ones.
+
+    If something was removed and no text is left, a hint takes its place.
+    """
+    blocks = F.col(blocks) if isinstance(blocks, str) else blocks
+    kept = F.filter(blocks, lambda b: ~b["type"].isin(*BINARY_KINDS))
+    hint = F.array(F.struct(F.lit("text").alias("type"), F.lit(HINT).alias("text")))
+    bare = (F.size(kept) < F.size(blocks)) & ~F.exists(kept, lambda b: b["type"] == "text")
+    return F.when(bare, F.concat(kept, hint)).otherwise(kept)
+
+
+def trace(messages: DataFrame, most: int = 6000) -> DataFrame:
+    """One line for each tool step of a conversation, in order: ``conv_id``, ``trace``.
+
+    ``messages`` needs ``content``; calls without a reply have an empty output.
+    """
+    asked = calls(messages).select("conv_id", "turn", "pos", "id", "name")
+    answers = replies(messages).join(messages.select("conv_id", "turn", "content"), ["conv_id", "turn"])
+    outputs = answers.groupBy("conv_id", F.col("tool_call_id").alias("id")).agg(F.min_by("content", "turn").alias("_out"))
+    known = asked.join(outputs, ["conv_id", "id"], "left").select("conv_id", "turn", "pos", "name", "_out")
+    orphans = answers.where("name = 'tool'").select("conv_id", "turn", F.lit(0).alias("pos"), "name", F.col("content").alias("_out"))
+    steps = known.unionByName(orphans)
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "pos")) - 1
+    shown = F.regexp_replace(F.substring(F.coalesce("_out", F.lit("")), 1, 120), "\n", " ")
+    lines = steps.select("conv_id", nth.alias("_n"), F.concat(F.lit("["), nth, F.lit("] "), "name", F.lit(" → "), shown).alias("_l"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_l"))), lambda x: x["_l"]), "\n")
+    cut = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("\n... (truncated)"))).otherwise(text)
+    return lines.groupBy("conv_id").agg(cut.alias("trace"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Weights of verdicts; an unknown verdict weighs 0.
-WEIGHTS = {"correct": 1.0, "minor_error": 0.7, "significant_error": 0.0}
+WEIGHTS = {"correct": 1.0, "not_significant_error": 0.7, "significant_error": 0.0}
 
 
 def weight(status: Column | str) -> Column:
@@ -48,3 +48,11 @@ def replaced_first(text: Column, old: Column, new: Column) -> Column:
     """Text with the first occurrence of ``old`` replaced; unchanged if there is none."""
     pos = F.call_function("locate", old, text)
     return F.when(pos > 0, F.concat(F.substring(text, F.lit(1), pos - 1), new, F.substring(text, pos + F.length(old), F.length(text)))).otherwise(text)
+
+
+def training_report(results: DataFrame, key: str) -> DataFrame:
+    """One markdown section for each sample (``before``, ``after``, ``accepted``): ``key``, ``section``."""
+    delta = F.col("after") - F.col("before")
+    verdict = F.when(F.col("accepted"), "accepted").when(F.col("accepted").isNull(), "no edits").otherwise("rolled back")
+    line = F.format_string("## %s\n\n| before | after | delta | result |\n|---|---|---|---|\n| %.2f | %.2f | %+.2f | %s |\n", F.col(key), F.col("before"), F.col("after"), delta, verdict)
+    return results.select(key, line.alias("section"))

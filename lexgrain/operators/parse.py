@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexgrain.functions import text as X
+from lexgrain.runtime import materialise
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -234,19 +235,54 @@ def window_spans(length: Column, size: int, overlap: int) -> Column:
     )
 
 
-def ordinals(rows: DataFrame, group: str, *order: str, name: str) -> DataFrame:
+def section_spans(of: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Sections with the character range of their lines: ``span_start``, ``span_end``."""
+    offsets = of.select(key, "line_no", "start", (F.col("start") + F.length("line")).alias("_stop"))
+    first = offsets.select(key, F.col("line_no").alias("line_start"), F.col("start").alias("span_start"))
+    # the section ends where the line after it starts, or with the text
+    after = offsets.select(key, F.col("line_no").alias("line_end"), F.col("start").alias("_after"))
+    whole = offsets.groupBy(key).agg(F.max("_stop").alias("_n"))
+    return (
+        found.join(first, [key, "line_start"])
+        .join(after, [key, "line_end"], "left")
+        .join(whole, key)
+        .withColumn("span_end", F.coalesce("_after", "_n").cast("long"))
+        .drop("_after", "_n")
+    )
+
+
+def contained(clauses: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """Pairs of a section and a clause whose span lies in it: ``key``, ``section_key``,
+    ``line_start`` and the clause's columns."""
+    inner = spans.select(F.col(key).alias("_k"), F.col("section_key").alias("in_section"), "line_start", F.col("span_start").alias("_a"), F.col("span_end").alias("_b"))
+    within = (F.col(key) == F.col("_k")) & (F.col("span_start") >= F.col("_a")) & (F.col("span_end") <= F.col("_b"))
+    return clauses.join(inner, within).drop("_k", "_a", "_b")
+
+
+def ordinals(rows: DataFrame, group: str, *order: str, name: str, parts: int | None = None) -> DataFrame:
     """Dense ids from 0 in the order of ``group`` and, within it, of ``order``.
 
-    Two passes: a running total over the groups' counts (one row a group) and a
-    row number within each group, so that no window spans the whole table's rows.
+    Counts by group are spread over range partitions; their totals (one row a
+    partition) give each partition its base, a window within the partition each
+    group's, a window within the group each row's.  No window spans the table.
+    ``rows`` is read twice: pass a materialised table.
     """
+    spark = rows.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = rows.groupBy(group).count()
-    running = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select(group, F.coalesce(F.sum("count").over(running), F.lit(0)).alias("_base"))
+    # partitions by range are only known once written
+    placed = materialise(counts.repartitionByRange(n, group).withColumn("_part", F.spark_partition_id()))
+    totals = placed.groupBy("_part").agg(F.sum("count").alias("_total"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("_part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base"))
+    before = Window.partitionBy("_part").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("count").over(before), F.lit(0))
+    # one row a partition: as many as ``n``
+    based = placed.withColumn("_off", offset).join(F.broadcast(bases), "_part")
     within = Window.partitionBy(group).orderBy(*order)
     return (
         rows.withColumn("_rn", F.row_number().over(within) - 1)
-        .join(base, group)
-        .withColumn(name, (F.col("_base") + F.col("_rn")).cast("long"))
-        .drop("_base", "_rn")
+        .join(based.select(group, (F.col("_base") + F.col("_off")).alias("_first")), group)
+        .withColumn(name, (F.col("_first") + F.col("_rn")).cast("long"))
+        .drop("_first", "_rn")
     )

@@ -63,15 +63,29 @@ class Index:
             raise RuntimeError("this search needs vectors; the index has none")
         return self.tables["vectors"]
 
-    def section_vectors(self) -> DataFrame:
-        """Mean of the vectors of the units whose clause lies in a section, at length 1."""
-        spans = self.tables["clauses"].select("clause_id", "doc_id", "number", "section_key")
-        inside = spans.select("clause_id", "doc_id", F.explode(fusion.X.ancestors(fusion.effective_key("number", "section_key"))).alias("section_key"))
-        keys = self.tables["sections"].select("doc_id", "section_key").distinct()
-        rows = inside.join(keys, ["doc_id", "section_key"]).join(self.tables["units"].select("clause_id", "unit_id"), "clause_id")
-        named = rows.join(self.unit_vectors, "unit_id").withColumn("_s", F.struct("doc_id", "section_key"))
-        pooled = vectors.pool(named, "_s")
-        return pooled.select("_s.doc_id", "_s.section_key", "vec")
+    def section_vectors(self, mode: str = "mean", embedder=None, lead: int = 400) -> DataFrame:
+        """``doc_id``, ``section_key``, ``vec`` of length 1 for each section.
+
+        ``mean``: of the vectors of units whose clause lies in the section; sections
+        without one have none.  ``title_lead``: the embedder's vector of the title
+        and the first characters of the section, heading included.
+        """
+        docs, sections = self.tables["documents"], self.tables["sections"]
+        spans = parse.section_spans(parse.lines(docs, "doc_id", "md_text"), sections, "doc_id")
+        if mode == "mean":
+            clauses = self.tables["clauses"].select("clause_id", "doc_id", "span_start", "span_end")
+            inside = parse.contained(clauses, spans, "doc_id")
+            rows = inside.join(self.tables["units"].select("clause_id", "unit_id"), "clause_id").join(self.unit_vectors, "unit_id")
+            pooled = vectors.pool(rows.withColumn("_s", F.struct("doc_id", "line_start", "in_section")), "_s")
+            return pooled.select("_s.doc_id", F.col("_s.in_section").alias("section_key"), "vec")
+        if mode != "title_lead":
+            raise ValueError(f"mode must be 'mean' or 'title_lead', got {mode!r}")
+        cut = F.substring(F.col("md_text"), (F.col("span_start") + 1).cast("int"), F.least(F.col("span_end") - F.col("span_start"), F.lit(lead)).cast("int"))
+        texts = spans.join(docs.select("doc_id", "md_text"), "doc_id").withColumn("_t", F.concat("title", F.lit("\n"), cut))
+        named = texts.where(fusion.X.strip(cut) != "").select(F.to_json(F.struct("doc_id", "section_key")).alias("k"), "_t")
+        made = vectors.embed(named, "k", "_t", embedder)
+        key = F.from_json("k", "doc_id string, section_key string")
+        return made.select(key.alias("_k"), vectors.normalise(F.col("vec")).alias("vec")).select("_k.doc_id", "_k.section_key", "vec")
 
     def search(
         self,

@@ -193,6 +193,26 @@ def inline_clauses(spark: SparkSession, root: str) -> DataFrame:
     return parse.split_inline(got, "doc_ord")
 
 
+@query(
+    "section_contents",
+    f"""WITH {SEGMENTS}, spans AS (
+        SELECT s.doc_ord, s.line_start, s.section_key, a.start AS a, coalesce(z.start, n.n) AS b FROM sections s
+        JOIN lines a ON a.doc_ord = s.doc_ord AND a.line_no = s.line_start LEFT JOIN lines z ON z.doc_ord = s.doc_ord AND z.line_no = s.line_end
+        JOIN (SELECT doc_ord, length(md_text) AS n FROM charters) n ON n.doc_ord = s.doc_ord)
+    SELECT p.doc_ord, p.line_start, p.section_key, CAST(p.a AS BIGINT) AS span_start, CAST(p.b AS BIGINT) AS span_end, count(g.doc_ord) AS clauses
+    FROM spans p LEFT JOIN segments g ON g.doc_ord = p.doc_ord AND g.span_start >= p.a AND g.span_end <= p.b GROUP BY ALL""",
+)
+def section_contents(spark: SparkSession, root: str) -> DataFrame:
+    """Sections with their character range and the number of clauses within it."""
+    of = _lines(spark, root)
+    spans = materialise(parse.section_spans(of, parse.sections(of, "doc_ord"), "doc_ord"))
+    inside = parse.contained(clause_segments(spark, root), spans, "doc_ord")
+    counts = inside.groupBy("doc_ord", "line_start").agg(F.count("*").alias("clauses"))
+    return spans.join(counts, ["doc_ord", "line_start"], "left").select(
+        "doc_ord", "line_start", "section_key", "span_start", "span_end", F.coalesce("clauses", F.lit(0)).alias("clauses")
+    )
+
+
 @query(
     "clause_ordinals",
     f"""WITH {SEGMENTS} SELECT CAST(row_number() OVER (ORDER BY doc_ord, span_start, span_end) - 1 AS BIGINT) AS clause_id, doc_ord, span_start FROM segments""",
@@ -693,7 +713,7 @@ S_BARE = s_strip(f"regexp_replace(value, '{extraction._PREFIX}', '')")
 
 @query(
     "unprefixed_items",
-    f"""WITH {S_RUNS}, {S_ITEMS} SELECT extraction_id, field, pos, CASE WHEN {S_BARE} = '' THEN {s_strip("value")} ELSE {S_BARE} END AS value,
+    f"""WITH {S_RUNS}, {S_ITEMS} SELECT extraction_id, field, pos, CASE WHEN {S_BARE} = '' THEN value ELSE {S_BARE} END AS value,
         regexp_extract(value, '^{X.WS}*(\\d+(?:\\.\\d+)*)', 1) AS clause_number FROM items WHERE value IS NOT NULL""",
 )
 def unprefixed_items(spark: SparkSession, root: str) -> DataFrame:
@@ -716,6 +736,13 @@ def absent_clause_numbers(spark: SparkSession, root: str) -> DataFrame:
     return got.select("extraction_id", "field", "pos", "clause_number")
 
 
+@query("rendered_reports")
+def rendered_reports(spark: SparkSession, root: str) -> DataFrame:
+    """Readable report of each extraction."""
+    fields = [("supreme_governing_body", "Высший орган"), ("collegial_governing_bodies", "Коллегиальные органы"), ("sole_executive_bodies", "Единоличные органы")]
+    return extraction.rendered(_runs(spark, root), "extraction_id", fields)
+
+
 @query("tolerant_json")
 def tolerant_json(spark: SparkSession, root: str) -> DataFrame:
     """Replies made of extractions in several broken shapes, parsed again."""
@@ -770,7 +797,7 @@ def _messages(spark: SparkSession, root: str) -> DataFrame:
     orphans AS (SELECT *, row_number() OVER (PARTITION BY conv_id, last ORDER BY turn) AS n FROM t WHERE NOT named)
     SELECT * FROM direct UNION ALL
     SELECT o.conv_id, o.turn, CASE WHEN hit THEN 'call-' || call WHEN o.event_id % 2 = 0 THEN NULL ELSE '' END, CASE WHEN hit THEN 'tool-' || (call % 3) ELSE 'tool' END
-    FROM (SELECT *, n = 1 AND call IS NOT NULL AND NOT EXISTS (SELECT 1 FROM direct d WHERE d.conv_id = orphans.conv_id AND d.tool_call_id = 'call-' || orphans.call) AS hit FROM orphans) o""",
+    FROM (SELECT *, n = 1 AND call IS NOT NULL AS hit FROM orphans) o""",
 )
 def reply_pairing(spark: SparkSession, root: str) -> DataFrame:
     return conversation.replies(_messages(spark, root))
@@ -798,6 +825,12 @@ def token_budget(spark: SparkSession, root: str) -> DataFrame:
     return got.select("conv_id", "turn", "used_before", "allowed")
 
 
+@query("tool_traces")
+def tool_traces(spark: SparkSession, root: str) -> DataFrame:
+    """Tool steps of each conversation, a line each."""
+    return conversation.trace(_messages(spark, root))
+
+
 @query("tool_call_markup")
 def tool_call_markup(spark: SparkSession, root: str) -> DataFrame:
     """Calls written as markup, a third of them cut off before their closing tags."""
@@ -809,14 +842,14 @@ def tool_call_markup(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     "verdict_scores",
-    """WITH v AS (SELECT annotator, CASE WHEN subject_id IS NULL THEN 'minor_error' WHEN subject_id % 3 = 0 THEN 'significant_error' WHEN subject_id % 3 = 1 THEN 'correct' ELSE 'unknown' END AS status FROM subject_labels)
-    SELECT annotator, round(avg(CASE status WHEN 'correct' THEN 1.0 WHEN 'minor_error' THEN 0.7 ELSE 0.0 END), 6) AS score,
-        count(*) FILTER (status = 'correct') AS n_correct, count(*) FILTER (status = 'minor_error') AS n_minor_error, count(*) FILTER (status = 'significant_error') AS n_significant_error
+    """WITH v AS (SELECT annotator, CASE WHEN subject_id IS NULL THEN 'not_significant_error' WHEN subject_id % 3 = 0 THEN 'significant_error' WHEN subject_id % 3 = 1 THEN 'correct' ELSE 'unknown' END AS status FROM subject_labels)
+    SELECT annotator, round(avg(CASE status WHEN 'correct' THEN 1.0 WHEN 'not_significant_error' THEN 0.7 ELSE 0.0 END), 6) AS score,
+        count(*) FILTER (status = 'correct') AS n_correct, count(*) FILTER (status = 'not_significant_error') AS n_not_significant_error, count(*) FILTER (status = 'significant_error') AS n_significant_error
     FROM v GROUP BY 1""",
 )
 def verdict_scores(spark: SparkSession, root: str) -> DataFrame:
     status = (
-        F.when(F.col("subject_id").isNull(), "minor_error")
+        F.when(F.col("subject_id").isNull(), "not_significant_error")
         .when(F.col("subject_id") % 3 == 0, "significant_error")
         .when(F.col("subject_id") % 3 == 1, "correct")
         .otherwise("unknown")

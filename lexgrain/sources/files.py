@@ -130,3 +130,51 @@ def tables_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 def slug(name: str) -> str:
     """Name for a file or folder: lower case letters, digits and hyphens."""
     return re.sub(r"[^\w]+", "-", name.lower()).strip("-") or "item"
+
+
+def samples(files: DataFrame, active: str | None = None) -> DataFrame:
+    """Samples from files under ``<name>/output`` and ``<name>/comments``: ``sample``,
+    ``expected``, ``comments``.
+
+    ``reference.json`` counts if it parses, else ``res.txt``; the active sample is
+    left out.
+    """
+    text = F.decode("content", "UTF-8")
+    name = F.regexp_extract("path", r"([^/]+)/(?:output|comments)/[^/]+$", 1)
+    file = F.regexp_extract("path", r"([^/]+)$", 1)
+    rows = files.select(name.alias("sample"), file.alias("file"), text.alias("t")).where("sample <> ''")
+    parsed = F.when((F.col("file") == "reference.json") & F.expr("try_parse_json(t)").isNotNull(), F.col("t"))
+    found = rows.groupBy("sample").agg(
+        F.max(parsed).alias("_json"),
+        F.max(F.when(F.col("file") == "res.txt", F.col("t"))).alias("_plain"),
+        F.coalesce(F.max(F.when(F.col("file") == "comments.md", F.col("t"))), F.lit("")).alias("comments"),
+    )
+    kept = found if active is None else found.where(F.col("sample") != active)
+    return kept.select("sample", F.coalesce("_json", "_plain", F.lit("")).alias("expected"), "comments")
+
+
+def hinted(docs: DataFrame, key: str, text: str, hint: str, most: int = 50) -> DataFrame:
+    """Part of each text under the heading that has most words of a hint: ``key``, ``fragment``.
+
+    Headings start with ``#`` or ``**`` or end with a colon; the first of equals
+    counts.  A ``#`` heading's part ends at the next of its level, others and long
+    ones after ``most`` lines.  Texts without a fitting heading give no row.
+    """
+    words = [w for w in hint.lower().split() if w]
+    lines = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n", -1)).alias("_i", "_l"))
+    score = sum((F.lower("_l").contains(w).cast("int") for w in words), F.lit(0))
+    heading = F.col("_l").rlike(r"^(?:#|\*\*)") | F.col("_l").rlike(r":\s*$")
+    best = (
+        lines.withColumn("_s", score)
+        .where(heading & (F.col("_s") > 0))
+        .groupBy(key)
+        .agg(F.max_by(F.struct(F.col("_i").alias("at"), F.regexp_extract("_l", "^(#*)", 1).alias("mark")), F.struct("_s", -F.col("_i"))).alias("_b"))
+    )
+    level = F.regexp_extract("_l", "^(#*)", 1)
+    after = lines.join(best, key).where(F.col("_i") >= F.col("_b.at"))
+    ends = after.where((F.col("_b.mark") != "") & (level == F.col("_b.mark")) & (F.col("_i") > F.col("_b.at"))).groupBy(key).agg(F.min("_i").alias("_e"))
+    inside = after.join(ends, key, "left").where(
+        (F.col("_i") < F.coalesce("_e", F.col("_b.at") + most)) & (F.col("_i") < F.col("_b.at") + most)
+    )
+    part = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_l"))), lambda x: x["_l"]), "\n")
+    return inside.groupBy(key).agg(part.alias("fragment"))

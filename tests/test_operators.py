@@ -40,6 +40,8 @@ def test_coercion_and_prefixes(spark):
     assert [r.value for r in extraction.coerced(df, "id", pos="pos", value="value").orderBy("pos").collect()] == ["Совет", "7.1. Правление", "7.1."]
     got = df.orderBy("pos").select(extraction.without_prefix("value").alias("v"), extraction.leading_number("value").alias("n")).collect()
     assert [r.v for r in got][4:] == ["Правление", "7.1."] and got[4].n == "7.1"
+    kept = df.where("pos = 0").select(extraction.without_prefix("value").alias("v")).first()
+    assert kept.v == "Совет"
 
 
 def test_absent_numbers(spark):
@@ -67,6 +69,36 @@ def test_markup_calls():
     text = '<invoke name="find"><parameter name="q">"а"</parameter><parameter name="k">3</parameter></invoke><invoke name=cut><parameter name=z>x'
     assert conversation.markup_calls(text) == [{"name": "find", "args": {"q": "а", "k": "3"}}, {"name": "cut", "args": {"z": "x"}}]
     assert conversation.markup_calls(None) == []
+    direct = '<invoke name="read"><path>/a.md</path><pages>1-3</pages>'
+    assert conversation.markup_calls(direct) == [{"name": "read", "args": {"path": "/a.md", "pages": "1-3"}}]
+
+
+def test_binary_blocks_and_traces(spark):
+    rows = [(1, [("text", "a"), ("file", "x")]), (2, [("image", "x")]), (3, [])]
+    df = spark.createDataFrame(rows, "n int, b array<struct<type:string,text:string>>")
+    got = {r.n: [x.text for x in r.k] for r in df.select("n", conversation.text_blocks("b").alias("k")).collect()}
+    assert got == {1: ["a"], 2: [conversation.HINT], 3: []}
+    call = "array<struct<id:string,name:string>>"
+    said = [(1, 1, "assistant", [("a", "x"), ("b", "y")], "", ""), (1, 2, "tool", None, "a", "one\ntwo"), (1, 3, "tool", None, "zz", "lost")]
+    messages = spark.createDataFrame(said, f"conv_id int, turn int, role string, tool_calls {call}, tool_call_id string, content string")
+    assert conversation.trace(messages).first().trace == "[0] x → one two\n[1] y → \n[2] tool → lost"
+
+
+def test_evidence_prefers_the_longer_report(spark):
+    said = [(1, 1, "assistant", "x" * 30), (1, 2, "tool", "короткий"), (2, 1, "assistant", "y" * 300)]
+    messages = spark.createDataFrame(said, "conv int, turn int, role string, content string")
+    reports = spark.createDataFrame([(1, "f", "отчёт"), (2, "f", ""), (3, "f", "один")], "conv int, field string, report string")
+    got = {r.conv: r.evidence for r in extraction.evidence(messages, reports, "conv", "turn").collect()}
+    assert got == {1: "отчёт\n\n" + "x" * 30, 2: "y" * 300, 3: "один"}
+
+
+def test_reports(spark):
+    df = spark.createDataFrame([(1, "Совет", ["а", "б"], []), (2, None, None, ["в"])], "id int, s string, l array<string>, m array<string>")
+    got = {r.id: r.report for r in extraction.rendered(df, "id", [("s", "С"), ("l", "Л"), ("m", "М")]).collect()}
+    assert "### Л (`l`)\n- а\n- б\n" in got[1] and "- (не найдено)" in got[1] and "(не найдено)" in got[2]
+    trials = spark.createDataFrame([("s", 0.5, 0.75, True), ("t", 0.5, 0.25, False)], "k string, before double, after double, accepted boolean")
+    sections = {r.k: r.section for r in evaluation.training_report(trials, "k").collect()}
+    assert "| 0.50 | 0.75 | +0.25 | accepted |" in sections["s"] and "rolled back" in sections["t"]
 
 
 def test_usage_and_budget(spark):
@@ -77,7 +109,7 @@ def test_usage_and_budget(spark):
 
 
 def test_evaluation(spark):
-    v = spark.createDataFrame([("f", "correct"), ("f", "minor_error"), ("f", "odd")], "field string, status string")
+    v = spark.createDataFrame([("f", "correct"), ("f", "not_significant_error"), ("f", "odd")], "field string, status string")
     assert evaluation.verdict_scores(v, "field").first().score == pytest.approx(1.7 / 3, abs=1e-6)
     df = spark.createDataFrame([("a.b.a", "a", "x$1"), ("abc", "z", "y")], "t string, o string, n string")
     got = df.select(evaluation.replaced_first(F.col("t"), F.col("o"), F.col("n")).alias("r")).collect()
@@ -119,6 +151,37 @@ def test_files(spark, tmp_path):
     assert len({r.doc_id for r in files.doc_ids(ids, "path", "n").collect()}) == 4
 
 
+def test_samples_and_hints(spark, tmp_path):
+    for name, body in (("a", "{bad"), ("b", '{"x": 1}')):
+        (tmp_path / name / "output").mkdir(parents=True)
+        (tmp_path / name / "output" / "reference.json").write_text(body)
+        (tmp_path / name / "output" / "res.txt").write_text("# Совет\nx\n# Прочее\ny")
+    paths = [str(p) for p in tmp_path.rglob("*") if p.is_file()]
+    got = {r["sample"]: r.expected for r in files.samples(files.binary(spark, paths), active="c").collect()}
+    assert got == {"a": "# Совет\nx\n# Прочее\ny", "b": '{"x": 1}'}
+    assert "a" not in {r["sample"] for r in files.samples(files.binary(spark, paths), active="a").collect()}
+    docs = spark.createDataFrame([(1, "нет\n# Совет\nx\n## под\n# Прочее\ny"), (2, "ничего")], "k int, t string")
+    assert [(r.k, r.fragment) for r in files.hinted(docs, "k", "t", "совет чего-то").collect()] == [(1, "# Совет\nx\n## под")]
+
+
+def test_vector_index(spark):
+    docs = spark.createDataFrame([("d", "d.md", "## Статья 1. Права\n1.1. Совет директоров.\n1.2. Правление.\n## Статья 2. Сроки\n2.1. Год.")], "doc_id string, source_path string, md_text string")
+    index = Index.build(docs)
+    embedder = lambda texts: [[float("Совет" in t), float("Правление" in t), float("Год" in t)] for t in texts]
+    from lexgrain.operators import vectors
+
+    index.tables["vectors"] = vectors.embed(index.tables["units"], "unit_id", "text", embedder)
+    assert {r.section_key for r in index.section_vectors().collect()} == {"1", "2"}
+    assert {r.section_key for r in index.section_vectors("title_lead", embedder).collect()} == {"1", "2"}
+    asked = spark.createDataFrame([(1, "год")], "query_id long, text string")
+    near = spark.createDataFrame([(1, [0.0, 0.0, 1.0])], "query_id long, vec array<double>")
+    for method in ("vector", "hybrid"):
+        top = index.search(asked, method, k=1, query_vectors=near).join(index.tables["clauses"], "clause_id").first()
+        assert top.number == "2.1"
+    tree = index.search(asked, "bm25", strategy="tree", query_vectors=near).join(index.tables["clauses"], "clause_id")
+    assert {r.number for r in tree.collect()} <= {"1", "1.1", "1.2", "2", "2.1"}
+
+
 def test_index(spark, tmp_path):
     docs = spark.createDataFrame([("d", "d.md", "# A\n## Статья 1. Б\n1.1. Совет директоров.\n1.2. Правление.\n")], "doc_id string, source_path string, md_text string")
     root = str(tmp_path / "index")
