@@ -124,10 +124,16 @@ def letters(cleaned: str) -> str:
     return "".join(re.findall(r"[^\W\d_]", cleaned))
 
 
-def pairs_of(token: str) -> list[str]:
-    """Letter pairs with both ends marked: close tokens share at least one."""
+def pairs_of(token: str, skip: bool = False) -> list[str]:
+    """Letter pairs with both ends marked: close tokens share at least one.
+
+    With ``skip`` also pairs over one letter, which exchanged letters leave behind.
+    """
     marked = f"^{token}$"
-    return sorted({marked[i : i + 2] for i in range(len(marked) - 1)})
+    found = {marked[i : i + 2] for i in range(len(marked) - 1)}
+    if skip:
+        found |= {marked[i] + marked[i + 2] for i in range(len(marked) - 2)}
+    return sorted(found)
 
 
 def spells(short: str, words: tuple[str, ...]) -> int | None:
@@ -174,6 +180,11 @@ def _arrow_pairs(tokens: pa.Array) -> pa.Array:
     return pa.array([pairs_of(t or "") for t in tokens.to_pylist()], pa.list_(pa.string()))
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _arrow_skip_pairs(tokens: pa.Array) -> pa.Array:
+    return pa.array([pairs_of(t or "", skip=True) for t in tokens.to_pylist()], pa.list_(pa.string()))
+
+
 @F.arrow_udf(T.DoubleType())
 def _arrow_similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([similarity(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
@@ -186,8 +197,8 @@ REFERENCE_ROWS = 100_000
 class Reference:
     """Entries of the reference list with the weights of their tokens."""
 
-    def __init__(self, rows: list[tuple[int, str, str]], rules: Rules):
-        self.rules = rules
+    def __init__(self, rows: list[tuple[int, str, str]], rules: Rules, used: dict[int, int]):
+        self.rules, self.used = rules, used
         self.entries: dict[int, tuple[str, tuple[str, ...]]] = {}
         for ref, kind, name in rows:
             words = tuple(tokens_of(clean(name, rules), rules))
@@ -258,7 +269,10 @@ def map_to_reference(
     rows = [tuple(r) for r in listed.limit(REFERENCE_ROWS + 1).collect()]
     if len(rows) > REFERENCE_ROWS:
         raise ValueError(f"the reference list has more than {REFERENCE_ROWS} rows")
-    book = Reference(rows, rules)
+    # how often each entry is written out in full decides between abbreviations
+    exact = values.groupBy(F.col(value).alias("_name")).count()
+    full = listed.toDF("_id", "_kind", "_name").join(exact, "_name").groupBy("_id").agg(F.sum("count").alias("n"))
+    book = Reference(rows, rules, {r[0]: r[1] for r in full.collect()})
     words = spark.createDataFrame([(w,) for w in book.having], "_word string")
     tidy = _arrow_clean(rules)
     forms = materialise(
@@ -273,7 +287,7 @@ def map_to_reference(
     fixed = (
         forms.select(F.explode("tokens").alias("_t"))
         .distinct()
-        .withColumn("_p", F.explode(_arrow_pairs("_t")))
+        .withColumn("_p", F.explode(_arrow_skip_pairs("_t")))
         .join(words.withColumn("_p", F.explode(_arrow_pairs("_word"))), "_p")
         .where(F.abs(F.length("_t") - F.length("_word")) <= 0.42 * longer + 1)
         .select("_t", "_word")
@@ -299,7 +313,7 @@ def map_to_reference(
                     x["_t"]: [(y["_word"], y["_s"]) for y in x["_near"] or []] for x in near if x["_t"]
                 }
                 best = book.best(typed, kind) if typed else None
-                found.append(best or shorthand(text, kind, book.known, rules) or (None, None))
+                found.append(best or shorthand(text, kind, book.known, rules, book.used) or (None, None))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -318,9 +332,12 @@ def map_to_reference(
 
 
 def shorthand(
-    cleaned: str, hint: str, known: list[tuple[int, str, tuple[str, ...]]], rules: Rules
+    cleaned: str, hint: str, known: list[tuple[int, str, tuple[str, ...]]], rules: Rules, used: dict[int, int]
 ) -> tuple[int, float] | None:
-    """Entry that an abbreviation or a run-together spelling stands for."""
+    """Entry that an abbreviation or a run-together spelling stands for.
+
+    Of several that the letters fit, the one most often written out in full.
+    """
     for short, full in rules.synonyms.items():
         if cleaned.startswith(short) and len(cleaned) > len(short):
             cleaned = full[:3] + cleaned[len(short) :]
@@ -331,9 +348,9 @@ def shorthand(
     for ref, kind, words in known:
         left = spells(short, words)
         if left is not None and len(words) > 1:
-            options.append((kind != hint, left, ref, 1 - left / sum(map(len, words))))
+            options.append((-used.get(ref, 0), kind != hint, left, ref, 1 - left / sum(map(len, words))))
     if options:
-        _, _, ref, score = min(options)
+        *_, ref, score = min(options)
         return ref, round(score, 6)
     if " " in cleaned:
         return None
