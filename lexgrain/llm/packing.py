@@ -142,8 +142,10 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
         .withColumn("_rank", F.col("_rn") + F.col("_skip"))
     )
     nth = F.col("_rank") - F.col("rank_from")
+    # at most capacity patterns a few times over, each of few lengths: bounded by
+    # the capacity alone
     joined = ranked.join(
-        placed,
+        F.broadcast(placed),
         (F.col("n_tokens") == F.col("length"))
         & (F.col("_rank") >= F.col("rank_from"))
         & (F.col("_rank") < F.col("rank_to")),
