@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from lexgrain.runtime import materialise
 
-#: A word, or what ends a sentence.
-_TOKEN = re.compile(r"[^\W\d_]+|[.!?…]+(?=\s|$)|[\n\r]+")
+#: A word of two letters or more, or what ends a sentence.
+_TOKEN = re.compile(r"[^\W\d_]{2,}|[.!?…]+(?=\s|$)|[\n\r]+")
 
 
 @dataclass(frozen=True)
