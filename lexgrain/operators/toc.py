@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexgrain.functions import text as X
@@ -10,12 +10,16 @@ from lexgrain.operators import parse
 
 
 def previews(of: DataFrame, sections: DataFrame, key: str, most: int = 80) -> DataFrame:
-    """First line of text of each section: ``key``, ``line_start``, ``preview`` ("" if none)."""
-    body = of.where(~F.col("line").rlike(rf"^{X.WS}*$") & ~F.col("line").rlike(X.NOISE_PREVIEW) & ~F.col("line").rlike(X.HEADING))
-    candidates = body.select(F.col(key).alias("_k"), "line_no", "line")
-    within = (F.col(key) == F.col("_k")) & (F.col("line_no") > F.col("line_start")) & (F.col("line_no") < F.col("line_end"))
-    inside = sections.join(candidates, within, "left")
-    first = inside.groupBy(key, "line_start").agg(F.min_by("line", "line_no").alias("_f"))
+    """First line of text of each section: ``key``, ``line_start``, ``preview`` ("" if none).
+
+    The next line of text after each line comes from one window over the document,
+    read backwards; a section has it as preview if it still lies within.
+    """
+    text = ~F.col("line").rlike(rf"^{X.WS}*$") & ~F.col("line").rlike(X.NOISE_PREVIEW) & ~F.col("line").rlike(X.HEADING)
+    below = Window.partitionBy(key).orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    following = F.last(F.when(text, F.struct("line_no", "line")), ignorenulls=True).over(below)
+    at = of.select(key, F.col("line_no").alias("line_start"), following.alias("_n"))
+    first = sections.join(at, [key, "line_start"]).withColumn("_f", F.when(F.col("_n.line_no") < F.col("line_end"), F.col("_n.line")))
     bare = F.regexp_replace("_f", rf"^{X.WS}*[-*]{X.WS}+", "")
     return first.select(key, "line_start", F.coalesce(X.shorten(bare, most), F.lit("")).alias("preview"))
 

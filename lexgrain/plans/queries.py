@@ -276,6 +276,16 @@ def pattern_pieces(spark: SparkSession, root: str) -> DataFrame:
     return got.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"), F.sum(F.length("p")).alias("chars"))
 
 
+@query(
+    "fixed_windows",
+    f"""WITH {T.CLAUSES} SELECT clause_id, CAST(k AS INT) AS piece_no, md5(substring(text, k * 1350 + 1, 1500)) AS h FROM (
+        SELECT clause_id, text, unnest(range(CAST(floor((length(text) - 1) / 1350.0) AS BIGINT) + 1)) AS k FROM cl WHERE text <> '')""",
+)
+def fixed_windows(spark: SparkSession, root: str) -> DataFrame:
+    pieces = F.posexplode(chunking.windows_or_nothing(F.col("text"))).alias("piece_no", "p")
+    return T.clauses(spark, root).where("text is not null").select("clause_id", pieces).select("clause_id", "piece_no", F.md5("p").alias("h"))
+
+
 @query("hierarchical_chunks")
 def hierarchical_chunks(spark: SparkSession, root: str) -> DataFrame:
     return chunking.hierarchical(T.charters(spark, root), "doc_ord", "md_text")
@@ -736,6 +746,16 @@ def absent_clause_numbers(spark: SparkSession, root: str) -> DataFrame:
     return got.select("extraction_id", "field", "pos", "clause_number")
 
 
+@query(
+    "fences_removed",
+    f"""SELECT doc_id, md5({s_strip("regexp_replace(regexp_replace('```json' || chr(10) || text || chr(10) || '````', '`{3,}[ \\t]*[a-zA-Z]*[ \\t]*\\n?', '', 'g'), '`', '', 'g')")}) AS h
+    FROM documents WHERE text IS NOT NULL""",
+)
+def fences_removed(spark: SparkSession, root: str) -> DataFrame:
+    fenced = F.concat(F.lit("```json\n"), "text", F.lit("\n````"))
+    return table(spark, root, "documents").where("text is not null").select("doc_id", F.md5(extraction.without_fences(fenced)).alias("h"))
+
+
 @query("rendered_reports")
 def rendered_reports(spark: SparkSession, root: str) -> DataFrame:
     """Readable report of each extraction."""

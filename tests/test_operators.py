@@ -44,6 +44,22 @@ def test_coercion_and_prefixes(spark):
     assert kept.v == "Совет"
 
 
+def test_extraction_asks_again_and_cleans(spark):
+    rows = [(1, "органы", "list", "name", "текст"), (1, "высший", "str", "name", " "), (2, "пункты", "list", "clause", "x"), (3, "пусто", "list", "name", "x")]
+    contexts = spark.createDataFrame(rows, "doc int, field string, kind string, style string, context string")
+    asked = []
+
+    def client(field, context):
+        asked.append(field)
+        if field == "органы":
+            return "[]" if len(asked) == 1 else '["12.1. Совет", "совет", "n/a", "СОВЕТ"]'
+        return '["12.1. Совет"]' if field == "пункты" else "[]"
+
+    got = {(r.doc, r.field): r["values"] for r in extraction.extract(contexts.coalesce(1), client).collect()}
+    assert got[1, "органы"] == ["Совет", "совет"] and got[1, "высший"] == [extraction.NOT_GIVEN]
+    assert got[2, "пункты"] == ["12.1. Совет"] and got[3, "пусто"] == []
+
+
 def test_absent_numbers(spark):
     docs = spark.createDataFrame([("d", "12.1. Текст; см. 13.4.1 и 2.5.")], "doc string, md string")
     items = spark.createDataFrame([("d", "12.1 а"), ("d", "12 б"), ("d", "13.4 в"), ("d", "2.5. г"), ("e", "12.1 д"), ("d", "без")], "doc string, value string")
