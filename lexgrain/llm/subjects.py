@@ -244,18 +244,22 @@ def train(
     spark = documents.sparkSession
     number = F.create_map(*[F.lit(x) for i, s in enumerate(subjects) for x in (int(s), i)])
     known = labels.groupBy(key).agg(F.collect_set(F.element_at(number, F.col(subject).cast("int"))).alias("_l"))
-    has_word = F.col(text).rlike(r"\p{L}")
-    sampled = (
-        documents.select(key, F.col(text).alias("_t"))
-        .where(has_word)
-        .join(known, key)
-        .withColumn("_r", F.xxhash64(F.lit("sample"), key))
+    # ids first, and of these only about as many as are wanted: no task sees more
+    n = known.count()
+    share = min(1.0, (1.5 * how.sample + 100) / max(n, 1))
+    place = F.xxhash64(F.lit("sample"), key)
+    wanted = (
+        known.withColumn("_r", place)
+        .where(F.col("_r") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63)))
         .orderBy("_r", key)
         .limit(how.sample)
         .withColumn("_p", F.pmod(F.xxhash64(F.lit("part"), key), F.lit(10 * how.partitions)).cast("int"))
         # a tenth is held out, as partition -1
         .withColumn("_p", F.when(F.col("_p") < how.partitions, -1).otherwise(F.col("_p") % how.partitions))
     )
+    has_word = F.col("_t").rlike(r"\p{L}")
+    # at most ``sample`` ids
+    sampled = documents.select(key, F.col(text).alias("_t")).join(F.broadcast(wanted), key).where(has_word)
     sample = materialise(sampled.select("_t", "_l", "_p"))
     counted = (
         sample.where("_p >= 0").select(F.explode(_words("_t")).alias("w")).groupBy("w").count().where("count > 1")
