@@ -40,10 +40,17 @@ def strings(value, most: int) -> list[str]:
     return [str(x).strip() for x in items if x is not None and str(x).strip()][:most]
 
 
-def candidates(query: str, search: Search, grep: Search, limits: Limits) -> dict[int, tuple[float, str]]:
-    """Best score and text of each clause found by meaning and by the numbers in a query."""
+#: Words by which a query asks for a section.
+SECTION_WORDS = re.compile(r"\b(?:стать|глав[аеуы]|раздел|section|chapter|article)", re.I)
+
+
+def candidates(query: str, search: Search, grep: Search, scoped: Search | None = None) -> dict[int, tuple[float, str]]:
+    """Best score and text of each clause found by a query: by meaning, by the numbers
+    in it and, where it asks for a section, within the nearest one (``scoped``)."""
     best: dict[int, tuple[float, str]] = {}
     found = list(search(query, 10))
+    if scoped is not None and SECTION_WORDS.search(query):
+        found += scoped(query, 5)
     for number in re.findall(r"\d+(?:\.\d+)+", query)[:3]:
         found += grep(re.escape(number), 5)
     for clause, score, text in found:
@@ -52,7 +59,9 @@ def candidates(query: str, search: Search, grep: Search, limits: Limits) -> dict
     return best
 
 
-def agentic_search(prompt: str, search: Search, grep: Search, model: Model | None, limits: Limits = Limits()) -> Found:
+def agentic_search(
+    prompt: str, search: Search, grep: Search, model: Model | None, limits: Limits = Limits(), scoped: Search | None = None
+) -> Found:
     """Search with a model that plans queries and grades clauses.
 
     Without a model, and after any failure of it, the result is the plain search;
@@ -81,7 +90,7 @@ def agentic_search(prompt: str, search: Search, grep: Search, model: Model | Non
         while out.rounds < limits.rounds:
             out.rounds += 1
             for query in queries:
-                for clause, (score, text) in candidates(query, search, grep, limits).items():
+                for clause, (score, text) in candidates(query, search, grep, scoped).items():
                     if clause not in pool or score > pool[clause][0]:
                         pool[clause] = (score, text)
             ordered = sorted(pool.items(), key=lambda x: (-x[1][0], x[0]))[: limits.candidates]

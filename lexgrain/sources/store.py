@@ -92,6 +92,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def write_results(results: DataFrame, reports: DataFrame, key: str, root: str) -> None:
+    """Results as JSON lines under ``structured``, reports (``key``, ``report``) as text
+    under ``reports/<key>=...``; a run that is there is replaced."""
+    write_jsonl(results, f"{root}/structured")
+    reports.select(key, F.col("report").alias("value")).write.mode("overwrite").partitionBy(key).text(f"{root}/reports")
+
+
 def latest_run(files: DataFrame, result: str = "result.md") -> DataFrame:
     """Latest complete run: ``run_dir`` with the newest result file (path, modificationTime)."""
     done = files.where(F.regexp_extract("path", r"([^/]*)$", 1) == result)

@@ -150,6 +150,9 @@ def test_agentic_search():
     got = agentic.agentic_search("q", search, grep, scripted([plan, grades]))
     assert [(r[0], r[2]) for r in got.rows] == [(1, "relevant"), (3, "partial")] and not got.degraded and got.calls == 2
     assert agentic.agentic_search("q", search, grep, None).degraded is False
+    scoped = lambda q, k: [(4, 9.0, "четыре")]
+    assert 4 in agentic.candidates("что в статье 7?", search, grep, scoped)
+    assert 4 not in agentic.candidates("что в 7.1?", search, grep, scoped)
     assert agentic.agentic_search("q", search, grep, scripted([])).degraded is True
 
 
@@ -221,6 +224,19 @@ def test_index(spark, tmp_path):
     assert store.delete(spark, root) and not store.delete(spark, root)
 
 
+def test_results_and_latest_run(spark, tmp_path):
+    results = spark.createDataFrame([(1, "Совет", None)], "id int, name string, empty string")
+    reports = spark.createDataFrame([(1, "строка один\nстрока два")], "id int, report string")
+    store.write_results(results, reports, "id", str(tmp_path / "r"))
+    assert store.read_jsonl(spark, str(tmp_path / "r" / "structured"), "id int, name string, empty string").collect() == results.collect()
+    text = [f.read_text() for f in (tmp_path / "r" / "reports" / "id=1").glob("*.txt")]
+    assert text == ["строка один\nстрока два\n"]
+    assert store.read_jsonl(spark, str(tmp_path / "none"), "id int").count() == 0
+    runs = spark.createDataFrame([("/a/1/result.md", 1), ("/a/2/result.md", 5), ("/a/3/other.md", 9)], "path string, modificationTime int")
+    assert [r.run_dir for r in store.latest_run(runs).collect()] == ["/a/2"]
+    assert store.latest_run(runs.where("false")).count() == 0
+
+
 def test_stream_appends_clauses(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     docs = spark.createDataFrame([(1, "## 1. А\n1.1. Текст.")], "doc int, md string")
