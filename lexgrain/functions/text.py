@@ -21,12 +21,13 @@ _DETECT = "OoОоlIіЗзSsб"
 #: A part of a number that may hold such letters, but has at least one digit.
 PART = rf"[0-9{_DETECT}]*[0-9][0-9{_DETECT}]*"
 
+#: Headings, their numbers, titles of tables of contents.
 HEADING = rf"(?s)^{WS}{{0,3}}(#{{1,6}}){WS}+({NOT_WS}.*)$"
 WORD_KEY = rf"(?i)^{WS}*(?:статья|глава|раздел|СТАТЬЯ|ГЛАВА|РАЗДЕЛ){WS}+({PART})"
 NUMBER_KEY = rf"^{WS}*({PART}(?:{WS}*[.,]{WS}*{PART})*)"
 TOC_TITLE = rf"^(?:содержание|оглавление|contents|table{WS}+of{WS}+contents)(?:{WS}|[:.])*$"
 _DOTTED = rf"{DIGIT}+(?:\.{DIGIT}+){{1,4}}"
-#: Lines that open a clause: plain, bulleted without punctuation, first cell of a
+#: Fixed values, for results must agree on them.  Lines that open a clause: plain, bulleted without punctuation, first cell of a
 #: table row; then the first two with misread digits.  Group 1 is the number.
 CLAUSE_LINES = (
     rf"^{WS}{{0,3}}(?:[-*]{WS}+)?(?:\*{{1,2}}{WS}*)?({DIGIT}+(?:{WS}*\.{WS}*{DIGIT}+){{1,4}}){WS}*[.)](?:\*{{1,2}})?(?:{WS}+{NOT_WS}|{LETTER})",
@@ -41,7 +42,7 @@ CLAUSE_LINES_MISREAD = (
 CLOSED_BY_BRACKET = rf"^{WS}*(?:[-*]{WS}+)?(?:\*{{1,2}}{WS}*)?(?:[0-9{_DETECT}]|{DIGIT}|[.,]|{WS})*\)"
 LEADING_ZERO = rf"(?:^|\.){WS}*0{DIGIT}"
 TOKEN = r"[\p{L}\p{N}_]+"
-#: Lines of page furniture in chunking, and those that a preview skips.
+#: Lines of page furniture in chunking, and those that a preview skips.
 NOISE_CHUNK = rf"(?is)^{WS}*(?:---{WS}*Page{WS}+{DIGIT}+.*|Total pages:.*|<!--.*-->){WS}*$"
 NOISE_PREVIEW = rf"(?is)^{WS}*(?:---{WS}*page{WS}+{DIGIT}+{WS}*/{WS}*{DIGIT}+{WS}*---|<!--.*-->|-{{3,}}|\|.*|total{WS}+pages:.*){WS}*$"
 

@@ -1,4 +1,5 @@
 import re
+from itertools import pairwise
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,12 +86,8 @@ def test_repair_number(spark, raw, want):
 
 def test_window_spans_against_a_loop(spark):
     def spans(n, size, overlap):
-        out, at = [], 0
-        while True:
-            out.append((at, min(at + size, n)))
-            if at + size >= n:
-                return out
-            at += max(1, size - overlap)
+        starts = [at for at in range(0, max(n, 1), max(1, size - overlap)) if at == 0 or at - max(1, size - overlap) + size < n]
+        return [(at, min(at + size, n)) for at in starts]
 
     for size, overlap in ((5, 0), (5, 2), (7, 7), (1, 0)):
         rows = spark.range(0, 40).select("id", F.inline(parse.window_spans(F.col("id").cast("int"), size, overlap)))
@@ -100,45 +97,38 @@ def test_window_spans_against_a_loop(spark):
         assert all(sorted(got[n]) == spans(n, size, overlap) for n in range(40))
 
 
+NOISE = re.compile(r"\s*(---\s*page\s+\d+.*|total pages:.*|<!--.*-->)\s*", re.I)
+HEAD = re.compile(r"\s{0,3}#{1,6}\s+\S")
+NUMBERED = re.compile(r"\s*(?:[-*]\s*)?\d+(?:\.\d+)*\.?\s+\S")
+
+
+def fixed(text, size, overlap):
+    size = max(size, 200)
+    return [text[at : at + size] for at in range(0, max(len(text), 1), max(size - overlap, 1))]
+
+
 def chunks_by_hand(text, most, overlap):
-    """The chunker as a loop over lines."""
-    lines = [re.sub(r"[ \t]{2,}", " ", x).rstrip() for x in text.splitlines() if not re.match(r"(?i)^\s*(---\s*page\s+\d+.*|total pages:.*|<!--.*-->)\s*$", x)]
-    sections = []
-    for line in lines:
-        if re.match(r"^\s{0,3}#{1,6}\s+\S", line):
-            sections.append([line.strip().lstrip("#").strip(), []])
-        else:
-            if not sections:
-                sections.append(["", []])
-            sections[-1][1].append(line)
+    """Chunks by cutting the list of lines at headings, then at numbers, and taking
+    the longest run of units that fits each time."""
+    kept = [re.sub(r"[ \t]{2,}", " ", x).rstrip() for x in text.splitlines() if not NOISE.fullmatch(x)]
+    heads = {i for i, x in enumerate(kept) if HEAD.match(x)}
     out = []
-    for head, body in sections:
-        units = []
-        for line in body:
-            if units and not re.match(r"^\s*(?:[-*]\s*)?\d+(?:\.\d+)*\.?\s+\S", line):
-                units[-1] += "\n" + line
-            else:
-                units.append(line)
-        merged = []
-        buffer = ""
-        for unit in units:
-            if not buffer:
-                buffer = unit
-            elif len(buffer) + len(unit) + 1 <= most - 80:
-                buffer += "\n" + unit
-            else:
-                merged.append(buffer)
-                buffer = unit
-        merged += [buffer] if buffer else []
-        prefix = f"[{head}]\n" if head else ""
-        for unit in (m.strip() for m in merged):
-            if unit and len(prefix) + len(unit) <= most:
-                out.append(prefix + unit)
-            elif unit:
-                size = max(200, most - len(prefix))
-                out += [prefix + unit[i : i + size] for i in range(0, len(unit), max(1, size - overlap))]
-    size = max(200, most)
-    return [c for c in out if c.strip()] or [text[i : i + size] for i in range(0, len(text), size - overlap)] or [text]
+    for low, high in pairwise(sorted({0, len(kept)} | heads)):
+        body = kept[low + (low in heads) : high]
+        prefix = "[" + kept[low].strip().lstrip("#").strip() + "]\n" if low in heads else ""
+        opens = [i for i, x in enumerate(body) if i == 0 or NUMBERED.match(x)]
+        units = ["\n".join(body[p:q]) for p, q in pairwise([*opens, len(body)])]
+        while units:
+            if not units[0]:
+                del units[0]
+                continue
+            count = max([1, *(k for k in range(2, len(units) + 1) if len("\n".join(units[:k])) <= most - 80)])
+            unit = "\n".join(units[:count]).strip()
+            del units[:count]
+            fits = len(prefix) + len(unit) <= most
+            pieces = [unit] if fits else fixed(unit, most - len(prefix), overlap)
+            out += [prefix + piece for piece in pieces if unit]
+    return [c for c in out if c.strip()] or fixed(text, most, overlap)
 
 
 def test_hierarchical_chunks_against_a_loop(spark):
