@@ -35,11 +35,15 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to a Parquet table in the shared folder and read it back.
 
     Unlike ``cache()`` the result survives the loss of any executor, and unlike
-    ``checkpoint()`` it stays columnar, so later readers prune columns.
+    ``checkpoint()`` it stays columnar, so later readers prune columns.  The table
+    goes when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexgrain-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
