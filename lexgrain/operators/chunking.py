@@ -109,23 +109,30 @@ def hierarchical(docs: DataFrame, key: str, text: str, most: int = 1800, overlap
     return chunks.unionByName(without).select(key, (F.row_number().over(order) - 1).alias("chunk_no"), "chunk")
 
 
-def contexts(scored: DataFrame, chunks: DataFrame, k: int = 12, most: int | None = None) -> DataFrame:
+def contexts(
+    scored: DataFrame, chunks: DataFrame, k: int = 12, most: int | None = None, asked: DataFrame | None = None
+) -> DataFrame:
     """Text of the ``k`` best chunks of each query and document, in document order.
 
     ``scored``: ``query_id``, ``doc``, ``chunk_no``, ``score``; ``chunks``: ``doc``,
     ``chunk_no``, ``chunk``.  A query for which a document has no scored chunk gets
-    no row; :func:`first_chunks` are its fallback.
+    no row, unless the pair is ``asked`` (``query_id``, ``doc``): then it gets the
+    document's first chunk.
     """
     best = Window.partitionBy("query_id", "doc").orderBy(F.desc("score"), "chunk_no")
-    chosen = scored.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).select("query_id", "doc", "chunk_no")
-    joined = chosen.join(chunks, ["doc", "chunk_no"])
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))), lambda x: x["chunk"]), "\n\n")
-    out = joined.groupBy("query_id", "doc").agg(text.alias("context"))
+    chosen = (
+        scored.withColumn("_r", F.row_number().over(best))
+        .where(F.col("_r") <= k)
+        .groupBy("query_id", "doc")
+        .agg(F.collect_list("chunk_no").alias("_n"))
+    )
+    if asked is not None:
+        chosen = asked.select("query_id", "doc").distinct().join(chosen, ["query_id", "doc"], "left")
+    # a document's chunks meet its queries once, as one row, so that no text is shuffled for each query
+    texts = chunks.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))).alias("_c"))
+    taken = F.filter("_c", lambda c: F.array_contains("_n", c["chunk_no"]))
+    text = F.when(F.col("_n").isNull(), F.col("_c")[0]["chunk"]).otherwise(
+        F.array_join(F.transform(taken, lambda c: c["chunk"]), "\n\n")
+    )
+    out = chosen.join(texts, "doc").select("query_id", "doc", text.alias("context"))
     return out if most is None else out.withColumn("context", F.substring("context", 1, most))
-
-
-def first_chunks(asked: DataFrame, found: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``found`` contexts, completed by the first chunk for pairs ``asked`` (query_id, doc) without one."""
-    rest = asked.join(found.select("query_id", "doc"), ["query_id", "doc"], "left_anti")
-    first = chunks.where("chunk_no = 0").select("doc", F.col("chunk").alias("context"))
-    return found.unionByName(rest.join(first, "doc").select("query_id", "doc", "context"))

@@ -378,16 +378,21 @@ def bm25_in_section(spark: SparkSession, root: str) -> DataFrame:
     None,
 )
 def bm25_chunk_context(spark: SparkSession, root: str) -> DataFrame:
-    """Context of each listed body in each charter: best hierarchical chunks in document order."""
+    """Context of each listed body in each charter: its 12 best hierarchical chunks uncut, in document order.
+
+    A charter without a chunk that scores gives its first one.
+    """
     chunks = materialise(
         hierarchical_chunks(spark, root).select(F.col("doc_ord").alias("doc"), "chunk_no", "chunk")
     )
     numbered = chunks.withColumn("unit_id", F.xxhash64("doc", "chunk_no"))
     index = lexical.build(numbered, "unit_id", "chunk")
-    scored = lexical.scores(index, lexical.query_terms(T.bodies(spark, root), "query_id", "text")).join(
+    bodies = T.bodies(spark, root)
+    scored = lexical.scores(index, lexical.query_terms(bodies, "query_id", "text")).join(
         numbered.select("unit_id", "doc", "chunk_no"), "unit_id"
     )
-    return chunking.contexts(scored, chunks, 12, 9000)
+    asked = chunks.select("doc").distinct().join(F.broadcast(bodies.select("query_id")))
+    return chunking.contexts(scored, chunks, 12, asked=asked)
 
 
 @query("term_stats", f"WITH {STATS} SELECT terms.term, terms.df, round(terms.idf, 6) AS idf FROM terms")

@@ -1,10 +1,15 @@
 import json
+import math
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from lexgrain import registry
 from lexgrain.functions import text as X
-from lexgrain.operators import agentic, conversation, evaluation, extraction
+from lexgrain.operators import agentic, chunking, conversation, evaluation, extraction
+from lexgrain.plans import tables as T
 from lexgrain.plans.index import Index
 from lexgrain.sources import files, store
 from lexgrain.streaming import ingest
@@ -245,3 +250,41 @@ def test_stream_appends_clauses(spark, tmp_path):
         stream = spark.readStream.schema("doc int, md string").parquet(source)
         ingest.append_clauses(stream, "doc", "md", target, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(target).count() == 4
+
+
+def test_contexts_against_a_loop(spark, data):
+    chunks = {}
+    for r in registry.queries()["hierarchical_chunks"](spark, data).collect():
+        chunks.setdefault(r.doc_ord, {})[r.chunk_no] = r.chunk
+    bodies = T.bodies(spark, data).collect()
+    words = {(d, n): re.findall(r"\w+", c.lower()) for d, own in chunks.items() for n, c in own.items()}
+    df = Counter(w for ws in words.values() for w in set(ws))
+    idf = {w: math.log(len(words) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    mean = sum(idf.values()) / len(idf)
+    idf = {w: 0.25 * mean if x < 0 else x for w, x in idf.items()}
+    average = sum(map(len, words.values())) / len(words)
+    want = {}
+    for body in bodies:
+        asked = re.findall(r"\w+", body.text.lower())
+        for d, own in chunks.items():
+            scored = []
+            for n in own:
+                tf, dl = Counter(words[d, n]), len(words[d, n])
+                norm = 1.5 * (0.25 + 0.75 * dl / average)
+                score = sum(idf[w] * tf[w] * 2.5 / (tf[w] + norm) for w in asked if w in tf)
+                if round(score, 9) > 0:
+                    scored.append((-round(score, 9), n))
+            best = sorted(n for _, n in sorted(scored)[:12]) or [min(own)]
+            want[body.query_id, d] = "\n\n".join(own[n] for n in best)
+    got = registry.queries()["bm25_chunk_context"](spark, data).collect()
+    assert len(got) == len(want) and {(r.query_id, r.doc): r.context for r in got} == want
+
+
+def test_contexts_keep_the_best_chunk_and_fall_back(spark):
+    chunks = spark.createDataFrame([(d, n, f"{d}.{n} " + "я" * 1790) for d in (1, 2) for n in range(14)], "doc int, chunk_no int, chunk string")
+    scored = spark.createDataFrame([(7, 1, n, float(n)) for n in range(14)], "query_id int, doc int, chunk_no int, score double")
+    asked = spark.createDataFrame([(7, 1), (7, 2)], "query_id int, doc int")
+    got = {r.doc: r.context for r in chunking.contexts(scored, chunks, asked=asked).collect()}
+    assert [c.split()[0] for c in got[1].split("\n\n")] == [f"1.{n}" for n in range(2, 14)]
+    assert got[2].startswith("2.0 ") and "\n\n" not in got[2]
+    assert [r.doc for r in chunking.contexts(scored, chunks, 6, 9000).collect()] == [1]
