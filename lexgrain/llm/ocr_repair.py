@@ -1,12 +1,13 @@
 """Repair of text recognised from scanned pages.
 
-Lines of page furniture are told from charter text; the rest is read as one
-stream of characters without line ends.  Where the stream has anything but known
-words, a joint segmentation decodes it: a path over the characters that may drop
-a hyphen with its line end, drop a space inside a word, part two words that ran
-together and take a misread glyph for the letter it stands for, each at a cost,
-so that the cheapest sequence of words of the corpus wins.  Known words decode to
-themselves at no cost and are not searched.  Paragraph boundaries are chosen by
+Lines of page furniture are told from charter text.  Each chunk of the rest that is
+no known word is decoded: alone, with its neighbours on the line or in the joined
+paragraph (so across line ends too) as one stream with spaces, and over a line-end
+hyphen with the other half.  A path over the characters may drop a space inside a
+word, part two words that ran together and take a misread glyph for the letter it
+stands for, each at a cost, so that the cheapest words of the corpus win.  Whether a
+hyphen at a line end goes is settled by rule on the pair of lines.  Known words are
+not searched, so a word split into two known words stays split.  Paragraph boundaries are chosen by
 dynamic programming over the lines.
 """
 
@@ -283,6 +284,36 @@ def _read(decoder: Decoder, chunk: str) -> tuple[str, int]:
     return "".join(out), wrong
 
 
+def _merged(decoder: Decoder, text: str) -> list[tuple[int, int, str, int]]:
+    """Words that spaces split, as ``(start, end, word, confusions)``.
+
+    Each unknown chunk is decoded with the chunk before it, the one after it or
+    both as one stream with its spaces; it was split where the cheapest path is
+    a single word.  Other parts than the first don't begin with a capital.
+    """
+    chunks = list(_CHUNK.finditer(text))
+    out: list[tuple[int, int, str, int]] = []
+    for i, m in enumerate(chunks):
+        if _known(decoder, m[0].lower()):
+            continue
+        for a, b in ((i - 1, i), (i, i + 1), (i - 1, i + 1)):
+            if a < 0 or b >= len(chunks) or (out and chunks[a].start() < out[-1][1]):
+                continue
+            run = chunks[a : b + 1]
+            start, end = run[0].start(), run[-1].end()
+            if text[start:end] != " ".join(c[0] for c in run) or (start and text[start - 1] == "«" and run[0][0][0].isupper()):
+                continue
+            if any(c[0].isdigit() or re.search(f"[{_DASH}]", c[0]) for c in run):
+                continue
+            if not text[start:end].isupper() and any(c[0][0].isupper() for c in run[1:]):
+                continue
+            found = decoder.decode(_plain(text[start:end]))
+            if found and len(found[0]) == 1:
+                out.append((start, end, _as_cased(found[0][0], text[start:end]), found[1]))
+                break
+    return out
+
+
 def find_hyphens(page: Page, text_lines: list[int], decoder: Decoder, compounds: set[str]) -> None:
     """Lines whose last word goes on in the next line of text."""
     for i, j in zip(text_lines, text_lines[1:]):
@@ -332,7 +363,17 @@ def find_glyphs(page: Page, text_lines: list[int], decoder: Decoder) -> None:
         if not odd:
             continue
         last, first = i in page.hyphen, i in parts
+        merged = [
+            x for x in _merged(decoder, line)
+            if not (last and not line[x[1] :].strip(_DASH + " ")) and not (first and not line[: x[0]].strip())
+        ]
+        for start, end, read, wrong in merged:
+            if wrong:
+                page.glyph.add(i)
+            page.repairs.setdefault(i, []).append((line[start:end], read))
         for m in _CHUNK.finditer(line):
+            if any(start <= m.start() < end for start, end, _, _ in merged):
+                continue
             chunk = m[0]
             low = chunk.lower()
             if low in words or chunk.isdigit():
@@ -510,6 +551,8 @@ def _reread(paragraph: str, decoder: Decoder) -> str:
     label = _LABEL.match(paragraph)
     if label and re.search(r"\d", label[1]) and not re.fullmatch(r"[\d.]+", label[1]):
         paragraph = paragraph[: label.start(1)] + _number(label[1]) + paragraph[label.end(1) :]
+    for start, end, read, _ in reversed(_merged(decoder, paragraph)):
+        paragraph = paragraph[:start] + read + paragraph[end:]
     return _CHUNK.sub(fix, paragraph)
 
 

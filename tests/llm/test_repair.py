@@ -68,6 +68,25 @@ def test_findings_of_a_scan():
     assert text.startswith("# УСТАВ ООО «Проба»\n\n1.1. ") and "1.2. Проект «Провало» инвестиционных сделок:" in text
 
 
+@pytest.mark.parametrize(
+    ("read", "want", "glyphs"),
+    [
+        ("Вопрос директо ров общества.", "Вопрос директоров общества.", []),
+        ("Вопрос двух сторон них сделок.", "Вопрос двухсторонних сделок.", []),
+        ("Проект инвести циопных сделок.", "Проект инвестиционных сделок.", [0]),
+        ("Совет и директо\nров общества", "Совет и директоров общества", []),
+        ("СОВЕТ ДИРЕКТО РОВ", "СОВЕТ ДИРЕКТОРОВ", []),
+        ("вопрос директо Ров", "вопрос директо Ров", []),
+        ("вопрос директо, ров", "вопрос директо, ров", []),
+        ("вопрос «Директо ров»", "вопрос «Директо ров»", []),
+        ("вопрос абракадабра общества", "вопрос абракадабра общества", []),
+    ],
+)
+def test_words_split_by_a_space(read, want, glyphs):
+    text, found = ocr_repair.repair(read, DECODER, COMPOUNDS)
+    assert text == want and found == [(i, "glyph") for i in glyphs]
+
+
 def test_repair_of_documents(spark):
     clean = spark.createDataFrame([(" ".join(WORDS),)] * 5, "md string")
     rows = [(1, SCAN), (2, None), (3, ""), (4, "\n\n"), (1, SCAN), (5, "с0вет " * 20_000)]
