@@ -481,9 +481,13 @@ def label_centroids(spark: SparkSession, root: str) -> DataFrame:
 )
 def tree_search(spark: SparkSession, root: str) -> DataFrame:
     """Coarse to fine: the two nearest centroids of each query, then their vectors."""
+    return _tree(spark, root, 2)
+
+
+def _tree(spark: SparkSession, root: str, sections: int) -> DataFrame:
     rows = _vectors(spark, root)
     asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vec")
-    coarse = vectors.rank(asked, vectors.pool(rows, "label").select(F.col("label").alias("section"), "vec"), "section", 2)
+    coarse = vectors.rank(asked, vectors.pool(rows, "label").select(F.col("label").alias("section"), "vec"), "section", sections)
     inside = rows.join(F.broadcast(coarse.select("query_id", F.col("section").cast("int").alias("label"))), "label")
     scored = inside.join(F.broadcast(asked.withColumnRenamed("vec", "qv")), "query_id")
     cosine = F.round(vectors.dot(F.col("vec"), F.col("qv")) / (vectors.norm(F.col("vec")) * vectors.norm(F.col("qv"))), 6)
@@ -491,6 +495,12 @@ def tree_search(spark: SparkSession, root: str) -> DataFrame:
     return got.select("query_id", "vec_id", "score", "rank")
 
 
+@query("tree_search_sections", SQL["tree_search"].replace("WHERE r <= 2)", "WHERE r <= 8)"))
+def tree_search_sections(spark: SparkSession, root: str) -> DataFrame:
+    """Coarse to fine with the reference's eight nearest sections; ``tree_search`` and its SQL keep two."""
+    return _tree(spark, root, 8)
+
+
 S_HASHED = f"""{T.UNITS}, hw AS (SELECT unit_id, sha1(w) AS h FROM (SELECT unit_id, unnest({s_tokens("text")}) AS w FROM units)),
 hs AS (SELECT unit_id, CAST(('0x' || substring(h, 15, 2)) AS INT) AS dim,
        sum(CASE WHEN CAST(('0x' || substring(h, 14, 1)) AS INT) % 2 = 1 THEN 1 ELSE -1 END) AS v FROM hw GROUP BY 1, 2),

@@ -288,3 +288,9 @@ def test_contexts_keep_the_best_chunk_and_fall_back(spark):
     assert [c.split()[0] for c in got[1].split("\n\n")] == [f"1.{n}" for n in range(2, 14)]
     assert got[2].startswith("2.0 ") and "\n\n" not in got[2]
     assert [r.doc for r in chunking.contexts(scored, chunks, 6, 9000).collect()] == [1]
+
+
+def test_tree_search_sections_finds_most_of_the_nearest(spark, data):
+    nearest = {(r.query_id, r.vec_id) for r in registry.queries()["vector_topk"](spark, data).where("rank <= 5").collect()}
+    found = {(r.query_id, r.vec_id) for r in registry.queries()["tree_search_sections"](spark, data).collect()}
+    assert len(found & nearest) >= 0.7 * len(nearest)
