@@ -576,7 +576,7 @@ def repair_documents(
     """
     spark = scanned.sparkSession
     n = clean.where(F.col(clean_text) != "").count()
-    least = max(2 if n < 500 else 3, math.ceil(n * share))
+    least = max(3, math.ceil(n * share))
     rows = words_of_texts(clean, clean_text).where(F.col("n") >= least).limit(VOCABULARY_WORDS + 1).collect()
     if len(rows) > VOCABULARY_WORDS:
         raise ValueError(f"more than {VOCABULARY_WORDS} words; raise the share")

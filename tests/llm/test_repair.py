@@ -99,6 +99,12 @@ def test_repair_of_documents(spark):
     assert ocr_repair.repair_documents(scans.where("false"), "k", "md", clean, "md").count() == 0
 
 
+def test_a_word_of_two_texts_is_no_vocabulary(spark):
+    clean = spark.createDataFrame([("совет директоров",)] * 2 + [("совет директоров кворум",)] * 2, "md string")
+    scans = spark.createDataFrame([(1, "с0вет кв0рум")], "k int, md string")
+    assert ocr_repair.repair_documents(scans, "k", "md", clean, "md").first().repaired == "совет кв0рум"
+
+
 @pytest.mark.parametrize(
     ("word", "first"),
     [("cовет", "совет"), ("Οбщества", "Общества"), ("WebDАV", "WebDAV"), ("ЕRР", "ERP"), ("Hаблюдатeльный", "Наблюдательный")],
