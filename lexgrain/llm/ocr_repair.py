@@ -1,29 +1,38 @@
 """Repair of text recognised from scanned pages.
 
-Lines of page furniture are told from charter text.  Each chunk of the rest that is
-no known word is decoded: alone, with its neighbours on the line or in the joined
-paragraph (so across line ends too) as one stream with spaces, and over a line-end
-hyphen with the other half.  A path over the characters may drop a space inside a
-word, part two words that ran together and take a misread glyph for the letter it
-stands for, each at a cost, so that the cheapest words of the corpus win.  Whether a
-hyphen at a line end goes is settled by rule on the pair of lines.  Known words are
-not searched, so a word split into two known words stays split.  Paragraph boundaries are chosen by
-dynamic programming over the lines.
+Lines of page furniture are told from charter text: markers and numbers by their
+shape, running heads because they recur at page breaks.  The rest is one stream
+without lines, in which a line end is a character and a hyphen before it another.
+Around each chunk of it that is no known word, the stream is decoded jointly: a path
+over a lattice of words may drop a space or a line end inside a word, drop or keep a
+hyphen at a line end, part words that ran together and take misread glyphs for the
+letters they stand for, each at a cost; what isn't read stays as it is, at a cost
+that grows with its length.  Broken and misread lines are read off the cheapest path.
+Paragraph boundaries are chosen by dynamic programming over the lines.
+
+The vocabulary stays a table.  Every confusion of the decoder is an identity under
+:func:`skeleton`, so the words that a chunk may stand for are found by an equi-join on
+skeletons, once for each different stretch of text.
 """
 
 from __future__ import annotations
 
+import heapq
+import json
 import math
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lexgrain.runtime import materialise
 
 #: What a glyph was read as, and the letter it stands for.
 MISREAD = [
@@ -33,19 +42,26 @@ MISREAD = [
     ("ıо", "ю"), ("iо", "ю"), ("lо", "ю"), ("u,", "ц"), ("(", "с"), (")|(", "ж"), ("€", "е"), ("е", "с"), ("|", "л"),
     ("1", "л"), ("й", "и"), ("ii", "п"), ("jо", "ю"), ("т", "г"), ("д", "л"),
 ]
+#: Skeletons of characters, chosen so that both sides of every confusion
+#: have the same one; a character that isn't listed is its own.
+_SKELETON = {
+    **dict.fromkeys("1iılj!|лд", "l"), **dict.fromkeys("пний", "ll"), **dict.fromkeys("0oо", "o"),
+    **dict.fromkeys("се€(", "c"), "г": "т", "8": "в", "3": "з", "4": "ч", "6": "б", "щ": "ш", "b": "ь",
+    "ы": "ьl", "ю": "lo", "м": "rn", "m": "rn", "ф": "cр", "ц": "u,", "ж": ")lc",
+}
+_SKELETONS = str.maketrans(_SKELETON)
 _DASH = "-‐‑¬\xad"
 _NUMBER_GLYPHS = "0-9ОоOoІіIlЗзбSВ|!"
 _N = rf"[{_NUMBER_GLYPHS}]{{1,5}}"
 _MARKER = re.compile(
     rf"-{{2,}} ?Page .*-{{2,}}|Total pages:.*|<!--.*-->|(?:стр|лист|страница|с)\.? *{_N}(?: *(?:из|/) *{_N})?"
-    rf"|[-—–\[(] ?{_N} ?[-—–\])]|[ivxlc]{{1,6}}|(?-i:[0-9]{{0,3}}[lIІ|!][0-9lIІОO|!]{{0,3}}|[0-9]{{1,3}}[ОO])|Копия верна\b.*",
+    rf"|[-—–\[(] ?{_N} ?[-—–\])]|[ivxlc]{{1,6}}|(?-i:[0-9]{{0,3}}[lIІ|!][0-9lIІОO|!]{{0,3}}|[0-9]{{1,3}}[ОO])",
     re.I,
 )
 _PAGE = re.compile(r"-{2,} ?Page +(\d+)")
 _BARE = re.compile(r"\d{1,6}")
 _CHUNK = re.compile(r"(?:\)\|\(|u,(?=[а-яё-])|[^\s.,;:«»\"—№%*#|\[\]<>/\\)…])+", re.I)
-_TAIL = re.compile(rf"((?:\)\|\(|u,(?=[а-яё-])|[^\s«»\",.;:—)|])+)([{_DASH}])\s*$", re.I)
-_HEAD = re.compile(r"\s*((?:\)\|\(|u,(?=[а-яё])|[^\s«»\".,;:)—|#*])+)", re.I)
+_TAIL = re.compile(rf"[{_DASH}]\s*$")
 _LABEL = re.compile(
     rf"\s*(?:[-*•>|#]+ ?)*\**(?:(?:статья|глава|раздел) +)?([{_NUMBER_GLYPHS}]{{1,3}}(?:[.,][{_NUMBER_GLYPHS}]{{1,3}})*)(?=[.)*|](?:\D|$)|\s*$)",
     re.I,
@@ -55,6 +71,14 @@ _ITEM = re.compile(r"\s*(?:[-*•] |\d+\)|[а-я]\))")
 _CF = re.compile("[\xad​‌‍⁠﻿]")
 _VOCABULARY_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _CYRILLIC = re.compile("[а-яё]")
+_PASSED = "(!?')"
+
+# separators of a stream: a space and a line end that may fall inside a word, one that may not, a
+# hyphen at a line end before a word that goes on, another dash there, a hyphen before a
+# word that seems new, and a hyphen that only stands for the end of the next word
+SPACE, LINE, APART, HYPHEN, DASH, DOUBTFUL, HANGING = " \n\t\x02\x03\x04\x05"
+_BREAKS = HYPHEN + DASH + DOUBTFUL + HANGING
+_PIECE = re.compile(rf"[^ \n\t{_BREAKS}-]+")
 
 
 @dataclass(frozen=True)
@@ -62,10 +86,26 @@ class Costs:
     """Costs of the decoder, in units of one certain confusion."""
 
     confusion: float = 1.0
+    #: Of a space, or a line end without a hyphen, inside a word.
     join: float = 1.5
+    join_lines: float = 1.8
+    #: Of parting two words that ran together; each has at least three letters.
     split: float = 2.5
-    unknown: float = 1.2
-    most_confusions: int = 2
+    #: Of a hyphen at a line end: dropped inside a word; kept after о, kept elsewhere; not read on.
+    hyphen: float = 0.1
+    compound: float = 0.6
+    other_compound: float = 2.0
+    hanging: float = 20.0
+    #: Of letters that aren't read: at least, and for each letter.
+    literal: float = 2.9
+    literal_letter: float = 0.54
+    #: Of a word that is one in e of the words of the corpus.
+    rarity: float = 0.05
+
+
+def skeleton(text: str) -> str:
+    """Form that a word shares with everything it may be misread as."""
+    return text.translate(_SKELETONS)
 
 
 def words_of_texts(texts: DataFrame, text: str) -> DataFrame:
@@ -102,82 +142,144 @@ def _counted(counts: Counter) -> pa.RecordBatch:
     )
 
 
-def one_script(word: str) -> bool:
-    return word.isascii() or not re.search("[a-z]", word)
-
-
-class Decoder:
-    """Joint segmentation of character streams into known words."""
-
-    def __init__(self, counts: dict[str, int], costs: Costs = Costs()):
-        self.costs = costs
-        self.words = {w: n for w, n in counts.items() if one_script(w)}
-        total = sum(self.words.values()) or 1
-        self.rarity = {w: 0.05 * math.log(total / n) for w, n in self.words.items()}
-        self.prefixes = {w[:i] for w in self.words for i in range(1, len(w) + 1)}
-        self.read_as: dict[str, list[tuple[str, str]]] = {}
-        for read, truth in MISREAD:
-            self.read_as.setdefault(read[0], []).append((read, truth))
-        self._memo: dict[str, tuple[tuple[str, ...], int] | None] = {}
-
-    def edges(self, stream: str, start: int) -> Iterator[tuple[int, str, float, int]]:
-        """Words that may begin at ``start``: ``(end, word, cost, confusions)``.
-
-        A space within the stream may be dropped (the word was split there).
-        """
-        costs = self.costs
-        stack = [(start, "", 0.0, 0)]
-        while stack:
-            at, word, cost, confusions = stack.pop()
-            if word in self.words:
-                yield at, word, cost + self.rarity[word], confusions
-            if at == len(stream):
-                continue
-            c = stream[at]
-            if c == " ":
-                if word:
-                    stack.append((at + 1, word, cost + costs.join, confusions))
+class Token(NamedTuple):
+    """Part of a stream that reads otherwise than it stands: ``word`` for ``start .. end``,
+    where letters were misread and where lines were broken (a kept hyphen is in ``word``)."""
+
+    start: int
+    end: int
+    word: str
+    glyphs: tuple[int, ...]
+    breaks: tuple[int, ...]
+
+
+_READ_AS: dict[str, list[tuple[str, str]]] = {}
+for _read, _truth in MISREAD:
+    _READ_AS.setdefault(_read[0], []).append((_read, _truth))
+
+
+def decode(stream: str, rarity: dict[str, float], costs: Costs = Costs()) -> tuple[float, list[Token]]:
+    """Cheapest reading of a stream: its cost and the tokens that differ from the stream.
+
+    ``rarity`` has the words that may occur and what each costs.  Streams are lower case;
+    their separators are the constants above.  The search takes states in the order of
+    their cost, so the first to reach the end is the cheapest path and confusions need
+    no limit.
+    """
+    n = len(stream)
+    prefixes = {w[:i] for w in rarity for i in range(1, len(w) + 1)}
+    piece_end: dict[int, int] = {m.start(): m.end() for m in _PIECE.finditer(stream)}
+
+    def literal(piece: str) -> float:
+        known = rarity.get(piece)
+        if known is not None:
+            return known
+        if not _CYRILLIC.search(piece):
+            return 0.0
+        return max(costs.literal, costs.literal_letter * len(piece))
+
+    # states: (position, prefix of the word that is being read, whether it began inside a chunk);
+    # prefix None: between words, "о"/"" as third: just behind a word (that ends with о)
+    heap: list = [(0.0, 0, 0, None, None, None)]
+    seen = set()
+    count = 0
+
+    def push(cost, at, prefix, mark, trace):
+        nonlocal count
+        if (at, prefix, mark) not in seen:
+            count += 1
+            heapq.heappush(heap, (cost, count, at, prefix, mark, trace))
+
+    while heap:
+        cost, _, at, prefix, mark, trace = heapq.heappop(heap)
+        if (at, prefix, mark) in seen:
+            continue
+        seen.add((at, prefix, mark))
+        if prefix is None and at == n:
+            return cost, _tokens(stream, trace)
+        c = stream[at] if at < n else ""
+        if prefix is None:
+            behind = mark is not None
+            if c in SPACE + LINE + APART + "-":
+                push(cost, at + 1, None, None, trace)
                 continue
-            if word + c in self.prefixes:
-                stack.append((at + 1, word + c, cost, confusions))
-            if confusions < costs.most_confusions:
-                for read, truth in self.read_as.get(c, ()):
-                    if stream.startswith(read, at) and word + truth in self.prefixes:
-                        stack.append((at + len(read), word + truth, cost + costs.confusion, confusions + 1))
-
-    def decode(self, stream: str) -> tuple[tuple[str, ...], int] | None:
-        """Cheapest words of a stream and the confusions in them; None if it is no known text.
-
-        Streams are lower case, with single spaces and without hyphens at line ends.
-        """
-        if stream in self._memo:
-            return self._memo[stream]
-        n = len(stream)
-        best: list[tuple[float, int, tuple[str, ...]] | None] = [None] * (n + 1)
-        best[0] = (0.0, 0, ())
-        for at in range(n):
-            if best[at] is None:
+            if c in _BREAKS:
+                if behind:
+                    free = c == HANGING or c == DOUBTFUL
+                    push(cost + (0.0 if free else costs.hanging), at + 1, None, None, trace)
+                    if c == HYPHEN or (c == DOUBTFUL and mark == "о"):
+                        more = costs.compound if mark == "о" else costs.other_compound
+                        push(cost + more, at + 1, None, None, (trace, "k", at, at + 1, "-"))
                 continue
-            cost, confusions, words = best[at]
-            if stream[at] == " ":
-                if best[at + 1] is None or cost < best[at + 1][0]:
-                    best[at + 1] = (cost, confusions, words)
+            if c in _PASSED:
+                push(cost + 0.05, at + 1, None, mark, trace)
+            if behind:
+                push(cost + costs.split, at, "", True, (trace, "b", at, at, ""))
                 continue
-            part = self.costs.split if at and stream[at - 1] != " " else 0.0
-            for end, word, more, wrong in self.edges(stream, at):
-                # a short word is no evidence that two words ran together
-                if (part or (end < n and stream[end] != " ")) and len(word) < 3:
-                    continue
-                new = cost + part + more
-                if best[end] is None or new < best[end][0]:
-                    best[end] = (new, confusions + wrong, (*words, word))
-        found = best[n]
-        unknown = self.costs.unknown * sum(c != " " for c in stream)
-        result = None if found is None or found[0] > max(2.9, 0.45 * unknown) else (found[2], found[1])
-        if len(self._memo) > 300_000:
-            self._memo.clear()
-        self._memo[stream] = result
-        return result
+            push(cost, at, "", False, (trace, "b", at, at, ""))
+            end = piece_end.get(at)
+            if end:
+                piece = stream[at:end]
+                last = "о" if piece in rarity and piece[-1] == "о" else ""
+                push(cost + literal(piece), end, None, last, trace)
+                after = piece_end.get(end + 1) if stream[end : end + 1] in (HYPHEN, DASH) and end < n else None
+                if after:
+                    both = piece + stream[end + 1 : after]
+                    lost = rarity.get(both)
+                    lost = max(costs.literal, costs.literal_letter * len(both)) if lost is None else lost
+                    push(cost + lost + costs.hyphen, after, None, "", (trace, "l", at, after, both, end))
+            continue
+        # inside a word
+        if prefix in rarity:
+            inside = c and c not in _BREAKS + SPACE + LINE + APART + "-"
+            if len(prefix) > 2 or not (mark or inside):
+                push(cost + rarity[prefix], at, None, "о" if prefix[-1] == "о" else "", (trace, "w", at, at, prefix))
+        if not c:
+            continue
+        if c in SPACE + LINE + APART + _BREAKS:
+            if prefix and c == SPACE:
+                push(cost + costs.join, at + 1, prefix, mark, (trace, "j", at, at + 1, ""))
+            elif prefix and c == LINE:
+                push(cost + costs.join_lines, at + 1, prefix, mark, (trace, "j", at, at + 1, ""))
+            elif prefix and c != APART:
+                push(cost + costs.hyphen, at + 1, prefix, mark, (trace, "h", at, at + 1, ""))
+                if prefix + "-" in prefixes and c != HANGING:
+                    push(cost, at + 1, prefix + "-", mark, (trace, "h", at, at + 1, ""))
+            continue
+        if prefix + c in prefixes:
+            push(cost, at + 1, prefix + c, mark, trace)
+        for read, truth in _READ_AS.get(c, ()):
+            if prefix + truth in prefixes and stream.startswith(read, at):
+                push(cost + costs.confusion, at + len(read), prefix + truth, mark, (trace, "g", at, at, ""))
+    return math.inf, []
+
+
+def _tokens(stream: str, trace) -> list[Token]:
+    """Tokens of a path that differ from the stream."""
+    steps = []
+    while trace:
+        steps.append(trace[1:])
+        trace = trace[0]
+    out: list[Token] = []
+    start, glyphs, breaks, moved = 0, [], [], False
+    for step in reversed(steps):
+        kind, at, end, word = step[:4]
+        if kind == "b":
+            start, glyphs, breaks, moved = at, [], [], False
+            parted = at > 0 and stream[at - 1] not in SPACE + LINE + APART + _BREAKS + "-" + _PASSED
+        elif kind == "g":
+            glyphs.append(at)
+        elif kind == "j":
+            moved = True
+        elif kind == "h":
+            breaks.append(at)
+        elif kind == "k":
+            out.append(Token(at, end, word, (), (at,)))
+        elif kind == "l":
+            out.append(Token(at, end, word, (), (step[4],)))
+        elif parted or moved or glyphs or breaks:
+            out.append(Token(start, at, " " * parted + word, tuple(glyphs), tuple(breaks)))
+    return out
 
 
 @dataclass
@@ -186,13 +288,18 @@ class Page:
 
     lines: list[str]
     furniture: set[int] = field(default_factory=set)
-    hyphen: dict[int, tuple[int, str]] = field(default_factory=dict)  # line -> next line, joined by
+    hyphen: set[int] = field(default_factory=set)
     glyph: set[int] = field(default_factory=set)
-    repairs: dict[int, list[tuple[str, str]]] = field(default_factory=dict)
+    #: Line -> next line and what joins the word that goes on there.
+    joined: dict[int, tuple[int, str]] = field(default_factory=dict)
+    #: Line -> parts of it that read otherwise: (start, end, reading).
+    repairs: dict[int, list[tuple[int, int, str]]] = field(default_factory=dict)
 
 
 def _near(a: str, b: str, most: int) -> bool:
     """Whether two strings differ by at most ``most`` edits."""
+    if a == b:
+        return True
     if abs(len(a) - len(b)) > most:
         return False
     row = list(range(len(b) + 1))
@@ -209,39 +316,68 @@ def _letters(text: str) -> str:
     return "".join(c for c in text.casefold() if c.isalpha())
 
 
-def find_furniture(page: Page) -> None:
-    """Lines that belong to the page: markers, numbers, running heads, stamps."""
+def find_furniture(page: Page, stamps: re.Pattern) -> None:
+    """Lines that belong to the page: markers, stamps, running heads and page numbers."""
     lines = page.lines
-    title = next((x for x in lines if re.match(r"\s*#\s+\S", x)), "")
-    name = re.search(r"(\S+)\s+(\S+\s+«[^»]+»)", title)
-    heads = set()
-    if name:
-        kind, org = _letters(name[1]), _letters(name[2])
-        heads = {org, kind + org, org + "редакциягода"}
+    texts = [(i, s) for i, x in enumerate(lines) if (s := x.strip())]
+    page.furniture.update(i for i, s in texts if _MARKER.fullmatch(s) or stamps.match(s))
+    find_heads(page, texts)
     bare, listing, number = [], None, 0
-    for i, line in enumerate(lines):
-        s = line.strip()
-        if not s:
-            continue
+    for i, s in texts:
         marker = _PAGE.match(s)
         if marker:
             number = int(marker[1])
-        if _MARKER.fullmatch(s):
-            page.furniture.add(i)
-        elif _BARE.fullmatch(s):
-            bare.append((i, int(s), number, listing is not None and line[:1] != " "))
-        elif heads and len(s) < 90 and s[0] not in "#|" and any(_near(_letters(s), h, 2) for h in heads) and len(_letters(s)) > 4:
-            page.furniture.add(i)
+        if i in page.furniture:
+            continue
+        if _BARE.fullmatch(s):
+            bare.append((i, int(s), number, listing is not None and lines[i][:1] != " "))
         else:
             listing = i if s.endswith(":") else None
+    page.furniture.update(i for i, _, _, in_list in bare if not in_list)
     # page numbers run with the pages; in a list of numbers only those that do are furniture
     offsets = Counter(value - number for _, value, number, in_list in bare if not in_list)
     usual = offsets.most_common(1)[0][0] if offsets else None
     for i, value, number, in_list in bare:
-        if not in_list or (usual is not None and value - number == usual and _beside_marker(page, i)):
+        if in_list and usual is not None and value - number == usual and _beside_marker(page, i):
             page.furniture.add(i)
 
 
+def find_heads(page: Page, texts: list[tuple[int, str]]) -> None:
+    """Running heads: short lines that repeat the end of the title or recur at page breaks.
+
+    A head may add a number and up to two words to the end of the title.
+    """
+    title = next((s for _, s in texts if s.startswith("# ")), "")
+    words = re.findall(r"\w+", title)
+    ends = {_letters("".join(words[k:])) for k in range(len(words))}
+    ends = {e for e in ends if len(e) > 4}
+    edges = set()
+    for place, (i, s) in enumerate(texts):
+        if i in page.furniture or place in (0, len(texts) - 1) or _BARE.fullmatch(s):
+            edges.update(i for i, _ in texts[max(0, place - 2) : place + 3])
+    found = []
+    for i, s in texts:
+        if i not in page.furniture and len(s) < 90 and s[0] not in "#|" and s[-1] not in ".;:,":
+            key = _letters(s)
+            if len(key) > 4:
+                found.append((i, s, key))
+    at_edges = Counter(key for i, _, key in found if i in edges)
+    for i, s, key in found:
+        if (
+            any(_near(e, key, 2) for e in ends)
+            or (i in edges and (at_edges[key] > 1 or any(o != key and _near(o, key, 2) for o in at_edges)))
+            or (s[-1].isalpha() and any(key.startswith(e) and _few_words(s, e) for e in ends))
+        ):
+            page.furniture.add(i)
+
+
+def _few_words(line: str, head: str) -> bool:
+    """Whether a line has a number and one or two words behind a head."""
+    words = re.findall(r"\w+", line)
+    rest = next((words[k:] for k in range(len(words)) if _letters("".join(words[:k])) == head), [])
+    return 1 < len(rest) < 4 and any(w.isdigit() for w in rest)
+
+
 def _beside_marker(page: Page, i: int) -> bool:
     """Whether the next or the previous line with text is page furniture."""
     for step in (-1, 1):
@@ -253,146 +389,315 @@ def _beside_marker(page: Page, i: int) -> bool:
     return False
 
 
-def _known(decoder: Decoder, chunk: str) -> bool:
-    return chunk in decoder.words or not _CYRILLIC.search(chunk)
-
-
 def _plain(chunk: str) -> str:
-    return unicodedata.normalize("NFC", _CF.sub("", chunk.lower()))
-
-
-def _read(decoder: Decoder, chunk: str) -> tuple[str, int]:
-    """A chunk (lower case, may hold hyphens) as it reads, and its confusions."""
-    if _known(decoder, chunk):
-        return chunk, 0
-    for bare in (chunk.strip("()!?'"), chunk.lstrip("("), chunk.rstrip("!?")):
-        if bare != chunk and _known(decoder, bare):
-            return chunk, 0
-    out, wrong = [], 0
-    for part in re.split(f"([{_DASH}])", chunk):
-        if not part or part in _DASH or _known(decoder, part):
-            out.append(part)
-            continue
-        found = decoder.decode(part)
-        if found is None and part[:1] == "(":
-            found = decoder.decode(part[1:])
-        if found is None:
-            out.append(part)
-        else:
-            out.append(" ".join(found[0]))
-            wrong += found[1]
-    return "".join(out), wrong
-
-
-def _merged(decoder: Decoder, text: str) -> list[tuple[int, int, str, int]]:
-    """Words that spaces split, as ``(start, end, word, confusions)``.
-
-    Each unknown chunk is decoded with the chunk before it, the one after it or
-    both as one stream with its spaces; it was split where the cheapest path is
-    a single word.  Other parts than the first don't begin with a capital.
-    """
-    chunks = list(_CHUNK.finditer(text))
-    out: list[tuple[int, int, str, int]] = []
-    for i, m in enumerate(chunks):
-        if _known(decoder, m[0].lower()):
-            continue
-        for a, b in ((i - 1, i), (i, i + 1), (i - 1, i + 1)):
-            if a < 0 or b >= len(chunks) or (out and chunks[a].start() < out[-1][1]):
-                continue
-            run = chunks[a : b + 1]
-            start, end = run[0].start(), run[-1].end()
-            if text[start:end] != " ".join(c[0] for c in run) or (start and text[start - 1] == "«" and run[0][0][0].isupper()):
-                continue
-            if any(c[0].isdigit() or re.search(f"[{_DASH}]", c[0]) for c in run):
-                continue
-            if not text[start:end].isupper() and any(c[0][0].isupper() for c in run[1:]):
+    low = chunk.lower()
+    return low if low.isascii() else unicodedata.normalize("NFC", _CF.sub("", low))
+
+
+class Chunk:
+    """A chunk of the stream: the parts of lines that it joins and its characters."""
+
+    __slots__ = ("parts", "stream", "whole", "frozen")
+
+    def __init__(self, line: int, start: int, end: int, text: str, frozen: bool):
+        self.parts = [(line, start, end, 0)]
+        self.stream = _plain(text)
+        self.whole = text
+        self.frozen = frozen
+
+    def extend(self, other: Chunk, sign: str) -> None:
+        line, start, end, _ = other.parts[0]
+        self.parts.append((line, start, end, len(self.stream) + 1))
+        self.stream += sign + other.stream
+        self.whole += other.whole
+
+    def place(self, at: int, ends: bool = False) -> tuple[int, int]:
+        """Line and column of a position of this chunk's stream."""
+        part = self.parts[0]
+        for p in self.parts[1:]:
+            if at >= p[3] + ends:
+                part = p
+        line, start, end, base = part
+        nxt = next((p[3] - 1 for p in self.parts if p[3] > base), len(self.stream))
+        return line, (end if at >= nxt else min(end, start + at - base))
+
+
+def chunks_of(page: Page, text_lines: list[int]) -> list[Chunk | None]:
+    """Chunks of the stream in order; None where something parts them that no word crosses."""
+    out: list[Chunk | None] = []
+    pending: tuple[Chunk, str] | None = None  # chunk before a hyphen at its line's end
+    for i in text_lines:
+        line = page.lines[i]
+        block = line.lstrip()[:1] in "#|"
+        label = _LABEL.match(line)
+        low = label.end(1) if label else 0
+        found = [m for m in _CHUNK.finditer(line)]
+        last_end = 0
+        if block:
+            out.append(None)
+        for k, m in enumerate(found):
+            start, end, text = m.start(), m.end(), m[0]
+            gap = line[last_end:start]
+            last_end = end
+            if end <= low:
+                out.append(None)
+                pending = None
                 continue
-            found = decoder.decode(_plain(text[start:end]))
-            if found and len(found[0]) == 1:
-                out.append((start, end, _as_cased(found[0][0], text[start:end]), found[1]))
-                break
+            sign = ""
+            if k == len(found) - 1 and not block:
+                tail = _TAIL.search(line)
+                if tail and tail.start() == end - 1 and end - start > 1:
+                    sign, end, text = text[-1], end - 1, text[:-1]
+            frozen = start > 0 and line[start - 1] == "«" and text[0].isupper()
+            chunk = Chunk(i, start, end, text, frozen)
+            if pending and k == 0 and not gap.strip() and not block and (text[0].isalnum() or text[0] in "(!)€"):
+                before, dash = pending
+                before.extend(chunk, _break(before.whole, text, dash))
+                chunk = before
+            else:
+                if gap.strip():
+                    out.append(None)
+                out.append(chunk)
+            pending = (chunk, sign) if sign else None
+        if block or (line[last_end:].strip() and not pending):
+            out.append(None)
+            pending = None
     return out
 
 
-def find_hyphens(page: Page, text_lines: list[int], decoder: Decoder, compounds: set[str]) -> None:
-    """Lines whose last word goes on in the next line of text."""
-    for i, j in zip(text_lines, text_lines[1:]):
-        line = page.lines[i]
-        tail = _TAIL.search(line)
-        if not tail:
+def _break(left: str, right: str, dash: str) -> str:
+    """Separator for a hyphen at a line end."""
+    if dash in "-‐‑" and right.lower() in ("и", "или"):
+        return HANGING
+    if right[0].islower() or right[0] in "0(!8346" or (left.isupper() and right.isupper()):
+        return HYPHEN if dash in "-‐‑" else DASH
+    return DOUBTFUL
+
+
+def _known(piece: str, hot: dict[str, float]) -> bool:
+    if piece in hot or not _CYRILLIC.search(piece):
+        return True
+    bare = piece.strip(_PASSED)
+    return bare != piece and bare in hot and piece[:1] in "('" and not set(piece[1:]) & set("!(")
+
+
+def _settled(chunk: Chunk, hot: dict[str, float]) -> str | None:
+    """What joins a chunk's lines if it needs no decoding ("" for one without breaks), else None."""
+    stream = chunk.stream
+    if len(chunk.parts) == 1:
+        return "" if stream in hot or all(_known(p, hot) for p in _PIECE.findall(stream)) else None
+    if len(chunk.parts) > 2:
+        return None
+    cut = chunk.parts[1][3] - 1
+    left, right = stream[:cut].split("-"), stream[cut + 1 :].split("-")
+    if not all(_known(p, hot) for p in left[:-1] + right[1:]):
+        return None
+    if left[-1] + right[0] in hot:
+        return ""
+    return "-" if f"{left[-1]}-{right[0]}" in hot and stream[cut] != HANGING else None
+
+
+def _between(a: Chunk, b: Chunk, page: Page) -> str:
+    """Separator between two neighbouring chunks."""
+    line, _, end, _ = a.parts[-1]
+    other, start, _, _ = b.parts[0]
+    if b.whole[0].isdigit() or a.whole[-1].isdigit() or b.whole[0] == "-" or a.whole[-1] == "-":
+        return APART
+    if b.whole[0].isupper() and not (a.whole.isupper() and b.whole.isupper() and len(a.whole) > 1):
+        return APART
+    if line == other:
+        return SPACE if page.lines[line][end:start] == " " else APART
+    return APART if _ITEM.match(page.lines[other]) or _CLAUSE.match(page.lines[other]) else LINE
+
+
+class Window(NamedTuple):
+    """A chunk to decode with its neighbours: their stream and where the chunk is in it."""
+
+    key: str
+    chunks: tuple[Chunk, ...]
+    starts: tuple[int, ...]
+
+
+def windows(page: Page, chunks: list[Chunk | None], hot: dict[str, float]) -> Iterator[Window]:
+    """Windows around all chunks that need decoding."""
+    for at, chunk in enumerate(chunks):
+        if chunk is None or chunk.frozen or _settled(chunk, hot) is not None:
             continue
-        following = page.lines[j]
-        head = _HEAD.match(following)
-        if not head or following.lstrip()[:1] in "#|":
+        group = [chunk]
+        signs: list[str] = []
+        centre = 0
+        before = chunks[at - 1] if at else None
+        after = chunks[at + 1] if at + 1 < len(chunks) else None
+        if before is not None and not before.frozen:
+            group.insert(0, before)
+            signs.append(_between(before, chunk, page))
+            centre = 1
+        if after is not None and not after.frozen:
+            group.append(after)
+            signs.append(_between(chunk, after, page))
+        stream, starts = "", []
+        for k, part in enumerate(group):
+            starts.append(len(stream))
+            stream += part.stream + (signs[k] if k < len(signs) else "")
+        low = starts[centre]
+        yield Window(f"{stream}\x1f{low}\x1f{low + len(chunk.stream)}", tuple(group), tuple(starts))
+
+
+def _parts_of(key: str) -> tuple[str, int, int]:
+    stream, low, high = key.split("\x1f")
+    return stream, int(low), int(high)
+
+
+def requests(key: str) -> list[str]:
+    """Skeletons of the words that a window may hold without parting run-together words."""
+    stream, low, high = _parts_of(key)
+    out = set()
+    chunk = stream[low:high]
+    for part in re.split(f"[{_BREAKS}]", chunk):
+        for piece in _PIECE.findall(part):
+            out.update((piece, piece.strip(_PASSED), piece.lstrip("('"), piece.rstrip("!?')")))
+    halves = re.split(f"[{_BREAKS}]", chunk)
+    for a, b in zip(halves, halves[1:]):
+        a, b = a.split("-")[-1], b.split("-")[0]
+        out.update((a + b, f"{a}-{b}"))
+    joined = re.sub(f"[{_BREAKS}]", "", chunk)
+    out.add(joined)
+    # words that a space or a line end parts, over one neighbour or both
+    before = stream[:low]
+    after = stream[high:]
+    left = re.sub(f"[{_BREAKS}]", "", before[:-1]) if before[-1:] in (SPACE, LINE) and before else None
+    right = re.sub(f"[{_BREAKS}]", "", after[1:]) if after[:1] in (SPACE, LINE) and after else None
+    if left:
+        out.add(left + joined)
+    if right:
+        out.add(joined + right)
+    if left and right:
+        out.add(left + joined + right)
+    # neighbours are read too, lest their letters count as unknown
+    for side in (before, after):
+        out.update(_PIECE.findall(side))
+        out.add(re.sub(f"[ \n\t{_BREAKS}]", "", side))
+    return sorted({skeleton(x) for x in out if x})
+
+
+def requests_within(chunk: str) -> list[str]:
+    """Skeletons of all parts of a chunk's pieces that could be words run together."""
+    out = set()
+    for piece in _PIECE.findall(re.sub(f"[{_BREAKS}]", "", chunk)):
+        n = len(piece)
+        for a in range(n):
+            for b in range(a + 3, min(n, a + 40) + 1):
+                out.add(skeleton(piece[a:b]))
+    return sorted(out)
+
+
+class Reader:
+    """Decodes windows with the words that were found for them."""
+
+    def __init__(self, hot: dict[str, float], total: int, costs: Costs):
+        self.hot, self.total, self.costs = hot, total, costs
+
+    def rarity(self, words: list[tuple[str, int]]) -> dict[str, float]:
+        return {w: self.costs.rarity * math.log(self.total / n) for w, n in words}
+
+    def read(self, key: str, words: list[tuple[str, int]]) -> tuple[list[Token], bool]:
+        """Tokens that touch the window's chunk; whether parting it could be cheaper still."""
+        stream, low, high = _parts_of(key)
+        rarity = self.rarity(words)
+        for side in (stream[:low], stream[high:]):
+            for piece in _PIECE.findall(side):
+                bare = piece.strip(_PASSED)
+                for x in (piece, bare):
+                    if x in self.hot:
+                        rarity[x] = self.hot[x]
+            whole = re.sub(f"[ \n\t{_BREAKS}]", "", side)
+            if whole in self.hot:
+                rarity[whole] = self.hot[whole]
+        for piece in _PIECE.findall(stream[low:high]):
+            if piece in self.hot:
+                rarity[piece] = self.hot[piece]
+        cost, tokens = decode(stream, rarity, self.costs)
+        least, _ = decode(stream[:low].rstrip(SPACE + LINE + APART), rarity, self.costs) if low else (0.0, None)
+        rest = stream[high:].lstrip(SPACE + LINE + APART)
+        more, _ = decode(rest, rarity, self.costs) if rest else (0.0, None)
+        touching = [t for t in tokens if t.start < high and t.end > low]
+        return touching, cost - least - more > self.costs.split
+
+    def packed(self, tokens: list[Token]) -> str | None:
+        return json.dumps(tokens, ensure_ascii=False) if tokens else None
+
+
+def _unpacked(text: str) -> list[Token]:
+    return [Token(a, b, w, tuple(g), tuple(h)) for a, b, w, g, h in json.loads(text)]
+
+
+def apply_readings(page: Page, chunks: list[Chunk | None], readings: dict[str, str], hot: dict[str, float]) -> None:
+    """Enter what the windows read into the page: broken lines, misread lines, repairs."""
+    lines = set()
+    for chunk in chunks:
+        if chunk is None:
             continue
-        left = re.split(f"[{_DASH}]", _plain(tail[1]) or tail[1].lower())[-1]
-        right = re.split(f"[{_DASH}]", _plain(head[1]))[0]
-        if not left or not right or not right[0].isalnum() and right[0] not in "(!":
+        lines.add(chunk.parts[0][0])
+        if len(chunk.parts) < 2:
             continue
-        if right in ("и", "или") and tail[2] == "-":
-            continue
-        whole, pair = left + right, f"{left}-{right}"
-        if whole in decoder.words:
-            joined = ""
-        elif pair in compounds or (tail[2] == "-" and left in decoder.words and right in decoder.words and left.endswith("о")):
-            joined = "-"
-        elif decoder.decode(whole) is not None:
-            joined = ""
-        elif tail[2] == "-" and left.endswith("о") and _read(decoder, left)[0] in decoder.words and _read(decoder, right)[0] in decoder.words:
-            joined = "-"
-        elif head[1][0].islower() or head[1][0] in "0(!8346" or tail[1].isupper():
+        joined = _settled(chunk, hot)
+        if joined is None and chunk.frozen and not set(chunk.stream) & {DOUBTFUL, HANGING}:
             joined = ""
-        else:
-            continue
-        page.hyphen[i] = (j, joined)
+        if joined is not None:
+            for (i, *_), (j, *_) in zip(chunk.parts, chunk.parts[1:]):
+                page.hyphen.add(i)
+                page.joined[i] = (j, joined)
+    last = (-1, -1)  # end of the last token that was entered
+    for window in windows(page, chunks, hot) if readings else ():
+        text = readings.get(window.key)
+        for token in _unpacked(text) if text is not None else ():
+            start, end = _place(window, token.start), _place(window, token.end, True)
+            if start < last:
+                continue
+            last = end
+            page.glyph.update(_place(window, at)[0] for at in token.glyphs)
+            for at in token.breaks:
+                line = _place(window, at - 1)[0]
+                page.hyphen.add(line)
+                page.joined[line] = (_place(window, at + 1)[0], "-" if "-" in token.word else "")
+            _enter(page, window, token, start, end)
+    for i in lines:
+        label = _LABEL.match(page.lines[i])
+        if label and _misread_label(label[1], page.lines[i]):
+            page.glyph.add(i)
 
 
-def find_glyphs(page: Page, text_lines: list[int], decoder: Decoder) -> None:
-    """Lines with misread words or clause numbers, and what they read."""
-    parts = {j: i for i, (j, _) in page.hyphen.items()}
-    words = decoder.words
-    for i in text_lines:
-        line = page.lines[i]
-        label = _LABEL.match(line)
-        if label and not label[1].isascii() or label and not re.fullmatch(r"[\d.]+", label[1]):
-            raw = label[1]
-            numeric = re.search(r"\d", raw) or re.fullmatch(r"[lІIО]", raw) and re.match(r"\s*[#-]", line) or re.fullmatch(r"[lІIЗб][.,][lІIЗбО]", raw)
-            if numeric and not re.fullmatch(r"\d+", raw):
-                page.glyph.add(i)
-        odd = [c for c in _CHUNK.findall(line) if c.lower() not in words and not c.isdigit()]
-        if not odd:
-            continue
-        last, first = i in page.hyphen, i in parts
-        merged = [
-            x for x in _merged(decoder, line)
-            if not (last and not line[x[1] :].strip(_DASH + " ")) and not (first and not line[: x[0]].strip())
-        ]
-        for start, end, read, wrong in merged:
-            if wrong:
-                page.glyph.add(i)
-            page.repairs.setdefault(i, []).append((line[start:end], read))
-        for m in _CHUNK.finditer(line):
-            if any(start <= m.start() < end for start, end, _, _ in merged):
-                continue
-            chunk = m[0]
-            low = chunk.lower()
-            if low in words or chunk.isdigit():
-                if not (last or first):
-                    continue
-            if m.start() and line[m.start() - 1] == "«" and chunk[0].isupper():
-                continue  # an invented name
-            at_end = last and not line[m.end() :].strip()
-            at_start = first and not line[: m.start()].strip()
-            if at_end or at_start:
-                continue
-            low = _plain(chunk)
-            read, wrong = _read(decoder, low)
-            if wrong:
-                page.glyph.add(i)
-            if read != low:
-                page.repairs.setdefault(i, []).append((chunk, _as_cased(read, chunk)))
-    for i, (j, joined) in page.hyphen.items():
-        _glyph_of_break(page, i, j, joined, decoder)
+def _place(window: Window, at: int, ends: bool = False) -> tuple[int, int]:
+    """Line and column of a position in a window's stream."""
+    k = max(k for k, s in enumerate(window.starts) if s < at + (not ends) or k == 0)
+    return window.chunks[k].place(at - window.starts[k], ends)
+
+
+def _enter(page: Page, window: Window, token: Token, start: tuple[int, int], end: tuple[int, int]) -> None:
+    """Repairs of the lines that a token lies on."""
+    piece = _parts_of(window.key)[0][token.start : token.end]
+    if token.word in (re.sub(f"[{_BREAKS}]", "", piece), re.sub(f"[{_BREAKS}]", "-", piece)):
+        return  # only a hyphen goes or stays
+    first, last = page.lines[start[0]], page.lines[end[0]]
+    if start[0] == end[0]:
+        page.repairs.setdefault(start[0], []).append((start[1], end[1], _as_cased(token.word, first[start[1] : end[1]])))
+        return
+    # over line ends: the whole word goes to the first line
+    original = first[start[1] :].rstrip(_DASH + " ") + last[: end[1]].lstrip()
+    page.joined[start[0]] = (end[0], " " if last[end[1] : end[1] + 1].isspace() else "")
+    page.repairs.setdefault(start[0], []).append((start[1], len(first), _as_cased(token.word, original)))
+    page.repairs.setdefault(end[0], []).append((0, end[1], ""))
+
+
+def _misread_label(raw: str, line: str) -> bool:
+    if re.fullmatch(r"[\d.]+", raw):
+        return False
+    numeric = (
+        re.search(r"\d", raw)
+        or re.fullmatch(r"[lІIО]", raw) and re.match(r"\s*[#-]", line)
+        or re.fullmatch(r"[lІIЗб][.,][lІIЗбО]", raw)
+    )
+    return bool(numeric) and not re.fullmatch(r"\d+", raw)
 
 
 def _as_cased(read: str, chunk: str) -> str:
@@ -402,67 +707,6 @@ def _as_cased(read: str, chunk: str) -> str:
     return read[:1].upper() + read[1:] if chunk[:1].isupper() else read
 
 
-def _glyph_of_break(page: Page, i: int, j: int, joined: str, decoder: Decoder) -> None:
-    """Misread letters of a word that is broken over two lines, by the side they are on."""
-    tail, head = _TAIL.search(page.lines[i]), _HEAD.match(page.lines[j])
-    start = tail.start(1)
-    if start and page.lines[i][start - 1] == "«" and tail[1][:1].isupper():
-        return
-    left, right = _plain(tail[1]), _plain(head[1])
-    lefts, rights = re.split(f"[{_DASH}]", left), re.split(f"[{_DASH}]", right)
-    for part in lefts[:-1]:
-        if _read(decoder, part)[1]:
-            page.glyph.add(i)
-    for part in rights[1:]:
-        # the continuation may be broken again; then its last part belongs to that break
-        if j not in page.hyphen and _read(decoder, part)[1]:
-            page.glyph.add(j)
-    a, b = lefts[-1], rights[0]
-    if joined:
-        if _read(decoder, a)[1]:
-            page.glyph.add(i)
-        if _read(decoder, b)[1]:
-            page.glyph.add(j)
-        return
-    if a + b in decoder.words:
-        return
-    for side in (0, 1, 2):  # misread before the break, after it, on both sides
-        lx, rx = _sides(decoder, a, b, side)
-        if lx or rx:
-            if lx:
-                page.glyph.add(i)
-            if rx:
-                page.glyph.add(j)
-            return
-
-
-def _sides(decoder: Decoder, a: str, b: str, side: int) -> tuple[bool, bool]:
-    """Whether ``a + b`` is a word with misread letters in the given part(s) only."""
-    for x in _variants(decoder, a) if side != 1 else [a]:
-        if side == 2 and x == a:
-            continue
-        for y in _variants(decoder, b) if side != 0 else [b]:
-            if x + y in decoder.words and (x, y) != (a, b):
-                return x != a, y != b
-    # a glyph may lie across the break
-    return (False, False)
-
-
-def _variants(decoder: Decoder, part: str) -> list[str]:
-    """Readings of a part of a word with up to two misread glyphs, the fewest first."""
-    out, level = [part], {part}
-    for _ in range(decoder.costs.most_confusions):
-        new = set()
-        for word in level:
-            for at in range(len(word)):
-                for read, truth in decoder.read_as.get(word[at], ()):
-                    if word.startswith(read, at):
-                        new.add(word[:at] + truth + word[at + len(read) :])
-        level = new - set(out)
-        out.extend(sorted(level))
-    return out
-
-
 def paragraphs(page: Page, text_lines: list[int]) -> list[list[int]]:
     """Lines of each paragraph: the split of least cost.
 
@@ -482,7 +726,7 @@ def paragraphs(page: Page, text_lines: list[int]) -> list[list[int]]:
         block = before.lstrip()[:1] in "#|" or after[:1] in "#|"
         if block:
             together[k] += 20.0
-        if a in page.hyphen and page.hyphen[a][0] == b:
+        if a in page.joined and page.joined[a][0] == b:
             apart[k] += 30.0
         if before[-1:] not in ".;:!?":
             apart[k] += 3.0
@@ -513,13 +757,29 @@ def paragraphs(page: Page, text_lines: list[int]) -> list[list[int]]:
     return out[::-1]
 
 
-def repair(text: str, decoder: Decoder, compounds: set[str]) -> tuple[str, list[tuple[int, str]]]:
-    """Repaired text (paragraphs parted by blank lines) and findings ``(line, kind)``."""
+#: Stamps that a scanned page may bear; a parameter, since they are set words.
+STAMPS = re.compile(r"Копия верна\b", re.I)
+
+
+def _page_of(text: str, stamps: re.Pattern) -> tuple[Page, list[int], list[Chunk | None]]:
     page = Page(text.split("\n"))
-    find_furniture(page)
+    find_furniture(page, stamps)
     text_lines = [i for i, x in enumerate(page.lines) if x.strip() and i not in page.furniture]
-    find_hyphens(page, text_lines, decoder, compounds)
-    find_glyphs(page, text_lines, decoder)
+    return page, text_lines, chunks_of(page, text_lines)
+
+
+def asks(text: str, hot: dict[str, float], stamps: re.Pattern = STAMPS) -> set[str]:
+    """Keys of the windows of a text that need decoding."""
+    page, _, chunks = _page_of(text, stamps)
+    return {w.key for w in windows(page, chunks, hot)}
+
+
+def repair(
+    text: str, readings: dict[str, str], hot: dict[str, float], stamps: re.Pattern = STAMPS
+) -> tuple[str, list[tuple[int, str]]]:
+    """Repaired text (paragraphs parted by blank lines) and findings ``(line, kind)``."""
+    page, text_lines, chunks = _page_of(text, stamps)
+    apply_readings(page, chunks, readings, hot)
     found = [(i, "furniture") for i in sorted(page.furniture)]
     found += [(i, "hyphen") for i in sorted(page.hyphen)] + [(i, "glyph") for i in sorted(page.glyph)]
     out = []
@@ -527,91 +787,144 @@ def repair(text: str, decoder: Decoder, compounds: set[str]) -> tuple[str, list[
         joined = ""
         for i in group:
             line = page.lines[i]
-            for chunk, read in page.repairs.get(i, ()):
-                line = line.replace(chunk, read, 1)
+            for start, end, read in sorted(page.repairs.get(i, ()), reverse=True):
+                line = line[:start] + read + line[end:]
             line = line.strip()
-            if i in page.hyphen and page.hyphen[i][0] in group:
-                joined += line.rstrip(_DASH + " ") + page.hyphen[i][1]
+            if i in page.joined and page.joined[i][0] in group:
+                joined += line.rstrip(_DASH + " ") + page.joined[i][1]
             else:
                 joined += line + " "
-        out.append(_reread(joined.rstrip(), decoder))
+        joined = joined.rstrip()
+        label = _LABEL.match(joined)
+        if label and re.search(r"\d", label[1]) and not re.fullmatch(r"[\d.]+", label[1]):
+            joined = joined[: label.start(1)] + _number(label[1]) + joined[label.end(1) :]
+        out.append(joined)
     return "\n\n".join(out), found
 
 
-def _reread(paragraph: str, decoder: Decoder) -> str:
-    """A joined paragraph with words that were broken and misread repaired too."""
+def _number(label: str) -> str:
+    return label.translate(str.maketrans("ОоOoІіIlЗзбSВ|!,", "0000111133658" + "11."))
 
-    def fix(m: re.Match) -> str:
-        low = m[0].lower()
-        if low in decoder.words or m[0].isdigit() or (m.start() and paragraph[m.start() - 1] == "«" and m[0][0].isupper()):
-            return m[0]
-        read, _ = _read(decoder, _plain(m[0]))
-        return m[0] if read == low else _as_cased(read, m[0])
 
-    label = _LABEL.match(paragraph)
-    if label and re.search(r"\d", label[1]) and not re.fullmatch(r"[\d.]+", label[1]):
-        paragraph = paragraph[: label.start(1)] + _number(label[1]) + paragraph[label.end(1) :]
-    for start, end, read, _ in reversed(_merged(decoder, paragraph)):
-        paragraph = paragraph[:start] + read + paragraph[end:]
-    return _CHUNK.sub(fix, paragraph)
+@F.arrow_udf(T.StringType())
+def _skeletons(words: pa.Array) -> pa.Array:
+    return pa.array([skeleton(w) for w in words.to_pylist()], pa.string())
 
 
-def _number(label: str) -> str:
-    return label.translate(str.maketrans("ОоOoІіIlЗзбSВ|!,", "0000111133658" + "11."))
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _requests(keys: pa.Array) -> pa.Array:
+    return pa.array([requests(k) for k in keys.to_pylist()], pa.list_(pa.string()))
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _requests_within(chunks: pa.Array) -> pa.Array:
+    return pa.array([requests_within(c) for c in chunks.to_pylist()], pa.list_(pa.string()))
 
 
-#: The vocabulary travels to the workers; this is its checked size.
-VOCABULARY_WORDS = 300_000
+def vocabulary(clean: DataFrame, text: str, least: int = 3) -> DataFrame:
+    """Words of at least ``least`` texts, in one script each: ``word``, ``n``, ``skeleton``."""
+    mixed = F.col("word").rlike("[a-z]") & F.col("word").rlike(r"[^\x00-\x7f]")
+    words = words_of_texts(clean, text).where(F.col("n") >= least).where(~mixed)
+    return words.withColumn("skeleton", _skeletons("word"))
 
 
 def repair_documents(
-    scanned: DataFrame, key: str, text: str, clean: DataFrame, clean_text: str, share: float = 1 / 20_000, costs: Costs = Costs()
+    scanned: DataFrame,
+    key: str,
+    text: str,
+    clean: DataFrame,
+    clean_text: str,
+    costs: Costs = Costs(),
+    hot_words: int = 50_000,
+    stamps: re.Pattern = STAMPS,
 ) -> DataFrame:
     """``key``, ``repaired`` and ``found`` (array of line_no, kind) of scanned texts.
 
-    The vocabulary is that of ``clean``: words in at least three of its texts and
-    in at least the given share of them, which bounds their number whatever the
-    size of the corpus.  Null texts give null and no findings, empty ones are
-    empty; repeated keys give one row each.
+    The vocabulary is that of ``clean``: words in at least three of its texts, at every
+    size.  It stays a table; only its ``hot_words`` most frequent words travel to the
+    workers, to tell early which chunks need no look-up (with any other number of them
+    the rows are the same).  Null texts give null and no findings, empty ones are empty;
+    repeated keys give one row each.
     """
     spark = scanned.sparkSession
-    n = clean.where(F.col(clean_text) != "").count()
-    least = max(3, math.ceil(n * share))
-    rows = words_of_texts(clean, clean_text).where(F.col("n") >= least).limit(VOCABULARY_WORDS + 1).collect()
-    if len(rows) > VOCABULARY_WORDS:
-        raise ValueError(f"more than {VOCABULARY_WORDS} words; raise the share")
-    # words of the scanned texts alone, if in one of twenty: no misreading is as frequent
-    m = scanned.where(F.col(text) != "").count()
-    own = words_of_texts(scanned, text).where(F.col("n") >= max(3, math.ceil(0.05 * m))).collect()
-    counts = {r.word: r.n for r in own} | {r.word: r.n for r in rows}
-    shared = spark.sparkContext.broadcast(counts)
-    mark = xxhash.xxh64_hexdigest("\n".join(f"{w} {c}" for w, c in sorted(counts.items())))
+    known = materialise(vocabulary(clean, clean_text))
+    total = known.agg(F.sum("n")).first()[0] or 1
+    top = known.orderBy(F.desc("n"), "word").limit(hot_words).select("word", "n").collect()
+    hot = {r.word: costs.rarity * math.log(total / r.n) for r in top}
+    shared = spark.sparkContext.broadcast(hot)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                ids, keys = [], []
+                for t, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    found = sorted(asks(s, shared.value, stamps))
+                    ids.extend([t] * len(found))
+                    keys.extend(found)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], names=["t", "k"])
+
+    @F.arrow_udf("struct<reading:string,more:boolean>")
+    def read(keys: pa.Array, words: pa.Array) -> pa.Array:
+        reader = Reader(shared.value, total, costs)
+        readings, more = [], []
+        for k, ws in zip(keys.to_pylist(), words.to_pylist()):
+            tokens, cheaper = reader.read(k, [(w["word"], w["n"]) for w in ws])
+            readings.append(reader.packed(tokens))
+            more.append(cheaper)
+        return pa.StructArray.from_arrays([pa.array(readings, pa.string()), pa.array(more)], names=["reading", "more"])
+
+    place = F.xxhash64(F.lit("text"), text)
+    asked = materialise(
+        scanned.where(F.col(text) != "").select(place.alias("t"), text).mapInArrow(ask, "t long, k string")
+    )
+    words = known.select("skeleton", F.struct("word", "n").alias("w"))
+    first = materialise(
+        asked.select("k").distinct()
+        .select("k", F.explode(_requests("k")).alias("skeleton"))
+        .join(words, "skeleton", "left")
+        .groupBy("k").agg(F.collect_set("w").alias("ws"))
+        .select("k", "ws", read("k", "ws").alias("r"))
+    )
+    # where parting a chunk could be cheaper, all words inside it are looked up
+    centre = F.expr("substring(k, cast(split(k, '\x1f')[1] as int) + 1, cast(split(k, '\x1f')[2] as int) - cast(split(k, '\x1f')[1] as int))")
+    open_ = first.where("r.more").select("k", "ws", centre.alias("c"))
+    inside = (
+        open_.select("c").distinct()
+        .select("c", F.explode(_requests_within("c")).alias("skeleton"))
+        .join(words, "skeleton")
+        .groupBy("c").agg(F.collect_set("w").alias("inside"))
+    )
+    second = open_.join(inside, "c", "left").select(
+        "k", read("k", F.array_union("ws", F.coalesce("inside", F.array().cast("array<struct<word:string,n:bigint>>")))).alias("r")
+    )
+    readings = (
+        first.where("not r.more").select("k", F.col("r.reading").alias("reading"))
+        .unionByName(second.select("k", F.col("r.reading").alias("reading")))
+        .where("reading is not null")
+    )
+    of_text = asked.distinct().join(readings, "k").groupBy("t").agg(F.collect_list(F.struct("k", "reading")).alias("_r"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if mark not in _DECODERS:
-            _DECODERS.clear()
-            known = shared.value
-            simple = {w: c for w, c in known.items() if "-" not in w}
-            _DECODERS[mark] = (Decoder(simple, costs), {w for w in known if "-" in w})
-        decoder, compounds = _DECODERS[mark]
+        kind = pa.list_(pa.struct([("line_no", pa.int64()), ("kind", pa.string())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 texts, found = [], []
-                for t in part.column(1).to_pylist():
-                    fixed, marks = (t, []) if not t else repair(t, decoder, compounds)
+                for t, r in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    known_readings = {x["k"]: x["reading"] for x in r or ()}
+                    fixed, marks = (t, []) if not t else repair(t, known_readings, shared.value, stamps)
                     texts.append(fixed)
                     found.append([{"line_no": i, "kind": k} for i, k in marks])
-                kind = pa.list_(pa.struct([("line_no", pa.int64()), ("kind", pa.string())]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(texts, pa.string()), pa.array(found, kind)],
                     names=[key, "repaired", "found"],
                 )
 
     kind = dict(scanned.dtypes)[key]
-    return scanned.select(key, text).mapInArrow(
-        run, f"`{key}` {kind}, repaired string, found array<struct<line_no:bigint,kind:string>>"
+    return (
+        scanned.select(F.col(key), F.col(text), place.alias("t"))
+        .join(of_text, "t", "left")
+        .select(key, text, "_r")
+        .mapInArrow(run, f"`{key}` {kind}, repaired string, found array<struct<line_no:bigint,kind:string>>")
     )
-
-
-_DECODERS: dict[str, tuple[Decoder, set[str]]] = {}

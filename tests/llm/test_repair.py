@@ -1,35 +1,109 @@
+import functools
+import math
 import unicodedata
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexgrain.llm import canon, lookalikes, ocr_repair
 
-WORDS = "совет директоров комиссия рассматривает вопрос общества проект процедур организация финансово хозяйственной деятельности стоимость страховщика инвестиционных не позднее и или одно двухсторонних сделок в а о с конкурсных подписания".split()
-DECODER = ocr_repair.Decoder({w: 50 for w in WORDS})
-COMPOUNDS = {"финансово-хозяйственной"}
+WORDS = "совет директоров комиссия рассматривает вопрос общества проект процедур организация финансово хозяйственной деятельности стоимость страховщика инвестиционных не позднее и или одно двухсторонних сделок в а о с конкурсных подписания общее собрание акционеров".split()
+COUNTS = {w: 50 for w in [*WORDS, "финансово-хозяйственной"]}
+TOTAL = sum(COUNTS.values())
+COSTS = ocr_repair.Costs()
+RARITY = {w: COSTS.rarity * math.log(TOTAL / n) for w, n in COUNTS.items()}
+
+
+def repair(text, hot):
+    """Repair by look-ups in a dictionary instead of joins, with all words hot or none."""
+    known = RARITY if hot else {}
+    by_skeleton = {}
+    for word in COUNTS:
+        by_skeleton.setdefault(ocr_repair.skeleton(word), []).append(word)
+    reader, readings = ocr_repair.Reader(known, TOTAL, COSTS), {}
+    for key in ocr_repair.asks(text, known):
+        stream, low, high = ocr_repair._parts_of(key)
+        words = {w for s in ocr_repair.requests(key) for w in by_skeleton.get(s, [])}
+        tokens, more = reader.read(key, [(w, COUNTS[w]) for w in words])
+        if more:
+            words |= {w for s in ocr_repair.requests_within(stream[low:high]) for w in by_skeleton.get(s, [])}
+            tokens, _ = reader.read(key, [(w, COUNTS[w]) for w in words])
+        if tokens:
+            readings[key] = reader.packed(tokens)
+    return ocr_repair.repair(text, readings, known)
+
+
+def test_every_confusion_is_an_identity_under_the_skeleton():
+    assert [r for r, t in ocr_repair.MISREAD if ocr_repair.skeleton(r) != ocr_repair.skeleton(t)] == []
 
 
 @pytest.mark.parametrize(
     ("read", "words", "wrong"),
     [
-        ("совет", ("совет",), 0),
-        ("стоиrnость", ("стоимость",), 1),
-        ("страх0вщика", ("страховщика",), 1),
-        ("конкурсньiх", ("конкурсных",), 1),
-        ("проu,едур", ("процедур",), 1),
-        ("подписапия", ("подписания",), 1),
-        ("с0вет директор0в", ("совет", "директоров"), 2),
-        ("советдиректоров", ("совет", "директоров"), 0),
-        ("директо ров", ("директоров",), 0),
+        ("стоиrnость", ["стоимость"], 1),
+        ("страх0вщика", ["страховщика"], 1),
+        ("конкурсньiх", ["конкурсных"], 1),
+        ("проu,едур", ["процедур"], 1),
+        ("подписапия", ["подписания"], 1),
+        ("с0вет директор0в", ["совет", "директоров"], 2),
+        ("советдиректоров", [" директоров"], 0),
+        ("директо ров", ["директоров"], 0),
+        ("директо\x02р0в", ["директоров"], 1),
+        ("иивестициопиых", ["инвестиционных"], 3),
     ],
 )
 def test_decoding(read, words, wrong):
-    assert DECODER.decode(read) == (words, wrong)
+    _, tokens = ocr_repair.decode(read, RARITY)
+    assert [t.word for t in tokens] == words and sum(len(t.glyphs) for t in tokens) == wrong
+
+
+def cheapest(stream, costs=COSTS):
+    """Least cost of reading one chunk without hyphens, by trying every way to cut and misread it."""
+
+    @functools.cache
+    def readings(part):
+        if not part:
+            return {"": 0.0}
+        out = {}
+        for read, truth, cost in [(part[0], part[0], 0.0), *[(r, t, 1.0) for r, t in ocr_repair.MISREAD]]:
+            if part.startswith(read):
+                for rest, more in readings(part[len(read) :]).items():
+                    word = truth + rest
+                    if cost + more < out.get(word, 9.0):
+                        out[word] = cost + more
+        return out
+
+    @functools.cache
+    def best(part, first):
+        least = max(costs.literal, costs.literal_letter * len(part)) if first else math.inf
+        for end in range(1, len(part) + 1):
+            whole = first and end == len(part)
+            rest = 0.0 if end == len(part) else costs.split + best(part[end:], False)
+            for word, cost in readings(part[:end]).items():
+                if word in RARITY and (whole or len(word) > 2):
+                    least = min(least, cost + RARITY[word] + rest)
+        return least
+
+    return best(stream, True)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.sampled_from([w for w in WORDS if 1 < len(w) < 7]), st.sampled_from(["", "совет", "проект", "и"]), st.data())
+def test_the_search_finds_the_cheapest_path(word, other, data):
+    stream = word + other
+    for _ in range(data.draw(st.integers(0, 3))):
+        at = data.draw(st.integers(0, len(stream) - 1))
+        for read, truth in data.draw(st.permutations(ocr_repair.MISREAD)):
+            if stream.startswith(truth, at) and not set(read) & set("(!|"):
+                stream = stream[:at] + read + stream[at + len(truth) :]
+                break
+    assert ocr_repair.decode(stream, RARITY)[0] == pytest.approx(cheapest(stream))
 
 
 def test_unknown_words_are_left():
-    assert DECODER.decode("абракадабра") is None
+    assert ocr_repair.decode("абракадабра", RARITY)[1] == []
 
 
 SCAN = """Total pages: 2
@@ -57,8 +131,9 @@ SCAN = """Total pages: 2
 Копия верна. Рег. № 5-7"""
 
 
-def test_findings_of_a_scan():
-    text, found = ocr_repair.repair(SCAN, DECODER, COMPOUNDS)
+@pytest.mark.parametrize("hot", [True, False])
+def test_findings_of_a_scan(hot):
+    text, found = repair(SCAN, hot)
     kinds = {k: [i for i, x in found if x == k] for k in ("furniture", "hyphen", "glyph")}
     assert kinds["furniture"] == [0, 1, 9, 10, 11, 22]
     assert kinds["hyphen"] == [4, 5, 7, 14]
@@ -68,35 +143,53 @@ def test_findings_of_a_scan():
     assert text.startswith("# УСТАВ ООО «Проба»\n\n1.1. ") and "1.2. Проект «Провало» инвестиционных сделок:" in text
 
 
+def test_heads_recur_or_repeat_the_title():
+    body = "Совет рассматривает вопрос.\n"
+    page = ocr_repair.Page(
+        f"# УСТАВ АО «Проба»\n{body}Из архива\n3\nИз архива\n{body}АО «ПРОБА»\n{body}АО «Проба» — редакция 2010 года\n{body}АО «Проба» вправе\n{body}".split("\n")
+    )
+    ocr_repair.find_furniture(page, ocr_repair.STAMPS)
+    assert sorted(page.furniture) == [2, 3, 4, 6, 8]
+
+
+@pytest.mark.parametrize("hot", [True, False])
 @pytest.mark.parametrize(
-    ("read", "want", "glyphs"),
+    ("read", "want", "found"),
     [
         ("Вопрос директо ров общества.", "Вопрос директоров общества.", []),
+        ("общее собра ние акционеров", "общее собрание акционеров", []),
         ("Вопрос двух сторон них сделок.", "Вопрос двухсторонних сделок.", []),
-        ("Проект инвести циопных сделок.", "Проект инвестиционных сделок.", [0]),
+        ("Проект инвести циопных сделок.", "Проект инвестиционных сделок.", [(0, "glyph")]),
         ("Совет и директо\nров общества", "Совет и директоров общества", []),
+        ("Совет и дирек-\nтор0в общества", "Совет и директоров общества", [(0, "hyphen"), (1, "glyph")]),
+        ("советдиректоров общества", "совет директоров общества", []),
+        ("Проект иивестициопиых сделок", "Проект инвестиционных сделок", [(0, "glyph")]),
         ("СОВЕТ ДИРЕКТО РОВ", "СОВЕТ ДИРЕКТОРОВ", []),
         ("вопрос директо Ров", "вопрос директо Ров", []),
         ("вопрос директо, ров", "вопрос директо, ров", []),
         ("вопрос «Директо ров»", "вопрос «Директо ров»", []),
+        ("общества «Пр0ект» пр0ект", "общества «Пр0ект» проект", [(0, "glyph")]),
         ("вопрос абракадабра общества", "вопрос абракадабра общества", []),
     ],
 )
-def test_words_split_by_a_space(read, want, glyphs):
-    text, found = ocr_repair.repair(read, DECODER, COMPOUNDS)
-    assert text == want and found == [(i, "glyph") for i in glyphs]
+def test_joint_decoding(read, want, found, hot):
+    assert repair(read, hot) == (want, found)
 
 
-def test_repair_of_documents(spark):
-    clean = spark.createDataFrame([(" ".join(WORDS),)] * 5, "md string")
-    rows = [(1, SCAN), (2, None), (3, ""), (4, "\n\n"), (1, SCAN), (5, "с0вет " * 20_000)]
-    scans = spark.createDataFrame(rows, "k int, md string").withColumn("found", F.lit(0))
-    got = {r.k: r for r in ocr_repair.repair_documents(scans, "k", "md", clean, "md").collect()}
+@pytest.mark.parametrize("hot", [0, 3, 50_000])
+def test_repair_of_documents(spark, hot):
+    clean = spark.createDataFrame([(" ".join(WORDS) + " финансово-хозяйственной",)] * 5, "md string")
+    rows = [(1, SCAN), (2, None), (3, ""), (4, "\n\n"), (1, SCAN), (5, "с0вет " * 20_000), (None, "советдиректоров")]
+    scans = spark.createDataFrame(rows, "k int, md string").withColumn("found", F.lit(0)).withColumn("t", F.lit("x"))
+    got = {r.k: r for r in ocr_repair.repair_documents(scans, "k", "md", clean, "md", hot_words=hot).collect()}
     assert got[2].repaired is None and got[2].found == [] and got[3].repaired == "" and got[4].repaired == ""
-    assert len(got[1].found) > 8 and got[5].repaired.split() == ["совет"] * 20_000
-    none = ocr_repair.repair_documents(scans, "k", "md", clean.where("false"), "md").collect()
-    assert len(none) == len(rows)
-    assert ocr_repair.repair_documents(scans.where("false"), "k", "md", clean, "md").count() == 0
+    text, found = repair(SCAN, True)
+    assert got[1].repaired == text and [(f.line_no, f.kind) for f in got[1].found] == found
+    assert got[5].repaired.split() == ["совет"] * 20_000 and got[None].repaired == "совет директоров"
+    if not hot:
+        none = ocr_repair.repair_documents(scans, "k", "md", clean.where("false"), "md").collect()
+        assert len(none) == len(rows)
+        assert ocr_repair.repair_documents(scans.where("false"), "k", "md", clean, "md").count() == 0
 
 
 def test_a_word_of_two_texts_is_no_vocabulary(spark):
