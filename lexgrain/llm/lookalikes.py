@@ -3,8 +3,8 @@
 Characters are composed, brought to ordinary width and stripped of invisible
 ones by rule.  Words need the corpus: for each word in more than one script the
 dominant script is determined and the look-alike letters of the others are
-substituted, if the result is a word of the corpus.  A word whose letters can be
-written in one script only has no other reading and needs no witness.
+substituted, if the result is a word of the corpus; other words stay as they are, and
+so do words in one script.
 """
 
 from __future__ import annotations
@@ -129,8 +129,9 @@ def readings(word: str) -> list[str]:
         return []
     scripts = [script_of(c) for c in word]
     kinds = set(scripts)
-    foreign = "І" in word or "і" in word or "Ј" in word or "Ѕ" in word
-    if "OTHER" in kinds or (len(kinds) == 1 and kinds != {"GREEK"} and not foreign):
+    # letters of other Cyrillic alphabets are mixed in just as those of other scripts
+    foreign = kinds == {"CYRILLIC"} and any(c in "ІіЈЅ" for c in word)
+    if "OTHER" in kinds or (len(kinds) == 1 and not foreign):
         return []
     forms = []
     for script in _TO:
@@ -205,8 +206,9 @@ def consistent_texts(rows: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, ``value``, ``consistent`` of texts that have anything to look at.
 
     Texts that are absent from the result are consistent; so are null and empty
-    ones.  Repeated keys give one row each.  Words without a reading in one
-    script stay as they are.  The corpus vocabulary is that of ``rows``.
+    ones.  Repeated keys give one row each.  Words without a reading in one script
+    that the corpus has (the vocabulary of ``rows``) stay as they are; of several
+    readings that it has, the one in the dominant script wins.
     """
     kind = dict(rows.dtypes)[key]
     spelled = materialise(
@@ -216,14 +218,12 @@ def consistent_texts(rows: DataFrame, key: str, text: str) -> DataFrame:
         spelled.select(F.explode("_words").alias("_w"))
         .distinct()
         .withColumn("_f", _readings("_w"))
-        .select("_w", F.size("_f").alias("_n"), F.posexplode("_f").alias("_pos", "_form"))
+        .select("_w", F.posexplode("_f").alias("_pos", "_form"))
         .withColumn("word", F.lower("_form"))
     )
-    seen = vocabulary(rows, text).withColumn("_seen", F.lit(1))
-    first = Window.partitionBy("_w").orderBy(F.desc(F.coalesce("_seen", F.lit(0))), "_pos")
+    first = Window.partitionBy("_w").orderBy("_pos")
     chosen = (
-        candidates.join(seen, "word", "left")
-        .where("_seen = 1 or _n = 1 or _pos = 0")
+        candidates.join(vocabulary(rows, text), "word")
         .withColumn("_rn", F.row_number().over(first))
         .where("_rn = 1")
         .select("_w", "_form")
@@ -231,9 +231,9 @@ def consistent_texts(rows: DataFrame, key: str, text: str) -> DataFrame:
     repaired = (
         spelled.where(F.size("_words") > 0)
         .select("_k", "_v", "_plain", F.explode("_words").alias("_w"))
-        .join(chosen, "_w")
+        .join(chosen, "_w", "left")
         .groupBy("_k", "_v", "_plain")
-        .agg(F.collect_list(F.struct("_w", "_form")).alias("_r"))
+        .agg(F.collect_list(F.when(F.col("_form").isNotNull(), F.struct("_w", "_form"))).alias("_r"))
         .select("_k", "_v", _substitute("_plain", F.col("_r._w"), F.col("_r._form")).alias("_c"))
     )
     simple = spelled.where(F.size("_words") == 0).select("_k", "_v", F.col("_plain").alias("_c"))

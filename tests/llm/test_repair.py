@@ -206,6 +206,13 @@ def test_readings(word, first):
     assert lookalikes.readings(word)[0] == first
 
 
+def test_a_substitution_needs_a_witness(spark):
+    rows = [(1, "pухo и cовет"), (2, "совет"), (3, "Τуреан"), (4, "ΑΒΟ"), (5, "ΑΒΟвет"), (6, "Ѕовет совет")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    got = {r.k: r.consistent for r in lookalikes.consistent_texts(df, "k", "t").where("value <> consistent").collect()}
+    assert got == {1: "pухo и совет"}
+
+
 def test_words_without_another_reading():
     assert [lookalikes.readings(w) for w in ("совет", "SWIFT", "α", "C", "Яndex")] == [[]] * 5
 
