@@ -1,12 +1,13 @@
 """Mapping of freely typed entries to a reference list.
 
-Each distinct token is joined to the tokens of the reference list over shared
-letter pairs and kept where the edit distance (with transpositions) is small.
-Corrected tokens are combined by soft TF-IDF in both directions: how much of the
-reference entry the typed one has, and how much of the typed one the reference
-entry explains.  A deputy or a committee of a body leaves tokens unexplained, so
-it matches none.  Entries without such a match are tried as abbreviations or
-run-together words: their letters must spell beginnings of the entry's words.
+Each distinct token is joined to the tokens of the reference list over keys that close
+tokens share (what deleting up to two letters leaves of their beginnings) and kept where the
+edit distance, with transpositions, is small.  Corrected tokens are combined by soft
+TF-IDF: the cosine of the typed and the listed entry, each token weighted by its rarity in
+the list and by its similarity.  A deputy or a committee of a body has a token that no entry
+explains, so it is close to none.  Entries without a match are tried as abbreviations and
+as run-together words; both find their candidates by equi-joins on keys that the list's
+entries generate, and no value is held against the whole list.
 """
 
 from __future__ import annotations
@@ -44,23 +45,17 @@ _ENDING = re.compile(r"(?:ого|его|ому|ему|ыми|ими|ами|ям
 
 @dataclass(frozen=True)
 class Rules:
-    """What surrounds an entry without being part of it, and other spellings of tokens."""
-
-    noise: tuple[str, ...] = (
-        r"\([^)]*\)",
-        r"(?:\b(?:ао|ооо|пао|зао|нко)\s*)[«\"][^»\"]*[»\"]?",
-        r",\s*избираем\w*\s.*$",
-        r"\s[—–-]+\s*орган управления",
-        r"\bорган\s*:",
-        r"функции исполняет",
-        r"\bобщества\b",
-        r"\b(?:ст|пп?|гл)\.\s*\d+(?:\.\d+)*\.?,?\s*[—–-]?",
-        r"^\W*\d+(?:\.\d+)*[.)]?\s",
-    )
-    synonyms: dict[str, str] = field(default_factory=lambda: {"гендир": "генеральный"})
+    """What surrounds an entry without being part of it, and the limits of likeness."""
+
+    #: Patterns (lower case) that are blanked out of an entry before it is compared.
+    noise: tuple[str, ...] = ()
+    #: Tokens in other words: what a token stands for.
+    synonyms: dict[str, str] = field(default_factory=dict)
     #: A token may be corrected at this similarity, an entry accepted at that.
     token_similarity: float = 0.58
-    entry_similarity: float = 0.74
+    entry_similarity: float = 0.8
+    #: Of a run-together entry and the joined words of a listed one.
+    joined_similarity: float = 0.75
 
 
 def stem(token: str) -> str:
@@ -120,22 +115,59 @@ def tokens_of(cleaned: str, rules: Rules) -> list[str]:
     return [rules.synonyms.get(t, t) for t in re.findall(r"[^\W_]+", cleaned)]
 
 
-def letters(cleaned: str) -> str:
+def letters(cleaned: str, rules: Rules) -> str:
+    """Letters of an entry; a synonym at its beginning counts as the beginning of its word."""
+    for short, full in rules.synonyms.items():
+        if cleaned.startswith(short) and len(cleaned) > len(short):
+            cleaned = full[:3] + cleaned[len(short) :]
     return "".join(re.findall(r"[^\W\d_]", cleaned))
 
 
-def pairs_of(token: str, skip: bool = False) -> list[str]:
-    """Letter pairs with both ends marked: close tokens share at least one.
+def _deletes(text: str, most: int) -> set[str]:
+    found = level = {text}
+    for _ in range(most):
+        level = {x[:i] + x[i + 1 :] for x in level for i in range(len(x))}
+        found = found | level
+    return found
+
+
+#: Letters of a token's beginning that its keys are made of.
+KEY_LETTERS = 8
+
+
+def keys_of(token: str) -> list[str]:
+    """Keys of a token: its stem and itself, each with up to two letters of the beginning deleted.
 
-    With ``skip`` also pairs over one letter, which exchanged letters leave behind.
+    Of tokens at an edit distance of two, or two exchanges of neighbours, some keys are
+    the same; of short tokens, fewer letters are deleted.
     """
-    marked = f"^{token}$"
-    found = {marked[i : i + 2] for i in range(len(marked) - 1)}
-    if skip:
-        found |= {marked[i] + marked[i + 2] for i in range(len(marked) - 2)}
+    found = set()
+    for form in {token, stem(token)}:
+        found |= _deletes(form[:KEY_LETTERS], 0 if len(form) < 3 else 1 if len(form) < 5 else 2)
     return sorted(found)
 
 
+def short_keys(words: tuple[str, ...]) -> list[str]:
+    """Keys under which an entry's abbreviations are found: how its first words may begin."""
+    if len(words) < 2:
+        return []
+    first, second = words[0], words[1][0]
+    return sorted({f"1{first[0]}{second}", f"t{first[0]}{first[-1]}{second}", f"2{first[:2]}{second}"})
+
+
+def short_requests(short: str) -> list[str]:
+    """The keys of :func:`short_keys` that an entry must have for ``short`` to spell it."""
+    out = {f"1{short[:2]}"}
+    out |= {f"t{short[0]}{short[j - 1]}{short[j]}" for j in range(2, min(6, len(short)))}
+    out |= {f"2{short[:2]}{short[j]}" for j in range(2, len(short))}
+    return sorted(out)
+
+
+def grams_of(text: str) -> set[str]:
+    marked = f"^{text}$"
+    return {marked[i : i + 3] for i in range(len(marked) - 2)}
+
+
 def spells(short: str, words: tuple[str, ...]) -> int | None:
     """Letters left out if ``short`` is beginnings of all the words in order.
 
@@ -175,14 +207,15 @@ def _arrow_clean(rules: Rules):
     return run
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _arrow_pairs(tokens: pa.Array) -> pa.Array:
-    return pa.array([pairs_of(t or "") for t in tokens.to_pylist()], pa.list_(pa.string()))
+def _lists(of):
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([sorted(of(v)) if v else [] for v in values.to_pylist()], pa.list_(pa.string()))
 
+    return run
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _arrow_skip_pairs(tokens: pa.Array) -> pa.Array:
-    return pa.array([pairs_of(t or "", skip=True) for t in tokens.to_pylist()], pa.list_(pa.string()))
+
+_arrow_keys, _arrow_short, _arrow_grams = _lists(keys_of), _lists(short_requests), _lists(grams_of)
 
 
 @F.arrow_udf(T.DoubleType())
@@ -190,6 +223,18 @@ def _arrow_similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([similarity(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
+@F.arrow_udf(T.IntegerType())
+def _arrow_spells(short: pa.Array, words: pa.Array) -> pa.Array:
+    return pa.array([spells(s, tuple(w)) for s, w in zip(short.to_pylist(), words.to_pylist())], pa.int32())
+
+
+@F.arrow_udf(T.DoubleType())
+def _arrow_joined(short: pa.Array, joined: pa.Array) -> pa.Array:
+    return pa.array(
+        [1 - distance(a, b) / max(1, len(b)) for a, b in zip(short.to_pylist(), joined.to_pylist())], pa.float64()
+    )
+
+
 #: Reference entries are kept by every worker; this is the checked size of their list.
 REFERENCE_ROWS = 100_000
 
@@ -197,8 +242,8 @@ REFERENCE_ROWS = 100_000
 class Reference:
     """Entries of the reference list with the weights of their tokens."""
 
-    def __init__(self, rows: list[tuple[int, str, str]], rules: Rules, used: dict[int, int]):
-        self.rules, self.used = rules, used
+    def __init__(self, rows: list[tuple[int, str, str]], rules: Rules):
+        self.rules = rules
         self.entries: dict[int, tuple[str, tuple[str, ...]]] = {}
         for ref, kind, name in rows:
             words = tuple(tokens_of(clean(name, rules), rules))
@@ -210,37 +255,44 @@ class Reference:
                 self.having.setdefault(word, []).append(ref)
         n = len(self.entries)
         self.weight = {w: math.log1p(n / len(refs)) for w, refs in self.having.items()}
-        self.heaviest = max(self.weight.values(), default=1.0)
-        self.whole = {
-            ref: sum(self.weight[w] for w in set(words)) for ref, (_, words) in self.entries.items()
+        self.heaviest = math.log1p(n)
+        self.norm = {
+            ref: math.sqrt(sum(self.weight[w] ** 2 for w in set(words))) for ref, (_, words) in self.entries.items()
         }
-        self.known = [(ref, kind, words) for ref, (kind, words) in self.entries.items()]
 
     def best(self, fixed: dict[str, list[tuple[str, float]]], hint: str) -> tuple[int, float] | None:
-        """Entry with the largest soft TF-IDF in both directions.
+        """Entry with the largest soft TF-IDF, and it.
 
-        ``fixed``: for each typed token its vocabulary words with similarities.
+        ``fixed``: for each typed token the list's words that it may be, with their
+        similarities; a token without any has the weight of a word of one entry.  Entries
+        are looked up by the heaviest tokens only: what the others weigh together
+        is not enough for a match.
         """
-        typed_weight, total = {}, 0.0
+        least = self.rules.entry_similarity
+        weight = {}
         for token, words in fixed.items():
             near = max(words, key=lambda x: (x[1], x[0]), default=None)
-            typed_weight[token] = self.weight[near[0]] if near else self.heaviest
-            total += typed_weight[token]
-        of_listed: dict[int, dict[str, float]] = {}
-        of_typed: dict[int, dict[str, float]] = {}
-        for token, words in fixed.items():
-            for word, s in words:
-                for ref in self.having[word]:
-                    x, y = of_listed.setdefault(ref, {}), of_typed.setdefault(ref, {})
-                    x[word] = max(s, x.get(word, 0.0))
-                    y[token] = max(s, y.get(token, 0.0))
+            weight[token] = self.weight[near[0]] if near else self.heaviest
+        whole = math.sqrt(sum(w * w for w in weight.values()))
+        refs: set[int] = set()
+        left = whole * whole
+        for token in sorted(fixed, key=lambda t: (-weight[t], t)):
+            if math.sqrt(max(0.0, left)) < least * whole:
+                break
+            refs.update(ref for word, _ in fixed[token] for ref in self.having[word])
+            left -= weight[token] ** 2
         options = []
-        for ref in of_listed:
-            got = sum(s * self.weight[w] for w, s in of_listed[ref].items()) / self.whole[ref]
-            gave = sum(s * typed_weight[t] for t, s in of_typed[ref].items()) / total
-            score = round(min(got, gave), 6)
-            if score >= self.rules.entry_similarity:
-                options.append((score, self.entries[ref][0] == hint, -ref))
+        near = {t: dict(words) for t, words in fixed.items()}
+        for ref in refs:
+            kind, words = self.entries[ref]
+            total = 0.0
+            for token, words_of_token in near.items():
+                s, w = max(((words_of_token[w], w) for w in words if w in words_of_token), default=(0.0, ""))
+                if s:
+                    total += s * weight[token] * self.weight[w]
+            score = round(total / (whole * self.norm[ref]), 6)
+            if score >= least:
+                options.append((score, kind == hint, -ref))
         return (-max(options)[2], max(options)[0]) if options else None
 
 
@@ -258,8 +310,10 @@ def map_to_reference(
 
     Result: ``value`` (and ``hint`` if given), ``ref_id`` (null: names none),
     ``similarity``.  A hint (a kind of entry) only decides between entries that
-    match equally well; otherwise the lower id wins.  Null and blank values give
-    no rows.  Null names are no entries; an empty reference list matches none.
+    match equally well; otherwise the lower id wins.  Of several entries that an
+    abbreviation may stand for, the one wins that the values write out most often.  Null and
+    blank values give no rows.  Null names are no entries; an empty reference list
+    matches none.
     """
     rules = rules or Rules()
     spark = values.sparkSession
@@ -269,10 +323,7 @@ def map_to_reference(
     rows = [tuple(r) for r in listed.limit(REFERENCE_ROWS + 1).collect()]
     if len(rows) > REFERENCE_ROWS:
         raise ValueError(f"the reference list has more than {REFERENCE_ROWS} rows")
-    # how often each entry is written out in full decides between abbreviations
-    exact = values.groupBy(F.col(value).alias("_name")).count()
-    full = listed.toDF("_id", "_kind", "_name").join(exact, "_name").groupBy("_id").agg(F.sum("count").alias("n"))
-    book = Reference(rows, rules, {r[0]: r[1] for r in full.collect()})
+    book = Reference(rows, rules)
     words = spark.createDataFrame([(w,) for w in book.having], "_word string")
     tidy = _arrow_clean(rules)
     forms = materialise(
@@ -282,14 +333,12 @@ def map_to_reference(
         .select("_v", "_h", tidy("_v").alias("_c"))
         .select("_v", "_h", "_c.cleaned", "_c.tokens")
     )
-    # distinct tokens against the vocabulary, over shared letter pairs
-    longer = F.greatest(F.length("_t"), F.length("_word"))
+    # distinct tokens against the vocabulary, over what deletions leave
     fixed = (
         forms.select(F.explode("tokens").alias("_t"))
         .distinct()
-        .withColumn("_p", F.explode(_arrow_skip_pairs("_t")))
-        .join(words.withColumn("_p", F.explode(_arrow_pairs("_word"))), "_p")
-        .where(F.abs(F.length("_t") - F.length("_word")) <= 0.42 * longer + 1)
+        .withColumn("_p", F.explode(_arrow_keys("_t")))
+        .join(words.withColumn("_p", F.explode(_arrow_keys("_word"))), "_p")
         .select("_t", "_word")
         .distinct()
         .withColumn("_s", _arrow_similarity("_t", "_word"))
@@ -303,64 +352,91 @@ def map_to_reference(
         .groupBy("_v", "_h", "cleaned")
         .agg(F.collect_list(F.struct("_t", "_near")).alias("_tokens"))
     )
+    shared = spark.sparkContext.broadcast(book)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v, h, cleaned, tokens = (batch.column(i).to_pylist() for i in range(4))
+            kinds, cleaned, tokens = (batch.column(i).to_pylist() for i in range(1, 4))
             found = []
-            for kind, text, near in zip(h, cleaned, tokens):
-                typed = {
-                    x["_t"]: [(y["_word"], y["_s"]) for y in x["_near"] or []] for x in near if x["_t"]
-                }
-                best = book.best(typed, kind) if typed else None
-                found.append(best or shorthand(text, kind, book.known, rules, book.used) or (None, None))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([x[0] for x in found], pa.int64()),
-                    pa.array([x[1] for x in found], pa.float64()),
-                ],
-                names=["_v", "_h", "_id", "_score"],
-            )
-
-    result = gathered.mapInArrow(choose, "_v string, _h string, _id long, _score double")
+            for kind, near in zip(kinds, tokens):
+                typed = {x["_t"]: [(y["_word"], y["_s"]) for y in x["_near"] or []] for x in near if x["_t"]}
+                found.append((shared.value.best(typed, kind) if typed else None) or (None, None))
+            columns = [
+                batch.column(0),
+                batch.column(1),
+                pa.array([letters(c, rules) for c in cleaned], pa.string()),
+                pa.array([" " not in c for c in cleaned]),
+                pa.array([x[0] for x in found], pa.int64()),
+                pa.array([x[1] for x in found], pa.float64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["_v", "_h", "_short", "_one", "_id", "_score"])
+
+    chosen = materialise(
+        gathered.mapInArrow(choose, "_v string, _h string, _short string, _one boolean, _id long, _score double")
+    )
+    rest = shorthand(chosen.where("_id is null"), book, values.select(F.col(value).alias("_name")), listed, rules)
+    result = chosen.where("_id is not null").select("_v", "_h", "_id", "_score").unionByName(rest)
     columns = [F.col("_v").alias(value)]
     if hint:
         columns.append(F.col("_h").alias(hint))
     return result.select(*columns, F.col("_id").alias(ref_id), F.col("_score").alias("similarity"))
 
 
-def shorthand(
-    cleaned: str, hint: str, known: list[tuple[int, str, tuple[str, ...]]], rules: Rules, used: dict[int, int]
-) -> tuple[int, float] | None:
-    """Entry that an abbreviation or a run-together spelling stands for.
+def shorthand(open_: DataFrame, book: Reference, names: DataFrame, listed: DataFrame, rules: Rules) -> DataFrame:
+    """Entries (``_id``, ``_score``) that abbreviations and run-together spellings stand for.
 
-    Of several that the letters fit, the one most often written out in full.
+    ``open_`` has ``_v``, ``_h``, ``_short`` (the letters) and ``_one`` (a single word); all
+    its rows come back.  An abbreviation spells beginnings of all words of an entry.
     """
-    for short, full in rules.synonyms.items():
-        if cleaned.startswith(short) and len(cleaned) > len(short):
-            cleaned = full[:3] + cleaned[len(short) :]
-    short = letters(cleaned)
-    if len(short) < 2:
-        return None
-    options = []
-    for ref, kind, words in known:
-        left = spells(short, words)
-        if left is not None and len(words) > 1:
-            options.append((-used.get(ref, 0), kind != hint, left, ref, 1 - left / sum(map(len, words))))
-    if options:
-        *_, ref, score = min(options)
-        return ref, round(score, 6)
-    if " " in cleaned:
-        return None
-    # one run-together word: nearest joined name
-    near = []
-    for ref, kind, words in known:
-        if len(words) > 1:
-            joined = "".join(words)
-            if abs(len(joined) - len(short)) <= 0.25 * len(joined):
-                near.append((1 - distance(short, joined) / len(joined), kind == hint, -ref))
-    if near and max(near)[0] >= 0.75:
-        return -max(near)[2], round(max(near)[0], 6)
-    return None
+    spark = open_.sparkSession
+    many = [(ref, kind, list(words)) for ref, (kind, words) in book.entries.items() if len(words) > 1]
+    entries = spark.createDataFrame(many, "_ref long, _kind string, _words array<string>")
+    keyed = spark.createDataFrame(
+        [(k, ref) for ref, _, words in many for k in short_keys(tuple(words))], "_k string, _ref long"
+    )
+    # how often each entry is written out in full decides between abbreviations
+    full = listed.toDF("_ref", "_kind", "_name").select("_ref", "_name")
+    used = names.groupBy("_name").count().join(full, "_name").groupBy("_ref").agg(F.sum("count").alias("_used"))
+    fits = F.struct(
+        F.coalesce("_used", F.lit(0)).alias("u"), (F.col("_kind") == F.col("_h")).alias("h"), (-F.col("_left")).alias("l"), (-F.col("_ref")).alias("r")
+    )
+    total = F.aggregate("_words", F.lit(0), lambda n, w: n + F.length(w))
+    spelled = (
+        open_.where(F.length("_short") > 1)
+        .select("_v", "_h", "_short", F.explode(_arrow_short("_short")).alias("_k"))
+        .join(keyed, "_k")
+        .select("_v", "_h", "_short", "_ref").distinct()
+        .join(entries, "_ref")
+        .withColumn("_left", _arrow_spells("_short", "_words"))
+        .where("_left is not null")
+        .join(used, "_ref", "left")
+        .groupBy("_v", "_h").agg(F.max_by(F.struct("_ref", F.round(1 - F.col("_left") / total, 6).alias("_score")), fits).alias("_s"))
+    )
+    # run together with mistakes: of the grams of a joined name, the rarest that a match must keep
+    joined = {ref: "".join(words) for ref, _, words in many}
+    often: dict[str, int] = {}
+    for name in joined.values():
+        for gram in grams_of(name):
+            often[gram] = often.get(gram, 0) + 1
+    rare = []
+    for ref, name in joined.items():
+        edits = int((1 - rules.joined_similarity) * len(name))
+        grams = sorted(grams_of(name), key=lambda g: (often[g], g))
+        rare.extend((g, ref, name) for g in grams[: 3 * edits + 1])
+    close = F.struct("_close", (F.col("_kind") == F.col("_h")).alias("h"), (-F.col("_ref")).alias("r"))
+    together = (
+        open_.where(F.col("_one") & (F.length("_short") > 1))
+        .select("_v", "_h", "_short", F.explode(_arrow_grams("_short")).alias("_g"))
+        .join(spark.createDataFrame(rare, "_g string, _ref long, _joined string"), "_g")
+        .where(F.abs(F.length("_joined") - F.length("_short")) <= (1 - rules.joined_similarity) * F.length("_joined"))
+        .select("_v", "_h", "_short", "_ref", "_joined").distinct()
+        .withColumn("_close", _arrow_joined("_short", "_joined"))
+        .where(F.col("_close") >= rules.joined_similarity)
+        .join(entries.select("_ref", "_kind"), "_ref")
+        .groupBy("_v", "_h").agg(F.max_by(F.struct("_ref", F.round("_close", 6).alias("_score")), close).alias("_j"))
+    )
+    found = F.coalesce("_s", "_j")
+    return (
+        open_.select("_v", "_h").join(spelled, ["_v", "_h"], "left").join(together, ["_v", "_h"], "left")
+        .select("_v", "_h", found["_ref"].alias("_id"), found["_score"].alias("_score"))
+    )

@@ -86,12 +86,29 @@ def _body_entries(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+#: What surrounds the name of a body in an extracted value without being part of it.
+BODY_NOISE = (
+    r"\([^)]*\)",
+    r"(?:\b(?:ао|ооо|пао|зао|нко)\s*)[«\"][^»\"]*[»\"]?",
+    r",\s*избираем\w*\s.*$",
+    r"\s[—–-]+\s*орган управления",
+    r"\bорган\s*:",
+    r"функции исполняет",
+    r"\bобщества\b",
+    r"\b(?:ст|пп?|гл)\.\s*\d+(?:\.\d+)*\.?,?\s*[—–-]?",
+    r"^\W*\d+(?:\.\d+)*[.)]?\s",
+)
+
+
+BODY_RULES = canon.Rules(noise=BODY_NOISE, synonyms={"гендир": "генеральный"})
+
+
 def p3_mapped(spark: SparkSession, root: str) -> DataFrame:
     """Every entry with the listed body that it names and how close it is."""
     entries = _body_entries(spark, root)
     bodies = table(spark, root, "governing_bodies")
     mapped = canon.map_to_reference(
-        entries, "entry", bodies, "body_id", "canonical_name", hint="kind", ref_hint="body_kind"
+        entries, "entry", bodies, "body_id", "canonical_name", BODY_RULES, "kind", "body_kind"
     )
     return entries.join(mapped, ["entry", "kind"], "left").select(
         "extraction_id",

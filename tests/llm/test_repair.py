@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexgrain.llm import canon, lookalikes, ocr_repair
+from lexgrain.llm.queries import BODY_RULES
 
 WORDS = "совет директоров комиссия рассматривает вопрос общества проект процедур организация финансово хозяйственной деятельности стоимость страховщика инвестиционных не позднее и или одно двухсторонних сделок в а о с конкурсных подписания общее собрание акционеров".split()
 COUNTS = {w: 50 for w in [*WORDS, "финансово-хозяйственной"]}
@@ -261,7 +262,7 @@ ENTRIES = {
 def test_mapping(spark):
     reference = spark.createDataFrame([*BODIES, (9, None, "x")], "id int, name string, kind string")
     values = spark.createDataFrame([(v, "collegial") for v in [*ENTRIES, None, " ", "Совет директоров"]], "v string, kind string")
-    found = canon.map_to_reference(values, "v", reference, "id", "name", hint="kind", ref_hint="kind").collect()
+    found = canon.map_to_reference(values, "v", reference, "id", "name", BODY_RULES, "kind", "kind").collect()
     assert len(found) == len(ENTRIES)
     assert {r.v: r.id for r in found} == ENTRIES
     empty = canon.map_to_reference(values, "v", reference.where("false"), "id", "name")
@@ -271,3 +272,44 @@ def test_mapping(spark):
 
 def test_distance_counts_transpositions():
     assert canon.distance("совет", "своет") == 1 and canon.distance("", "аб") == 2
+
+
+LETTERS = st.text("абв", min_size=1, max_size=9)
+
+
+@settings(max_examples=300, deadline=None)
+@given(LETTERS, st.lists(st.tuples(st.integers(0, 9), st.sampled_from(["", "а", "г"])), max_size=2))
+def test_tokens_at_two_edits_share_a_key(token, edits):
+    other = token
+    for at, letter in edits:
+        other = other[:at] + letter + other[at + 1 :]
+    if min(len(token), len(other)) > 4:
+        assert set(canon.keys_of(token)) & set(canon.keys_of(other))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(LETTERS, min_size=2, max_size=4), st.data())
+def test_abbreviations_share_a_key(words, data):
+    short = "".join(w[: data.draw(st.integers(1, len(w)))] for w in words)
+    assert canon.spells(short, tuple(words)) is not None
+    assert set(canon.short_requests(short)) & set(canon.short_keys(tuple(words)))
+
+
+def test_soft_tf_idf_by_its_definition():
+    names = ["общее собрание", "совет директоров", "совет ревизоров", "собрание директоров"]
+    book = canon.Reference([(k, "", n) for k, n in enumerate(names)], canon.Rules(entry_similarity=0.5))
+    idf = {w: math.log1p(4 / sum(w in n.split() for n in names)) for n in names for w in n.split()}
+    typed = {"советы": [("совет", 0.9)], "директоров": [("директоров", 1.0)], "и": []}
+    size = math.sqrt(idf["совет"] ** 2 + idf["директоров"] ** 2 + math.log1p(4) ** 2)
+    want = (0.9 * idf["совет"] ** 2 + idf["директоров"] ** 2) / size / math.hypot(idf["совет"], idf["директоров"])
+    assert book.best(typed, "") == (1, round(want, 6))
+
+
+def test_a_long_list_is_not_scanned(spark):
+    """Values that name nothing meet only entries that share a key."""
+    syllables = ["ба", "во", "ги", "ду", "же", "зу", "ки", "ло", "му", "не"]
+    words = [a + b + c + d for a in syllables for b in syllables for c in syllables for d in syllables[:4]]
+    listed = spark.createDataFrame([(k, f"{w} {words[-k]}") for k, w in enumerate(words, 1)], "id int, name string")
+    values = spark.createDataFrame([(f"чужой {w} совет",) for w in words[:500]] + [(f"{words[7][:-1]} {words[-8]}",)], "v string")
+    found = {r.v: r.id for r in canon.map_to_reference(values, "v", listed, "id", "name").collect()}
+    assert len(found) == 501 and [v for v, k in found.items() if k] == [f"{words[7][:-1]} {words[-8]}"]
