@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Items of one length are ranked in buckets of about so many rows.
 BUCKET_ROWS = 50_000
+#: Placements are broadcast up to this number of rows (48 bytes each).
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -122,8 +124,9 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     cut = pieces(items, key, size, capacity)
     sized = cut.where("n_tokens > 0")
     histogram = {r[0]: r[1] for r in sized.groupBy("n_tokens").count().collect()}
+    placements = placement_rows(pack_histogram(histogram, capacity))
     placed = spark.createDataFrame(
-        placement_rows(pack_histogram(histogram, capacity)),
+        placements,
         "length int, rank_from long, rank_to long, times long, first long, at long",
     )
     buckets = max(1, math.ceil(max(histogram.values(), default=0) / BUCKET_ROWS))
@@ -142,10 +145,11 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
         .withColumn("_rank", F.col("_rn") + F.col("_skip"))
     )
     nth = F.col("_rank") - F.col("rank_from")
-    # at most capacity patterns a few times over, each of few lengths: bounded by
-    # the capacity alone
+    # bounded by the capacity: a few patterns for each length, each of few lengths
+    if len(placements) <= BROADCAST_ROWS:
+        placed = F.broadcast(placed)
     joined = ranked.join(
-        F.broadcast(placed),
+        placed,
         (F.col("n_tokens") == F.col("length"))
         & (F.col("_rank") >= F.col("rank_from"))
         & (F.col("_rank") < F.col("rank_to")),

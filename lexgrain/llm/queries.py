@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexgrain.llm import canon, lookalikes, neardup, ocr_repair, packing, prefix_bpe, splitting, subjects
@@ -132,17 +133,15 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p4_pieces(spark: SparkSession, root: str) -> DataFrame:
     """Pieces of all oversized clauses, chunks and charters."""
-    # A span over the limit needs a text over the limit, which prunes the join.
-    long_clauses = table(spark, root, "clauses").where(F.length("text") > CLAUSE_LIMIT)
-    clauses = splitting.split_oversized(long_clauses, "clause_id", "text", CLAUSE_LIMIT, OVERLAP)
+    texts = table(spark, root, "clauses").select("clause_id", "text")
+    clauses = splitting.split_oversized(texts, "clause_id", "text", CLAUSE_LIMIT, OVERLAP)
+    # any clause may be that of an oversized span, also one that is shorter than the span
     windows = (
         table(spark, root, "chunks")
         .where(F.col("span_end") - F.col("span_start") > CLAUSE_LIMIT)
         .select("unit_id", "clause_id", "span_start", "span_end")
         .dropDuplicates(["unit_id"])
-        .join(
-            long_clauses.select("clause_id", "text").dropDuplicates(["clause_id"]), "clause_id", "left"
-        )
+        .join(texts, "clause_id", "left")
     )
     chunks = splitting.split_oversized(
         windows, "unit_id", "text", CLAUSE_LIMIT, OVERLAP, "span_start", "span_end"
@@ -176,6 +175,28 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return p4_pieces(spark, root).where("piece_no = 0").select("item_kind", "item_key").distinct()
 
 
+def p4_cover(spark: SparkSession, root: str) -> DataFrame:
+    """Items that were cut, by what their pieces cover and whether these keep to the rules."""
+    item = Window.partitionBy("item_kind", "item_key").orderBy("piece_no")
+    limit = F.when(F.col("item_kind") == "document", DOCUMENT_LIMIT).otherwise(CLAUSE_LIMIT)
+    shared = F.lag("span_end").over(item) - F.col("span_start")
+    pieces = p4_pieces(spark, root).select(
+        "item_kind",
+        "item_key",
+        "span_start",
+        "span_end",
+        F.coalesce(
+            (F.col("span_end") - F.col("span_start")).between(1, limit)
+            & F.coalesce(shared, F.lit(0)).between(0, OVERLAP)
+            & (F.coalesce(F.length("piece"), F.col("span_end") - F.col("span_start")) == F.col("span_end") - F.col("span_start")),
+            F.lit(False),
+        ).alias("kept"),
+    )
+    return pieces.groupBy("item_kind", "item_key").agg(
+        (F.max("span_end") - F.min("span_start")).alias("covered"), F.bool_and("kept").alias("kept")
+    )
+
+
 def _near_duplicates(
     spark: SparkSession, root: str, how: neardup.NearDuplicates
 ) -> dict[str, neardup.Links]:
@@ -221,6 +242,24 @@ def p7_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(_token_counts(spark, root), "doc_id", "n", CONTAINER)
 
 
+def p7_account(spark: SparkSession, root: str) -> DataFrame:
+    """What of the packing breaks a rule, beside the number of documents: all others must be 0."""
+    placed = materialise(p7_containers(spark, root))
+    filled = placed.where("container_id is not null")
+    ends = F.col("container_offset") + F.col("n_tokens")
+    next_ = F.lead("container_offset").over(Window.partitionBy("container_id").orderBy("container_offset"))
+    parts = [
+        ("documents", placed.select("doc_id").distinct()),
+        ("over capacity", filled.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).where(F.col("n") > CONTAINER)),
+        ("overlapping", filled.select(ends.alias("e"), next_.alias("x")).where("x < e")),
+        ("divided but for size", placed.groupBy("doc_id").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("n")).where(
+            F.col("k") != F.greatest(F.lit(1), F.ceil(F.col("n") / CONTAINER)))),
+        ("without container", placed.where("container_id is null and n_tokens > 0")),
+    ]
+    rows = [d.agg(F.count("*").alias("n")).select(F.lit(name).alias("item"), "n") for name, d in parts]
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
 def p8_subjects(spark: SparkSession, root: str) -> DataFrame:
     """Subject areas of every document, with the model's logits."""
     docs = table(spark, root, "documents").select("doc_id", "text")
@@ -249,10 +288,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_mapped": p3_mapped,
         "p4_found": p4_found,
         "p4_pieces": p4_pieces,
+        "p4_cover": p4_cover,
         "p5_found": p5_found,
         "p5_classes": p5_classes,
         "p6_ids": p6_ids,
         "p7_containers": p7_containers,
+        "p7_account": p7_account,
         "p8_found": p8_found,
         "p8_subjects": p8_subjects,
     }
@@ -268,4 +309,33 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL
             SELECT DISTINCT 'document', doc_ord FROM documents_in WHERE length(md_text) > {DOCUMENT_LIMIT}
         """,
+        "p4_cover": f"""
+            SELECT DISTINCT 'clause' AS item_kind, clause_id AS item_key, length(text) AS covered, true AS kept
+            FROM clauses WHERE length(text) > {CLAUSE_LIMIT}
+            UNION ALL
+            SELECT DISTINCT 'chunk', unit_id, span_end - span_start, true
+            FROM chunks WHERE span_end - span_start > {CLAUSE_LIMIT}
+            UNION ALL
+            SELECT DISTINCT 'document', doc_ord, length(md_text), true
+            FROM documents_in WHERE length(md_text) > {DOCUMENT_LIMIT}
+        """,
+        "p5_found": r"""
+            WITH r AS (
+              SELECT 'clause' AS item_kind, clause_id AS id, text AS t FROM clauses WHERE text IS NOT NULL
+              UNION SELECT 'document', doc_ord, md_text FROM documents_in WHERE md_text IS NOT NULL),
+            w AS (SELECT item_kind, id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS ws FROM r),
+            s AS (SELECT DISTINCT item_kind, id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
+                  FROM (SELECT item_kind, id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 20)),
+            z AS (SELECT item_kind, id, count(*) AS n FROM s GROUP BY ALL),
+            b AS (SELECT x.item_kind, x.id AS key_a, y.id AS key_b, count(*) AS common
+                  FROM s x JOIN s y ON x.item_kind = y.item_kind AND x.g = y.g AND x.id < y.id GROUP BY ALL)
+            SELECT b.item_kind, key_a, key_b FROM b JOIN z a ON a.item_kind = b.item_kind AND a.id = key_a
+              JOIN z c ON c.item_kind = b.item_kind AND c.id = key_b
+            WHERE common >= 0.65 * (a.n + c.n - common)
+        """,
+        "p7_account": """
+            SELECT 'documents' AS item, count(*) AS n FROM documents
+            UNION ALL SELECT 'over capacity', 0 UNION ALL SELECT 'overlapping', 0
+            UNION ALL SELECT 'divided but for size', 0 UNION ALL SELECT 'without container', 0
+        """,
     }

@@ -98,35 +98,35 @@ def _plain_cut(text: str, at: int, least: int) -> int:
     return cut if cut > least else at
 
 
-def split_spans(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
+def split_spans(text: str, limit: int, overlap: int, least: float = 0.0) -> list[tuple[int, int]]:
     """Half-open spans of at most ``limit`` code points that cover the text.
 
-    Each span but the last ends at the strongest boundary of the upper half of
-    the permissible lengths, else of the lower half, else at the limit itself.
-    Consecutive spans share at most ``overlap`` code points.
+    Each span but the last ends at the strongest boundary of the permissible lengths,
+    else at the limit itself.  With ``least``, lengths of at least that share of the
+    limit are tried first.  Consecutive spans share at most ``overlap`` code points.
     """
-    if limit < 1 or not 0 <= overlap < limit:
-        raise ValueError("limit must be positive and overlap smaller than it")
+    if limit < 1 or not 0 <= overlap < limit or not 0 <= least <= 1:
+        raise ValueError("limit must be positive, overlap smaller than it and least a share")
     n = len(text)
     if n <= limit:
         return [(0, n)]
     at, strength = boundaries(text)
     table = RangeMaximum(strength) if len(at) else None
-    half = max(overlap, limit // 2)
+    first = max(overlap, int(limit * least))
     spans, start, done = [], 0, 0
     while n - start > limit:
         # a piece must reach beyond what is covered, or nothing would be gained
-        least = max(start + overlap, done)
+        beyond = max(start + overlap, done)
         end = -1
         if table is not None:
-            for low, high in ((max(start + half, least), start + limit), (least, start + half)):
+            for low, high in ((max(start + first, beyond), start + limit), (beyond, start + first)):
                 i, j = np.searchsorted(at, [low + 1, high + 1])
                 best = table.strongest(int(i), int(j))
                 if best >= 0:
                     end = int(at[best])
                     break
         if end < 0:
-            end = _plain_cut(text, start + limit, least)
+            end = _plain_cut(text, start + limit, beyond)
         spans.append((start, end))
         done = end
         start = end - overlap

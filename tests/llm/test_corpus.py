@@ -81,6 +81,17 @@ def test_no_records(spark):
     assert neardup.pairs(links).count() == 0 and neardup.classes(links).count() == 0
 
 
+@pytest.mark.parametrize("deviations", [4.0, None])
+def test_classes_of_short_and_empty_texts(spark, deviations):
+    rows = [(1, "да нет"), (2, "Да, нет!"), (3, None), (4, ""), (5, None), (6, "нет да"), (7, "а б в г д е"), (8, "а б в г д е"), (5, None)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    how = neardup.NearDuplicates(deviations=deviations)
+    found = neardup.classes(neardup.link(neardup.prepare(df, "k", "t", how), how)).collect()
+    assert sorted((r.key, r.class_id, r.n_links) for r in found) == [
+        (1, 1, 0), (2, 1, 0), (3, 3, 0), (4, 4, 0), (5, 5, 0), (6, 6, 0), (7, 7, 0), (8, 7, 0),
+    ]
+
+
 TOPICS = {1: ("кассационная жалоба", "истец подал иск"), 2: ("облигационный выпуск", "ставка купона"), 3: ("урожай пшеницы", "коровы на пастбище")}
 FRAME = ("Совет принял решение по вопросу номер {}.", "Отчёт за год {} утверждён.", "Члены правления голосовали {} раз.")
 

@@ -16,5 +16,4 @@ def test_query(spark, data, name):
     if name in SQL:
         assert_same(QUERIES[name](spark, data), SQL[name], views(data))
     else:
-        df = QUERIES[name](spark, data)
-        assert df.count() >= 0 and df.columns
+        assert len(QUERIES[name](spark, data).toPandas()) > 0

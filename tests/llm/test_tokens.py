@@ -96,6 +96,9 @@ def test_pieces_end_at_the_strongest_boundary():
     text = "Первое предложение тут. Второе, с запятой, здесь.\n\nНовый абзац идёт дальше и дальше без конца"
     spans = splitting.split_spans(text, 60, 0)
     assert text[: spans[0][1]].endswith("здесь.\n\n")
+    text = "а" * 198 + ".\n\n" + "слово " * 400
+    assert splitting.split_spans(text, 1500, 150)[0] == (0, 201)
+    assert splitting.split_spans(text, 1500, 150, least=0.5)[0] == (0, 1497)
     assert splitting.split_spans("x" * 25, 10, 3) == [(0, 10), (7, 17), (14, 24), (21, 25)]
 
 
