@@ -48,6 +48,9 @@ class NearDuplicates:
     weighted: bool = True
     #: Buckets with more records than this are compared in blocks of this size.
     block: int = 256
+    #: Pairs are verified if their signatures agree at least so many standard deviations
+    #: below what is expected at the threshold; None verifies all pairs that share a band.
+    deviations: float | None = 4.0
 
     @property
     def components(self) -> int:
@@ -78,11 +81,15 @@ def _word_hash(word: str) -> int:
 
 
 def shingles(text: str, words: int) -> tuple[np.ndarray, int]:
-    """Hashes of all runs of consecutive words (with repeats), and the number of words."""
+    """Hashes of all runs of consecutive words (with repeats), and the number of words.
+
+    A text of fewer words has one run of all its words.
+    """
     found = _WORD.findall(text.lower())
     n = len(found)
-    if n < words:
-        return np.zeros(0, _U), n
+    if not n:
+        return np.zeros(0, _U), 0
+    words = min(words, n)
     get = _memo.get
     hashes = np.fromiter((get(w) or _word_hash(w) for w in found), dtype=_U, count=n)
     with np.errstate(over="ignore"):
@@ -174,9 +181,6 @@ def signatures(record: np.ndarray, element: np.ndarray, weight: np.ndarray, n: i
     return out.reshape(n, m)
 
 
-#: Keys of candidates are broadcast up to this number (16 MB), joined by a shuffle beyond.
-BROADCAST_KEYS = 1_000_000
-
 _PREPARED = T.StructType(
     [
         T.StructField("key", T.LongType()),
@@ -192,16 +196,22 @@ def prepare(records: DataFrame, key: str, text: str, how: NearDuplicates) -> Dat
     """``key``, ``print`` (of the whole bag), ``signature`` and ``bag`` of each record.
 
     A bag is sorted 32-bit shingle hashes; the k-th repeat of a shingle counts
-    as another element, so that overlaps of sets are overlaps of bags.  Null texts,
-    those of fewer words than a shingle and of fewer than ``least_words`` give no row.
+    as another element, so that overlaps of sets are overlaps of bags; two shingles
+    of a record with the same 32 bits count as one.  Texts of fewer than ``least_words``
+    words give no row; of those left, texts without a word (null ones too) have no
+    signature and are like none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, bags, counts, words = [], [], [], 0
+            alone: list[int] = []
             for k, t in _one_by_one(batch):
                 hashes, n = shingles(t, how.words) if t else (np.zeros(0, _U), 0)
-                if n < how.least_words or not len(hashes):
+                if n < how.least_words:
+                    continue
+                if not n:
+                    alone.append(k)
                     continue
                 unique, count = np.unique(hashes, return_counts=True)
                 keys.append(k)
@@ -213,6 +223,13 @@ def prepare(records: DataFrame, key: str, text: str, how: NearDuplicates) -> Dat
                     keys, bags, counts, words = [], [], [], 0
             if keys:
                 yield _rows(keys, bags, counts, how)
+            if alone:
+                prints = [b"" if k is None else k.to_bytes(8, "big", signed=True) for k in alone]
+                none = pa.nulls(len(alone), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(alone, pa.int64()), pa.array(prints, pa.binary()), none, none],
+                    names=["key", "print", "signature", "bag"],
+                )
 
     return records.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(
         run, _PREPARED
@@ -290,10 +307,11 @@ def _alike(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.nda
 
 
 def least_equal(how: NearDuplicates) -> int:
-    """Equal components that a pair needs to be verified: four standard deviations
-    below what is expected at the threshold."""
+    """Equal components that a pair needs to be verified."""
+    if how.deviations is None:
+        return 0
     spread = (how.threshold * (1 - how.threshold) / how.components) ** 0.5
-    return max(1, int(how.components * (how.threshold - 4 * spread)))
+    return max(1, int(how.components * (how.threshold - how.deviations * spread)))
 
 
 @F.arrow_udf(T.IntegerType())
@@ -349,7 +367,8 @@ def link(prepared: DataFrame, how: NearDuplicates) -> Links:
         .join(different.select("print", F.col("key").alias("rep")), "print")
         .select("key", "rep")
     )
-    bands = different.select("key", F.explode(_bands(how.rows)("signature")).alias("band"))
+    signed = different.where("signature is not null")
+    bands = signed.select("key", F.explode(_bands(how.rows)("signature")).alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     bucket = materialise(bands.join(shared, "band"))
     few = bucket.where(F.col("n") <= how.block)
@@ -386,10 +405,9 @@ def link(prepared: DataFrame, how: NearDuplicates) -> Links:
         .select("key_a", "key_b")
     )
     candidates = materialise(promising.unionByName(blocked).distinct())
-    # only bags of candidates travel; their keys go to the bags if they are few
+    # only bags of candidates travel
     wanted = materialise(candidates.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct())
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
-    bags = materialise(table.select("key", "bag").join(few, "key", "left_semi"))
+    bags = materialise(table.select("key", "bag").join(wanted, "key", "left_semi"))
     links = (
         candidates.join(bags.select(F.col("key").alias("key_a"), F.col("bag").alias("bag_a")), "key_a")
         .join(bags.select(F.col("key").alias("key_b"), F.col("bag").alias("bag_b")), "key_b")
