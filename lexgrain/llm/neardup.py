@@ -189,7 +189,7 @@ _PREPARED = T.StructType(
         T.StructField("bag", T.BinaryType()),
     ]
 )
-_BATCH_WORDS = 150_000
+_BATCH_WORDS = 60_000
 
 
 def prepare(records: DataFrame, key: str, text: str, how: NearDuplicates) -> DataFrame:
