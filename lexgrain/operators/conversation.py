@@ -77,32 +77,96 @@ def usage(messages: DataFrame, conv: str, tokens: str, total: str) -> DataFrame:
     return messages.groupBy(conv).agg(F.when(own > 0, own).otherwise(F.coalesce(F.max(total), F.lit(0))).cast("long").alias("tokens"))
 
 
-_INVOKE = re.compile(r"<invoke\s+name\s*=\s*[\"']?([\w.-]+)[\"']?\s*>(.*?)(?=</invoke>|<invoke\s|\Z)", re.S)
-_ARGUMENT = re.compile(r"<parameter\s+name\s*=\s*[\"']?([\w.-]+)[\"']?\s*>(.*?)(?=</parameter>|<parameter\s|</invoke>|\Z)", re.S)
-_TAG = re.compile(r"<([A-Za-z_][\w.-]*)>(.*?)</\1>", re.S)
+#: What begins and ends a block of calls, in its clean and its corrupted form.
+_OPEN = re.compile(r"<minimax:tool_call>|\]<\]minimax\[>\[", re.I)
+_CLOSE = re.compile(r"</minimax:tool_call>|\]<\]/minimax\[>\[", re.I)
+_TAGS = re.compile(r"<(invoke|parameter)\s+name=\"([^\"]+)\"\s*>|</(invoke|parameter)>", re.I)
+_DIRECT = re.compile(r"<(\w+)>")
+_THOUGHT = re.compile(r"</?mm:think>", re.I)
 _CALL = T.ArrayType(
     T.StructType([T.StructField("name", T.StringType()), T.StructField("args", T.MapType(T.StringType(), T.StringType()))])
 )
 
 
+def _blocks(text: str) -> list[tuple[int, int, str]]:
+    """Blocks of calls: where each begins and ends, and what is in it; one without an end goes to the end."""
+    out, at = [], 0
+    while opening := _OPEN.search(text, at):
+        closing = _CLOSE.search(text, opening.end())
+        at = closing.end() if closing else len(text)
+        out.append((opening.start(), at, text[opening.end() : closing.start() if closing else at]))
+    return out
+
+
+def _value(raw: str) -> str:
+    """An argument as text; JSON that is no string stays JSON.  A closing tag that was cut off goes."""
+    raw = re.sub(r"</\w*$", "", raw).strip()
+    try:
+        decoded = json.loads(raw)
+    except ValueError:
+        return raw
+    return decoded if isinstance(decoded, str) else json.dumps(decoded, ensure_ascii=False)
+
+
+def _direct(body: str) -> dict[str, str]:
+    """Arguments written as tags of their own; one without its end goes on to the end."""
+    args: dict[str, str] = {}
+    at = 0
+    while opening := _DIRECT.search(body, at):
+        ending = f"</{opening[1]}>"
+        end = body.find(ending, opening.end())
+        args[opening[1]] = _value(body[opening.end() : end if end >= 0 else len(body)])
+        if end < 0:
+            break
+        at = end + len(ending)
+    return args
+
+
 def markup_calls(text: str | None) -> list[dict]:
-    """Tool calls written as markup, tolerant of missing closing tags; values stay text or JSON."""
-    out = []
-    for name, body in _INVOKE.findall(text or ""):
-        args = {}
-        # parameters by name or, in the other dialect, tags of their own
-        for key, value in _ARGUMENT.findall(body) or _TAG.findall(body):
-            value = value.strip()
-            try:
-                decoded = json.loads(value)
-                value = decoded if isinstance(decoded, str) else json.dumps(decoded, ensure_ascii=False)
-            except ValueError:
-                pass
-            args[key] = value
-        out.append({"name": name, "args": args})
+    """Tool calls in the blocks of a text, tolerant of missing ends; values stay text or JSON.
+
+    Calls outside a block are prose.  The tags of a block are read in order: one that
+    opens ends what is open on its level.
+    """
+    out: list[dict] = []
+    for _, _, block in _blocks(text or ""):
+        call = name = None
+        plain = start = 0  # where the call's body and the open argument begin
+
+        def finish(end: int, call=None, name=None, start=0, plain=0) -> None:
+            if call is None:
+                return
+            if name is not None:
+                call["args"][name] = _value(block[start:end])
+            elif not call["args"]:
+                call["args"] = _direct(block[plain:end])
+
+        for tag in _TAGS.finditer(block):
+            kind = (tag[1] or tag[3]).lower()
+            if kind == "invoke":
+                finish(tag.start(), call, name, start, plain)
+                call = name = None
+                if tag[1]:
+                    call, plain = {"name": tag[2], "args": {}}, tag.end()
+                    out.append(call)
+            elif call is not None:
+                if name is not None:
+                    call["args"][name] = _value(block[start : tag.start()])
+                name, start = (tag[2], tag.end()) if tag[1] else (None, 0)
+        finish(len(block), call, name, start, plain)
     return out
 
 
+def without_calls(text: str) -> str:
+    """A text without its blocks of calls and, if it had one, without marks of thought."""
+    found = _blocks(text)
+    if not found:
+        return text
+    for begin, end, _ in reversed(found):
+        text = text[:begin] + text[end:]
+    return _THOUGHT.sub("", text).strip()
+
+
 @F.arrow_udf(_CALL)
 def parsed_calls(texts: pa.Array) -> pa.Array:
     """Column of the tool calls in a text (see :func:`markup_calls`)."""

@@ -60,8 +60,11 @@ def in_scope(clauses: DataFrame, scope: DataFrame, doc: str) -> DataFrame:
 
 
 def grep(clauses: DataFrame, pattern: str, text: str = "text", ignore_case: bool = True) -> DataFrame:
-    """Clauses with the number of matches as ``score`` (Java's regular expressions)."""
-    flags = "(?iu)" if ignore_case else ""
+    """Clauses with the number of matches as ``score`` (Java's regular expressions).
+
+    Classes such as ``\\w`` and ``\\b`` mean what Unicode says.
+    """
+    flags = "(?iuU)" if ignore_case else "(?U)"
     return clauses.withColumn("score", F.regexp_count(text, F.lit(flags + pattern)).cast("long")).where("score > 0")
 
 

@@ -771,7 +771,18 @@ def fences_removed(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").where("text is not null").select("doc_id", F.md5(extraction.without_fences(fenced)).alias("h"))
 
 
-@query("rendered_reports")
+def s_rendered(column: str, heading: str, many: bool) -> str:
+    body = f"""(CASE WHEN len({column}) > 0 THEN array_to_string(list_transform({column}, lambda x: '- ' || x), chr(10)) ELSE '- (не найдено)' END)"""
+    one = f"(CASE WHEN {column} <> '' THEN {column} ELSE '(не найдено)' END)"
+    return f"'### {heading} (`{column}`)' || chr(10) || {body if many else one} || chr(10)"
+
+
+S_RENDERED = " || chr(10) || ".join(
+    s_rendered(*x) for x in (("supreme_governing_body", "Высший орган", False), ("collegial_governing_bodies", "Коллегиальные органы", True), ("sole_executive_bodies", "Единоличные органы", True))
+)
+
+
+@query("rendered_reports", f"WITH {S_RUNS} SELECT extraction_id, '## Извлечённые поля' || chr(10) || chr(10) || {S_RENDERED} AS report FROM runs")
 def rendered_reports(spark: SparkSession, root: str) -> DataFrame:
     """Readable report of each extraction."""
     fields = [("supreme_governing_body", "Высший орган"), ("collegial_governing_bodies", "Коллегиальные органы"), ("sole_executive_bodies", "Единоличные органы")]
@@ -820,20 +831,20 @@ def _messages(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-@query(
-    "reply_pairing",
-    """WITH ev AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events),
+S_PAIRS = """WITH ev AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events),
     m AS (SELECT user_id AS conv_id, turn, event_id, event_type = 'purchase' AS called,
           last_value(CASE WHEN event_type = 'purchase' THEN turn END IGNORE NULLS) OVER w AS last,
           last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER w AS call
           FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY turn)),
     t AS (SELECT *, event_id % 2 = 0 AND call IS NOT NULL AS named FROM m WHERE NOT called),
     direct AS (SELECT conv_id, turn, 'call-' || call AS tool_call_id, 'tool-' || (call % 3) AS name FROM t WHERE named),
-    orphans AS (SELECT *, row_number() OVER (PARTITION BY conv_id, last ORDER BY turn) AS n FROM t WHERE NOT named)
-    SELECT * FROM direct UNION ALL
+    orphans AS (SELECT *, row_number() OVER (PARTITION BY conv_id, last ORDER BY turn) AS n FROM t WHERE NOT named),
+    paired AS (SELECT * FROM direct UNION ALL
     SELECT o.conv_id, o.turn, CASE WHEN hit THEN 'call-' || call WHEN o.event_id % 2 = 0 THEN NULL ELSE '' END, CASE WHEN hit THEN 'tool-' || (call % 3) ELSE 'tool' END
-    FROM (SELECT *, n = 1 AND call IS NOT NULL AS hit FROM orphans) o""",
-)
+    FROM (SELECT *, n = 1 AND call IS NOT NULL AS hit FROM orphans) o)"""
+
+
+@query("reply_pairing", f"{S_PAIRS} SELECT * FROM paired")
 def reply_pairing(spark: SparkSession, root: str) -> DataFrame:
     return conversation.replies(_messages(spark, root))
 
@@ -860,19 +871,42 @@ def token_budget(spark: SparkSession, root: str) -> DataFrame:
     return got.select("conv_id", "turn", "used_before", "allowed")
 
 
-@query("tool_traces")
+@query(
+    "tool_traces",
+    f"""{S_PAIRS}, said AS (SELECT user_id AS conv_id, turn, event_id, event_type FROM ev),
+    outs AS (SELECT p.conv_id, p.tool_call_id AS id, arg_min(s.event_type, p.turn) AS out FROM paired p JOIN said s ON s.conv_id = p.conv_id AND s.turn = p.turn WHERE p.name <> 'tool' GROUP BY 1, 2),
+    steps AS (
+        SELECT c.conv_id, c.turn, 'tool-' || (c.event_id % 3) AS name, coalesce(o.out, '') AS out FROM said c
+            LEFT JOIN outs o ON o.conv_id = c.conv_id AND o.id = 'call-' || c.event_id WHERE c.event_type = 'purchase'
+        UNION ALL SELECT p.conv_id, p.turn, 'tool', s.event_type FROM paired p JOIN said s ON s.conv_id = p.conv_id AND s.turn = p.turn WHERE p.name = 'tool'),
+    n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM steps),
+    tx AS (SELECT conv_id, string_agg('[' || i || '] ' || name || ' → ' || out, chr(10) ORDER BY i) AS x FROM n GROUP BY 1)
+    SELECT conv_id, CASE WHEN length(x) > 6000 THEN left(x, 6000) || chr(10) || '... (truncated)' ELSE x END AS trace FROM tx""",
+)
 def tool_traces(spark: SparkSession, root: str) -> DataFrame:
     """Tool steps of each conversation, a line each."""
     return conversation.trace(_messages(spark, root))
 
 
-@query("tool_call_markup")
+S_CALLED = "SELECT event_id, event_type AS name, unnest(['a', 'n']) AS arg, unnest([event_type, CAST(event_id AS VARCHAR)]) AS value, event_id % 5 AS form FROM events"
+
+
+@query("tool_call_markup", f"SELECT event_id, name, arg, value FROM ({S_CALLED}) WHERE form IN (0, 2) OR (form IN (1, 3) AND arg = 'a')")
 def tool_call_markup(spark: SparkSession, root: str) -> DataFrame:
-    """Calls written as markup, a third of them cut off before their closing tags."""
-    events = table(spark, root, "events")
-    whole = F.concat(F.lit('<invoke name="'), "event_type", F.lit('"><parameter name="props">'), "props", F.lit("</parameter></invoke>"))
-    text = F.when(F.col("event_id") % 3 == 0, F.regexp_replace(whole, "</parameter></invoke>$", "")).otherwise(whole)
-    return events.select("event_id", conversation.parsed_calls(text).alias("calls"))
+    """Arguments of calls written as markup: whole, cut off, in the corrupted form, and as prose, which is no call."""
+    kind, number = F.col("event_type"), F.col("event_id").cast("string")
+    head = F.concat(F.lit('<invoke name="'), kind, F.lit('">'))
+    named = F.concat(F.lit("<minimax:tool_call>"), head, F.lit('<parameter name="a">'), kind)
+    direct = F.concat(F.lit("]<]minimax[>["), head, F.lit("<a>"), kind)
+    text = (
+        F.when(F.col("event_id") % 5 == 0, F.concat(named, F.lit('</parameter><parameter name="n">'), number, F.lit("</parameter></invoke></minimax:tool_call> so")))
+        .when(F.col("event_id") % 5 == 1, named)
+        .when(F.col("event_id") % 5 == 2, F.concat(F.lit("a "), direct, F.lit("</a><n>"), number, F.lit("</n></invoke>]<]/minimax[>[ so")))
+        .when(F.col("event_id") % 5 == 3, F.concat(direct, F.lit("</a")))
+        .otherwise(F.concat(head, F.lit("<a>"), kind, F.lit("</a></invoke>")))
+    )
+    found = table(spark, root, "events").select("event_id", F.explode(conversation.parsed_calls(text)).alias("c"))
+    return found.select("event_id", "c.name", F.explode("c.args").alias("arg", "value"))
 
 
 @query(
@@ -948,9 +982,19 @@ def content_keys(spark: SparkSession, root: str) -> DataFrame:
     return T.charters(spark, root).select("doc_ord", files.content_key("md_text").alias("content_key"))
 
 
-@query("table_cells")
+@query(
+    "table_cells",
+    rf"""WITH {LINES}, r AS (SELECT *, regexp_matches(line, '^\s*\|') AS bar FROM lines),
+    p AS (SELECT *, lag(bar) OVER (PARTITION BY doc_ord ORDER BY line_no) AS before FROM r),
+    n AS (SELECT *, sum(CASE WHEN bar AND NOT coalesce(before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_ord ORDER BY line_no) AS table_no FROM p),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_ord, table_no ORDER BY line_no) - 1 AS row_no FROM n WHERE bar AND NOT regexp_matches(line, '^[\s|:-]+$'))
+    SELECT doc_ord, CAST(table_no AS BIGINT) AS table_no, CAST(row_no AS INT) AS row_no, cell_no, trim(cell) AS cell FROM (
+        SELECT doc_ord, table_no, row_no, CAST(unnest(range(len(c))) AS INT) AS cell_no, unnest(c) AS cell FROM (
+            SELECT *, string_split(regexp_replace(trim(line), '^\||\|$', '', 'g'), '|') AS c FROM k))""",
+)
 def table_cells(spark: SparkSession, root: str) -> DataFrame:
-    return files.tables_of(T.charters(spark, root), "doc_ord", "md_text")
+    got = files.tables_of(T.charters(spark, root), "doc_ord", "md_text")
+    return got.select("doc_ord", "table_no", "row_no", F.posexplode("cells").alias("cell_no", "cell"))
 
 
 @query("jsonl_round_trip", f"WITH {T.CLAUSES} SELECT clause_id, number, text FROM cl")
@@ -973,9 +1017,12 @@ def index_round_trip(spark: SparkSession, root: str) -> DataFrame:
     return Index.load(spark, path).tables["clauses"].select("doc_id", "number", "span_start", "text")
 
 
-@query("agentic_rounds")
+@query(
+    "agentic_rounds",
+    f"WITH {s_scores(ONE)}, {s_clause_rank('scores', 50, 8)} SELECT clause_id, round(score, 6) AS score, 'relevant' AS verdict FROM best",
+)
 def agentic_rounds(spark: SparkSession, root: str) -> DataFrame:
-    """Search in rounds with a scripted model that finds every clause relevant."""
+    """Search in rounds with a scripted model that finds every clause relevant: the ranking as it is."""
     units = materialise(T.units(spark, root))
     clauses = materialise(T.clauses(spark, root))
     index = lexical.build(units, "unit_id", "text")
@@ -995,7 +1042,7 @@ def agentic_rounds(spark: SparkSession, root: str) -> DataFrame:
             return json.dumps({"queries": [QUESTION], "aspects": ["a"]})
         if prompt.startswith("GRADE"):
             n = sum(line.startswith("C") for line in prompt.splitlines())
-            return json.dumps([{"id": f"C{i}", "verdict": "relevant", "aspects": ["a"]} for i in range(1, n + 1)])
+            return json.dumps([{"id": f"C{i}", "verdict": "relevant", "aspects": [1]} for i in range(1, n + 1)])
         return "[]"
 
     found = agentic_search(QUESTION, search, grep, model)

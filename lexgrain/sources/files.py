@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TEXT_SUFFIXES = (".md", ".txt", ".markdown")
 
@@ -38,11 +39,20 @@ def binary(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths)
 
 
+@F.arrow_udf(T.StringType())
+def decoded(content: pa.Array) -> pa.Array:
+    """Column of bytes as UTF-8 text; what is malformed becomes the replacement character."""
+    return pa.array([None if c is None else c.decode("utf-8", "replace") for c in content.to_pylist()], pa.string())
+
+
 def recognised(files: DataFrame) -> DataFrame:
-    """``path``, ``md_text``, ``error``: texts as they are (line ends too), others refused."""
+    """``path``, ``md_text``, ``error``: texts as they are (line ends too), others refused.
+
+    Malformed bytes become replacement characters.
+    """
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     known = suffix.isin(*TEXT_SUFFIXES)
-    text = F.when(known, F.decode("content", "UTF-8"))
+    text = decoded(F.when(known, F.col("content")))
     return files.select(
         "path",
         text.alias("md_text"),
@@ -81,19 +91,43 @@ def mapped(files: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def doc_ids(files: DataFrame, path: str, order: str | None = None) -> DataFrame:
-    """``doc_id`` from the file's name: odd characters as ``_``, ``doc`` if nothing is left;
-    the second and further of a name get ``-2``, ``-3`` ... in the order of ``order``."""
+    """``doc_id`` from the file's name: odd characters as ``_``, ``doc`` if nothing is left.
+
+    In the order of ``order``, each file takes its name or, if that is taken, the first of
+    ``name-2``, ``name-3`` ... that is free.  Names can only meet within a
+    family, that is without their numbers at the end: a family of one name is numbered
+    by a window, one of several is worked through in order in one task.
+    """
     stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
     base = F.regexp_replace(F.regexp_replace(stem, r"[^\p{L}\p{N}_.-]+", "_"), "^_+|_+$", "")
     base = F.when(base == "", F.lit("doc")).otherwise(base)
-    nth = F.row_number().over(Window.partitionBy("_b").orderBy(order or path))
-    named = files.withColumn("_b", base).withColumn("_n", nth)
-    first = F.when(F.col("_n") == 1, F.col("_b")).otherwise(F.concat("_b", F.lit("-"), "_n"))
-    named = named.withColumn("doc_id", first)
-    # a made-up name that another file has by itself moves on
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("_n", order or path))
-    moved = F.when(F.col("_r") == 1, F.col("doc_id")).otherwise(F.concat("doc_id", F.lit("-"), F.col("_r") + F.lit(1)))
-    return named.withColumn("_r", again).withColumn("doc_id", moved).drop("_b", "_n", "_r")
+    place = F.struct(*dict.fromkeys([order or path, path]))
+    named = files.withColumn("_b", base).withColumn("_f", F.regexp_replace(base, r"(?:-[0-9]+)+$", ""))
+    mixed = named.groupBy("_f").agg((F.min("_b") != F.max("_b")).alias("_m"))
+    told = named.join(mixed, "_f")
+    nth = F.row_number().over(Window.partitionBy("_b").orderBy(place))
+    alone = told.where("not _m").withColumn("_n", nth)
+    alone = alone.withColumn("doc_id", F.when(F.col("_n") == 1, F.col("_b")).otherwise(F.concat("_b", F.lit("-"), "_n")))
+    several = told.where("_m").withColumn("_n", F.row_number().over(Window.partitionBy("_f").orderBy(place)))
+    columns = [c for c in files.columns if c != "doc_id"]
+    schema = T.StructType([several.schema[c] for c in columns] + [T.StructField("doc_id", T.StringType())])
+
+    def take(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_n")
+        taken: set[str] = set()
+        last: dict[str, int] = {}
+        ids = []
+        for name in group.column("_b").to_pylist():
+            n = last.get(name, 0) + 1
+            while (found := name if n == 1 else f"{name}-{n}") in taken:
+                n += 1
+            last[name] = n
+            taken.add(found)
+            ids.append(found)
+        return group.select(columns).append_column("doc_id", pa.array(ids, pa.string()))
+
+    worked = several.groupBy("_f").applyInArrow(take, schema)
+    return alone.select(*columns, "doc_id").unionByName(worked)
 
 
 def content_key(content: str = "content", length: int = 16) -> F.Column:
@@ -123,7 +157,7 @@ def tables_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     inner = F.regexp_replace(F.trim("_l"), r"^\||\|$", "")
     within = Window.partitionBy(key, "table_no").orderBy("_i")
     return numbered.select(
-        key, "table_no", (F.row_number().over(within) - 1).alias("row_no"), F.transform(F.split(inner, r"\|"), F.trim).alias("cells")
+        key, "table_no", (F.row_number().over(within) - 1).alias("row_no"), F.transform(F.split(inner, r"\|"), lambda c: F.trim(c)).alias("cells")
     )
 
 
@@ -139,7 +173,7 @@ def samples(files: DataFrame, active: str | None = None) -> DataFrame:
     ``reference.json`` counts if it parses, else ``res.txt``; the active sample is
     left out.
     """
-    text = F.decode("content", "UTF-8")
+    text = decoded("content")
     name = F.regexp_extract("path", r"([^/]+)/(?:output|comments)/[^/]+$", 1)
     file = F.regexp_extract("path", r"([^/]+)$", 1)
     rows = files.select(name.alias("sample"), file.alias("file"), text.alias("t")).where("sample <> ''")

@@ -86,12 +86,30 @@ def test_reply_pairing(spark):
     assert got == {2: "z", 3: "x", 4: "y", 5: "tool"}
 
 
-def test_markup_calls():
-    text = '<invoke name="find"><parameter name="q">"а"</parameter><parameter name="k">3</parameter></invoke><invoke name=cut><parameter name=z>x'
-    assert conversation.markup_calls(text) == [{"name": "find", "args": {"q": "а", "k": "3"}}, {"name": "cut", "args": {"z": "x"}}]
-    assert conversation.markup_calls(None) == []
-    direct = '<invoke name="read"><path>/a.md</path><pages>1-3</pages>'
-    assert conversation.markup_calls(direct) == [{"name": "read", "args": {"path": "/a.md", "pages": "1-3"}}]
+OPEN, CLOSE = "]<]minimax[>[", "]<]/minimax[>["
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('<minimax:tool_call><invoke name="find"><parameter name="q">"а"</parameter><parameter name="k">3</parameter></invoke></minimax:tool_call>', [("find", {"q": "а", "k": "3"})]),
+        ('<minimax:tool_call><invoke name="a"><parameter name="x">1<parameter name="y">2<invoke name="b"><parameter name="z">x', [("a", {"x": "1", "y": "2"}), ("b", {"z": "x"})]),
+        (OPEN + '<invoke name="read"><path>/a.md</path><pages>1-3</pages></invoke>' + CLOSE, [("read", {"path": "/a.md", "pages": "1-3"})]),
+        (OPEN + '<invoke name="ls"><path>/skills</path', [("ls", {"path": "/skills"})]),
+        (OPEN + '<invoke name="s"><paths>["/d.md"]</paths><query>сделки</query></invoke>' + CLOSE, [("s", {"paths": '["/d.md"]', "query": "сделки"})]),
+        ('<minimax:tool_call><invoke name="a"><parameter name="x">1</parameter></invoke></minimax:tool_call>\n' + OPEN + '<invoke name="b"><y>2</y></invoke>' + CLOSE, [("a", {"x": "1"}), ("b", {"y": "2"})]),
+        ('prose about <invoke name="x"><y>1</y></invoke>', []),
+        ("обычный ответ", []),
+        (None, []),
+    ],
+)
+def test_markup_calls(text, want):
+    assert [(c["name"], c["args"]) for c in conversation.markup_calls(text)] == want
+
+
+def test_text_beside_calls():
+    text = "<mm:think>мысль</mm:think>" + OPEN + '<invoke name="ls"><path>/</path></invoke>' + CLOSE
+    assert conversation.without_calls(text) == "мысль" and conversation.without_calls("<mm:think>a") == "<mm:think>a"
 
 
 def test_binary_blocks_and_traces(spark):
@@ -147,18 +165,79 @@ def scripted(replies):
     return lambda prompt: replies.pop(0)
 
 
-def test_agentic_search():
-    search = lambda q, k: [(1, 0.5, "один"), (2, 0.4, "два")]
-    grep = lambda p, k: [(3, 2.0, "три")]
+def ranking(rows):
+    return lambda query, k: rows[:k]
+
+
+FOUND = ranking([(1, 0.5, "один"), (2, 0.4, "два")])
+GREP = ranking([(3, 2.0, "три")])
+
+
+def graded(*verdicts, aspects=()):
+    return json.dumps([{"id": f"C{i}", "verdict": v, "aspects": list(aspects)} for i, v in enumerate(verdicts, 1)])
+
+
+def test_search_in_rounds():
     plan = json.dumps({"queries": ["пункт 7.1"], "aspects": ["a"]})
-    grades = json.dumps([{"id": "C1", "verdict": "partial"}, {"id": "C2", "verdict": "relevant", "aspects": ["a"]}, {"id": "C9"}])
-    got = agentic.agentic_search("q", search, grep, scripted([plan, grades]))
+    got = agentic.agentic_search("q", FOUND, GREP, scripted([plan, graded("partial", "Relevant", aspects=[1])]))
     assert [(r[0], r[2]) for r in got.rows] == [(1, "relevant"), (3, "partial")] and not got.degraded and got.calls == 2
-    assert agentic.agentic_search("q", search, grep, None).degraded is False
-    scoped = lambda q, k: [(4, 9.0, "четыре")]
-    assert 4 in agentic.candidates("что в статье 7?", search, grep, scoped)
-    assert 4 not in agentic.candidates("что в 7.1?", search, grep, scoped)
-    assert agentic.agentic_search("q", search, grep, scripted([])).degraded is True
+    plain = agentic.agentic_search("q", FOUND, GREP, None)
+    assert [r[0] for r in plain.rows] == [1, 2] and not plain.degraded and plain.calls == 0
+
+
+@pytest.mark.parametrize(
+    ("replies", "calls"),
+    [
+        (["это не JSON"], 1),
+        (["[1]"], 1),
+        ([], 1),
+        ([json.dumps({"queries": ["q"]}), "не JSON"], 2),
+        ([json.dumps({"queries": ["q"]}), "[]"], 2),
+        ([json.dumps({"queries": ["q"]}), graded("perhaps", "good")], 2),
+        ([json.dumps({"queries": ["q"]}), json.dumps({"id": "C1", "verdict": "relevant"})], 2),
+    ],
+)
+def test_unusable_answers_degrade(replies, calls):
+    got = agentic.agentic_search("q", FOUND, GREP, scripted(replies))
+    assert got.degraded and got.calls == calls and [(r[0], r[2]) for r in got.rows] == [(1, ""), (2, "")]
+
+
+def test_no_calls_left_degrades():
+    got = agentic.agentic_search("q", FOUND, GREP, scripted([json.dumps({"queries": ["q"]})]), agentic.Limits(calls=1))
+    assert got.degraded and got.calls == 1 and got.trace[-1]["error"] == "no calls left"
+
+
+def test_verdicts_by_the_first_number_and_aspects_by_position():
+    plan = json.dumps({"queries": ["q"], "aspects": ["a", "b"]})
+    items = [{"id": "candidate 2 of 9", "verdict": "partial", "aspects": ["1", 2, "x", None]}, {"id": "C7", "verdict": "relevant"}, {"id": "C1", "verdict": "?"}]
+    got = agentic.agentic_search("q", FOUND, GREP, scripted([plan, json.dumps(items)]))
+    # both aspects are covered by a partial verdict, so one round is enough; C1 stays ungraded
+    assert [(r[0], r[2]) for r in got.rows] == [(2, "partial")] and got.rounds == 1 and not got.degraded
+
+
+def test_refining_finds_what_was_missed_and_grades_once():
+    later = iter([[(1, 0.5, "один")], [(1, 0.9, "один"), (5, 0.3, "пять")]])
+    plan = json.dumps({"queries": ["q"], "aspects": ["a"]})
+    refine = json.dumps({"queries": ["r"]})
+    got = agentic.agentic_search("q", lambda q, k: next(later), GREP, scripted([plan, graded("irrelevant"), refine, graded("relevant", aspects=[1])]))
+    assert [r[0] for r in got.rows] == [5] and got.rounds == 2 and got.calls == 4
+    ended = agentic.agentic_search("q", FOUND, GREP, scripted([plan, graded("relevant", "partial"), "не JSON"]))
+    assert not ended.degraded and [r[2] for r in ended.rows] == ["relevant", "partial"]
+    nothing = agentic.agentic_search("q", FOUND, GREP, scripted([plan, graded("irrelevant", "irrelevant"), "{}"]))
+    assert [r[2] for r in nothing.rows] == ["", ""] and not nothing.degraded
+
+
+def test_numbers_and_sections_of_a_query():
+    asked = []
+    grep = lambda p, k: asked.append(p) or []
+    scoped = ranking([(4, 9.0, "четыре")])
+    rows = agentic.candidates("статья 7 про 25% и 1,5 и 30", FOUND, grep, scoped)
+    assert asked == ["7", "25%", "1,5"] and rows[-1][0] == 4
+    assert agentic.candidates("что в 7.1?", FOUND, GREP, scoped)[-1][0] == 3
+
+
+def test_content_blocks():
+    assert agentic.content_text([{"type": "text", "text": "abc"}, {"text": "de"}, "f"]) == "abcdef" and agentic.content_text(None) == ""
 
 
 def test_files(spark, tmp_path):
