@@ -1,7 +1,7 @@
 """BM25 over an inverted index kept as tables.
 
-``postings`` (term, unit_id, tf, dl) and ``terms`` (term, df) are aggregated once;
-a search touches only the rows of its terms, since both are joined on the term.
+``postings`` (term, unit_id, tf, dl) and ``terms`` (term, df, idf) are aggregated once and can
+be stored, ordered by term; a search touches only the rows of its terms.
 """
 
 from __future__ import annotations
@@ -12,12 +12,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexgrain.functions import text as X
+from lexgrain.functions.stem import stem
 from lexgrain.runtime import materialise
 
 #: Scores are rounded before ranking, so that ties don't hang on the order of sums.
 DIGITS = 9
 
 
+NORMALISERS = ("stem", "none")
+#: Terms of a question that are looked up by value; more are joined.
+LOOKED_UP = 1000
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
     """Postings, document frequencies and the corpus figures behind BM25."""
@@ -26,44 +32,74 @@ class LexicalIndex:
     terms: DataFrame
     units: int
     mean_length: float
-    mean_idf: float
+    normaliser: str = "none"
+
+    def facts(self) -> dict:
+        """What a manifest must hold beside the tables."""
+        return {"units": self.units, "mean_length": self.mean_length, "normaliser": self.normaliser}
+
+    def tables(self) -> dict[str, DataFrame]:
+        """The tables as they are stored: postings in ranges of terms, so that readers skip files."""
+        return {
+            "postings": self.postings.repartitionByRange("term").sortWithinPartitions("term", "unit_id"),
+            "terms": self.terms,
+        }
+
+    @classmethod
+    def of(cls, tables: dict[str, DataFrame], facts: dict) -> LexicalIndex:
+        return cls(tables["postings"], tables["terms"], facts["units"], facts["mean_length"], facts["normaliser"])
 
 
 def resolve_normaliser(name: str) -> str:
-    """Normaliser that is available here: ``auto`` is ``none``; others are refused."""
-    if name in ("auto", "none"):
-        return "none"
-    raise ValueError(f"normaliser {name!r} isn't available; use 'none' or 'auto'")
+    """Normaliser that is available here: ``auto`` is ``stem``; unknown and absent ones are refused."""
+    if name == "auto":
+        return NORMALISERS[0]
+    if name in NORMALISERS:
+        return name
+    if name == "lemma":
+        raise RuntimeError("the normaliser 'lemma' needs a dictionary that isn't here; use 'stem', 'none' or 'auto'")
+    raise ValueError(f"normaliser must be one of {NORMALISERS}, 'lemma' or 'auto', got {name!r}")
+
 
+def postings_of(units: DataFrame, unit: str, text: str, normaliser: str = "none") -> DataFrame:
+    """``term``, ``unit_id``, ``tf``, ``dl`` of every unit with a token.
 
-def postings_of(units: DataFrame, unit: str, text: str) -> DataFrame:
-    """``term``, ``unit_id``, ``tf``, ``dl`` of every unit with a token."""
+    Words are normalised once each, not wherever they occur.
+    """
     words = F.coalesce(X.tokens(text), F.array().cast("array<string>"))
     flat = units.select(F.col(unit).alias("unit_id"), words.alias("_w")).select(
         "unit_id", F.size("_w").alias("dl"), F.explode("_w").alias("term")
     )
-    return flat.groupBy("term", "unit_id", "dl").agg(F.count("*").alias("tf"))
+    found = flat.groupBy("term", "unit_id", "dl").agg(F.count("*").alias("tf"))
+    if normaliser == "none":
+        return found
+    found = materialise(found)
+    stems = found.select("term").distinct().select("term", stem("term").alias("_s"))
+    return (
+        found.join(stems, "term")
+        .groupBy(F.col("_s").alias("term"), "unit_id", "dl")
+        .agg(F.sum("tf").alias("tf"))
+    )
 
 
-def build(units: DataFrame, unit: str, text: str, epsilon: float = 0.25) -> LexicalIndex:
+def build(units: DataFrame, unit: str, text: str, epsilon: float = 0.25, normaliser: str = "none") -> LexicalIndex:
     """Index of a table of units; units without tokens count as documents of length 0."""
-    postings = materialise(postings_of(units, unit, text))
+    postings = materialise(postings_of(units, unit, text, normaliser))
     n = units.count()
     raw = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     terms = materialise(raw.withColumn("idf", F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)))
     figures = terms.agg(F.sum("cf"), F.avg("idf")).first()
-    mean_idf = figures[1] or 0.0
-    floored = terms.withColumn("idf", F.when(F.col("idf") < 0, F.lit(epsilon * mean_idf)).otherwise(F.col("idf")))
-    return LexicalIndex(postings, floored, n, (figures[0] or 0) / max(n, 1), mean_idf)
+    least = epsilon * (figures[1] or 0.0)
+    floored = terms.select("term", "df", F.when(F.col("idf") < 0, F.lit(least)).otherwise(F.col("idf")).alias("idf"))
+    return LexicalIndex(postings, floored, n, (figures[0] or 0) / max(n, 1), normaliser)
 
 
-def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
+def query_terms(queries: DataFrame, query: str, text: str, normaliser: str = "none") -> DataFrame:
     """``query_id``, ``term``, ``qtf`` (how often the query has the term)."""
-    return (
-        queries.select(F.col(query).alias("query_id"), F.explode(X.tokens(text)).alias("term"))
-        .groupBy("query_id", "term")
-        .agg(F.count("*").alias("qtf"))
-    )
+    words = queries.select(F.col(query).alias("query_id"), F.explode(X.tokens(text)).alias("term"))
+    if normaliser != "none":
+        words = words.select("query_id", stem("term").alias("term"))
+    return words.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
 def scores(index: LexicalIndex, terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -81,6 +117,21 @@ def scores(index: LexicalIndex, terms: DataFrame, k1: float = 1.5, b: float = 0.
     )
 
 
+def asked(index: LexicalIndex, queries: DataFrame, query: str, text: str) -> DataFrame:
+    """Scores of queries (see :func:`scores`) against an index, in the index's normal form.
+
+    The terms of up to ``LOOKED_UP`` different ones go into the scans as values, so
+    that stored postings are read by their ranges; more are joined.
+    """
+    terms = query_terms(queries, query, text, index.normaliser)
+    known = terms.select("term").distinct().limit(LOOKED_UP + 1).collect()
+    if len(known) > LOOKED_UP:
+        return scores(index, terms)
+    only = F.col("term").isin([r.term for r in known])
+    few = LexicalIndex(index.postings.where(only), index.terms.where(only), index.units, index.mean_length, index.normaliser)
+    return scores(few, terms)
+
+
 def top(scored: DataFrame, k: int, item: str = "unit_id", by: str = "score") -> DataFrame:
     """The ``k`` best items of each query with ``rank`` from 1; ties go to the lower id."""
     best = Window.partitionBy("query_id").orderBy(F.desc(by), item)

@@ -6,6 +6,7 @@ shuffled once by document and stay where they are.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,38 +45,55 @@ def sections(of: DataFrame, key: str) -> DataFrame:
     A numbered section ends at the next numbered heading that is not below it, an
     unnumbered one at the next heading, the last at the end of the text.
     """
-    ordered = Window.partitionBy(key).orderBy("line_no")
     whole = Window.partitionBy(key)
     marked = of.withColumn("_n", F.count("*").over(whole)).where(F.col("line").rlike(X.HEADING))
-    heads = headings_with(marked, key).withColumn("_next", F.lead("line_no").over(ordered))
-    rest = ordered.rowsBetween(1, Window.unboundedFollowing)
-    later = F.collect_list(F.struct("line_no", "section_key")).over(rest)
-    # headings of a document are few beside its lines; the list stays within the row
-    closing = F.get(
-        F.filter(later, lambda h: (h["section_key"] != "") & ~X.is_descendant(h["section_key"], F.col("section_key"))),
-        F.lit(0),
-    )["line_no"]
-    end = F.when(F.col("section_key") == "", F.col("_next")).otherwise(closing)
-    keys = F.collect_set("section_key").over(whole)
-    parents = F.filter(
-        F.reverse(F.slice(X.ancestors("section_key"), F.lit(1), F.greatest(F.size(X.ancestors("section_key")) - 1, F.lit(0)))),
-        lambda k: F.array_contains(F.col("_keys"), k),
-    )
-    nth = F.sum((F.col("section_key") == "").cast("int")).over(ordered)
-    return (
-        heads.withColumn("_end", F.coalesce(end, F.col("_n")).cast("int"))
-        .withColumn("_keys", keys)
-        .withColumn("parent_key", F.coalesce(F.get(parents, F.lit(0)), F.lit("")))
-        .withColumn("_nth", nth)
-        .select(
-            key,
-            F.col("line_no").alias("line_start"),
-            F.col("_end").alias("line_end"),
-            "level",
-            "title",
-            F.when(F.col("section_key") == "", F.concat(F.lit("§"), F.col("_nth"))).otherwise(F.col("section_key")).alias("section_key"),
-            "parent_key",
-        )
+    heads = headings_with(marked, key)
+    kind = heads.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, line_start int, line_end int, level int, title string, section_key string, parent_key string"
+    # lines are already grouped by document, so this adds no exchange
+    return heads.groupBy(key).applyInArrow(lambda group: _scoped(group, key), schema)
+
+
+def _scoped(heads: pa.Table, key: str) -> pa.Table:
+    """Scopes of one document's headings, in one pass.
+
+    The sections open at any heading form a chain, each below the one before, so closing
+    from the end of that chain touches each section once.
+    """
+    heads = heads.sort_by("line_no")
+    at, keys = heads.column("line_no").to_pylist(), heads.column("section_key").to_pylist()
+    last = heads.column("_n")[0].as_py()
+    known = set(keys)
+    ends, names, parents = [last] * len(at), [], []
+    chain: list[int] = []
+    unnumbered = 0
+    for i, name in enumerate(keys):
+        if name == "":
+            unnumbered += 1
+            names.append(f"§{unnumbered}")
+            parents.append("")
+            ends[i] = at[i + 1] if i + 1 < len(at) else last
+            continue
+        while chain and not (name + ".").startswith(keys[chain[-1]] + "."):
+            ends[chain.pop()] = at[i]
+        chain.append(i)
+        names.append(name)
+        above = name
+        while "." in above:
+            above = above.rpartition(".")[0]
+            if above in known:
+                break
+        parents.append(above if above != name and above in known else "")
+    return pa.table(
+        {
+            key: heads.column(key),
+            "line_start": heads.column("line_no").cast(pa.int32()),
+            "line_end": pa.array(ends, pa.int32()),
+            "level": heads.column("level").cast(pa.int32()),
+            "title": heads.column("title"),
+            "section_key": pa.array(names, pa.string()),
+            "parent_key": pa.array(parents, pa.string()),
+        }
     )
 
 

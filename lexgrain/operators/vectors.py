@@ -68,13 +68,22 @@ def embed(
     return units.select(unit, text).mapInArrow(run, f"`{unit}` {kind}, vec array<float>")
 
 
-def rank(queries: DataFrame, items: DataFrame, item: str, k: int, digits: int = 6) -> DataFrame:
+def rank(
+    queries: DataFrame,
+    items: DataFrame,
+    item: str,
+    k: int,
+    digits: int = 6,
+    section: str | None = None,
+    scope: dict[int, set[int]] | None = None,
+) -> DataFrame:
     """The ``k`` items nearest each query by cosine: ``query_id``, item, ``score``, ``rank``.
 
     ``queries`` (query_id, vec) is the stated query set: it is collected if it has
     at most 10,000 rows and refused beyond, and every task scans its share of the
     items against it, keeping its own best ``k``, so that a shuffle sees no more
-    than ``k`` rows of each task and query.
+    than ``k`` rows of each task and query.  With ``scope``, a query sees only the items
+    whose ``section`` is in its set; a query that is missing there sees none.
     """
     import numpy as np
 
@@ -96,10 +105,14 @@ def rank(queries: DataFrame, items: DataFrame, item: str, k: int, digits: int =
             table = np.array([vectors[i] for i in keep], dtype=np.float64)
             table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
             got = np.round(matrix @ table.T, digits)
+            if scope is not None:
+                own = np.array([-1 if x is None else x for x in batch.column(2).to_pylist()])[keep]
+                for q, name in enumerate(ids):
+                    got[q, ~np.isin(own, sorted(scope.get(name, ())))] = -np.inf
             for q in range(len(ids)):
                 near = np.argpartition(-got[q], min(k, len(keep) - 1))[: k + 1] if len(keep) > k else range(len(keep))
                 edge = min((got[q][i] for i in near), default=0)
-                rows = [(-got[q][i], names[keep[i]]) for i in np.flatnonzero(got[q] >= edge)]
+                rows = [(-got[q][i], names[keep[i]]) for i in np.flatnonzero((got[q] >= edge) & (got[q] > -np.inf))]
                 best[q] = sorted(best[q] + rows)[:k]
         out = [(ids[q], name, -score) for q in range(len(ids)) for score, name in best[q]]
         columns = list(zip(*out)) if out else [(), (), ()]
@@ -108,7 +121,8 @@ def rank(queries: DataFrame, items: DataFrame, item: str, k: int, digits: int =
             names=["query_id", item, "score"],
         )
 
-    local = items.select(F.col(item).cast("long"), "vec").mapInArrow(run, f"query_id long, `{item}` long, score double")
+    columns = [F.col(item).cast("long"), F.col("vec")] + ([F.col(section).cast("long")] if scope is not None else [])
+    local = items.select(*columns).mapInArrow(run, f"query_id long, `{item}` long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), item)
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -15,7 +15,8 @@ from lexgrain.operators import chunking, conversation, evaluation, extraction, f
 from lexgrain.operators.agentic import agentic_search
 from lexgrain.plans import tables as T
 from lexgrain.plans.index import Index
-from lexgrain.runtime import materialise, shared_dir, table
+from lexgrain.plans.persisted import Searchable, hashed_scores, searchable
+from lexgrain.runtime import materialise, scratch, table
 from lexgrain.sources import files, store
 from lexgrain.streaming import ingest
 
@@ -325,10 +326,9 @@ def _one(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(1, QUESTION)], "query_id long, text string")
 
 
-def _bm25(spark: SparkSession, root: str, queries: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame, lexical.LexicalIndex]:
-    units = materialise(T.units(spark, root))
-    index = lexical.build(units, "unit_id", "text")
-    return lexical.scores(index, lexical.query_terms(queries, "query_id", "text")), units, index
+def _bm25(spark: SparkSession, root: str, queries: DataFrame, normaliser: str = "none") -> tuple[DataFrame, Searchable]:
+    index = searchable(spark, root, normaliser)
+    return lexical.asked(index.lexical, queries, "query_id", "text"), index
 
 
 def _top_clauses(scored: DataFrame, units: DataFrame, k: int) -> DataFrame:
@@ -345,14 +345,14 @@ S_SHOWN = "CAST(query_id AS BIGINT) AS query_id, clause_id, round(score, 6) AS s
 
 @query("bm25_topk", f"WITH {s_scores(ONE)}, {s_clause_rank('scores', 50, 5)} SELECT {S_SHOWN} FROM best")
 def bm25_topk(spark: SparkSession, root: str) -> DataFrame:
-    scored, units, _ = _bm25(spark, root, _one(spark))
-    return _shown(_top_clauses(scored, units, 5))
+    scored, index = _bm25(spark, root, _one(spark))
+    return _shown(_top_clauses(scored, index.units, 5))
 
 
 @query("bm25_batch", f"WITH {s_scores(BODIES)}, {s_clause_rank('scores', 50, 5)} SELECT {S_SHOWN} FROM best")
 def bm25_batch(spark: SparkSession, root: str) -> DataFrame:
-    scored, units, _ = _bm25(spark, root, T.bodies(spark, root))
-    return _shown(_top_clauses(scored, units, 5))
+    scored, index = _bm25(spark, root, T.bodies(spark, root))
+    return _shown(_top_clauses(scored, index.units, 5))
 
 
 S_IN_SECTION = s_below("coalesce(nullif(number, ''), section_key, '')", "'8'") + " OR " + s_below("coalesce(section_key, '')", "'8'")
@@ -365,7 +365,8 @@ S_IN_SECTION = s_below("coalesce(nullif(number, ''), section_key, '')", "'8'") +
 )
 def bm25_in_section(spark: SparkSession, root: str) -> DataFrame:
     """Filters restrict the ranking; document frequencies stay those of the corpus."""
-    scored, units, _ = _bm25(spark, root, _one(spark))
+    scored, index = _bm25(spark, root, _one(spark))
+    units = index.units
     clauses = T.clauses(spark, root)
     scope = clauses.select("doc_id").distinct().withColumn("section_key", F.lit("8"))
     allowed = fusion.in_scope(clauses, scope, "doc_id").select("clause_id")
@@ -385,7 +386,7 @@ def bm25_chunk_context(spark: SparkSession, root: str) -> DataFrame:
     chunks = materialise(
         hierarchical_chunks(spark, root).select(F.col("doc_ord").alias("doc"), "chunk_no", "chunk")
     )
-    numbered = chunks.withColumn("unit_id", F.xxhash64("doc", "chunk_no"))
+    numbered = materialise(parse.ordinals(chunks, "doc", "chunk_no", name="unit_id"))
     index = lexical.build(numbered, "unit_id", "chunk")
     bodies = T.bodies(spark, root)
     scored = lexical.scores(index, lexical.query_terms(bodies, "query_id", "text")).join(
@@ -397,8 +398,7 @@ def bm25_chunk_context(spark: SparkSession, root: str) -> DataFrame:
 
 @query("term_stats", f"WITH {STATS} SELECT terms.term, terms.df, round(terms.idf, 6) AS idf FROM terms")
 def term_stats(spark: SparkSession, root: str) -> DataFrame:
-    index = lexical.build(T.units(spark, root), "unit_id", "text")
-    return index.terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return searchable(spark, root).lexical.terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("posting_counts", f"WITH {STATS} SELECT unit_id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS tokens FROM tf GROUP BY 1")
@@ -488,10 +488,10 @@ def _tree(spark: SparkSession, root: str, sections: int) -> DataFrame:
     rows = _vectors(spark, root)
     asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vec")
     coarse = vectors.rank(asked, vectors.pool(rows, "label").select(F.col("label").alias("section"), "vec"), "section", sections)
-    inside = rows.join(F.broadcast(coarse.select("query_id", F.col("section").cast("int").alias("label"))), "label")
-    scored = inside.join(F.broadcast(asked.withColumnRenamed("vec", "qv")), "query_id")
-    cosine = F.round(vectors.dot(F.col("vec"), F.col("qv")) / (vectors.norm(F.col("vec")) * vectors.norm(F.col("qv"))), 6)
-    got = lexical.top(scored.select("query_id", "vec_id", cosine.alias("score")), 5, "vec_id")
+    scope = {}
+    for r in coarse.select("query_id", "section").collect():  # the stated queries times the sections
+        scope.setdefault(r.query_id, set()).add(r.section)
+    got = vectors.rank(asked, rows, "vec_id", 5, section="label", scope=scope)
     return got.select("query_id", "vec_id", "score", "rank")
 
 
@@ -520,21 +520,13 @@ qv AS (SELECT dim, v / sqrt((SELECT sum(v * v) FROM qs)) AS value FROM qs WHERE
 vscores AS (SELECT 1 AS query_id, unit_id, round(sum(hv.value * qv.value), 9) AS score FROM hv JOIN qv USING (dim) GROUP BY 1, 2)"""
 
 
-def _hashed_scores(spark: SparkSession, units: DataFrame) -> DataFrame:
-    """Cosine of all units with the question, over shared dimensions only."""
-    asked = vectors.hashed(_one(spark), "query_id", "text").select("query_id", "dim", F.col("value").alias("q"))
-    # the entries of one query: at most 256 rows
-    joined = vectors.hashed(units, "unit_id", "text").join(F.broadcast(asked), "dim")
-    return joined.groupBy("query_id", "unit_id").agg(F.round(F.sum(F.col("value") * F.col("q")), 9).alias("score"))
-
-
 @query(
     "hashing_topk",
     f"""WITH {S_HASHED}, {s_hashed_query(QUESTION)}, {s_clause_rank('vscores', 50, 5)} SELECT {S_SHOWN} FROM best""",
 )
 def hashing_topk(spark: SparkSession, root: str) -> DataFrame:
-    units = materialise(T.units(spark, root))
-    return _shown(_top_clauses(_hashed_scores(spark, units), units, 5))
+    index = searchable(spark, root)
+    return _shown(_top_clauses(hashed_scores(index, _one(spark)), index.units, 5))
 
 
 S_BOTH = f"""{s_scores(ONE)}, {S_HASHED.split('), hw AS', 1)[1].join(['hw AS', ''])}, {s_hashed_query(QUESTION)},
@@ -553,9 +545,9 @@ def s_fused(w1: float, w2: float) -> str:
 
 
 def _fused(spark: SparkSession, root: str, w1: float, w2: float) -> DataFrame:
-    scored, units, _ = _bm25(spark, root, _one(spark))
+    scored, index = _bm25(spark, root, _one(spark))
     rankings = [
-        fusion.ranked(fusion.by_clause(lexical.top(s, 50), units), "clause_id") for s in (scored, _hashed_scores(spark, units))
+        fusion.ranked(fusion.by_clause(lexical.top(s, 50), index.units), "clause_id") for s in (scored, hashed_scores(index, _one(spark)))
     ]
     fused = fusion.rrf(list(zip(rankings, (w1, w2))), "clause_id")
     return _shown(fusion.ranked(fused, "clause_id").where("rank <= 5"))
@@ -675,7 +667,7 @@ def read_section(spark: SparkSession, root: str) -> DataFrame:
 )
 def search_hits(spark: SparkSession, root: str) -> DataFrame:
     """Ranked clauses with titles, breadcrumb and locator."""
-    scored, units, _ = _bm25(spark, root, T.bodies(spark, root))
+    scored, index = _bm25(spark, root, T.bodies(spark, root))
     docs = materialise(T.charters(spark, root))
     name = F.coalesce(F.when(F.regexp_extract("source_path", r"([^/]*)$", 1) != "", F.regexp_extract("source_path", r"([^/]*)$", 1)), F.col("doc_id"))
     titles = (
@@ -684,7 +676,7 @@ def search_hits(spark: SparkSession, root: str) -> DataFrame:
         .groupBy("doc_id", "section_key")
         .agg(F.min_by("title", "line_start").alias("title"))
     )
-    found = fusion.hits(_top_clauses(scored, units, 3), T.clauses(spark, root), titles, docs.select("doc_id", name.alias("doc_name")), "doc_id")
+    found = fusion.hits(_top_clauses(scored, index.units, 3), T.clauses(spark, root), titles, docs.select("doc_id", name.alias("doc_name")), "doc_id")
     return found.select(F.col("query_id").cast("long").alias("query_id"), "clause_id", F.col("rank").cast("int").alias("rank"), "doc_name", "breadcrumb", "locator")
 
 
@@ -935,8 +927,8 @@ def verdict_scores(spark: SparkSession, root: str) -> DataFrame:
 )
 def ranking_quality(spark: SparkSession, root: str) -> DataFrame:
     """Does BM25 find clauses that spell a body's name out?"""
-    scored, units, _ = _bm25(spark, root, T.bodies(spark, root))
-    hits = _top_clauses(scored, units, 10).select("query_id", "clause_id", "rank")
+    scored, index = _bm25(spark, root, T.bodies(spark, root))
+    hits = _top_clauses(scored, index.units, 10).select("query_id", "clause_id", "rank")
     # 45 listed names against every clause: the stated query set
     names = F.broadcast(T.bodies(spark, root).withColumnRenamed("text", "name"))
     texts = T.clauses(spark, root).select("clause_id", F.lower("text").alias("t"))
@@ -1000,7 +992,7 @@ def table_cells(spark: SparkSession, root: str) -> DataFrame:
 @query("jsonl_round_trip", f"WITH {T.CLAUSES} SELECT clause_id, number, text FROM cl")
 def jsonl_round_trip(spark: SparkSession, root: str) -> DataFrame:
     """Clauses written as JSON lines in the shared folder and read again."""
-    path = f"{shared_dir(spark)}/lexgrain-{uuid.uuid4().hex}"
+    path = scratch(spark)
     store.write_jsonl(T.clauses(spark, root).select("clause_id", "number", "text"), path)
     return store.read_jsonl(spark, path, "clause_id long, number string, text string")
 
@@ -1011,7 +1003,7 @@ def jsonl_round_trip(spark: SparkSession, root: str) -> DataFrame:
 )
 def index_round_trip(spark: SparkSession, root: str) -> DataFrame:
     """Clauses of an index that was built, saved by spans and loaded again."""
-    path = f"{shared_dir(spark)}/lexgrain-{uuid.uuid4().hex}"
+    path = scratch(spark)
     docs = materialise(T.charters(spark, root).select("doc_id", "source_path", "md_text"))
     Index.build(docs).save(spark, path)
     return Index.load(spark, path).tables["clauses"].select("doc_id", "number", "span_start", "text")
@@ -1023,14 +1015,12 @@ def index_round_trip(spark: SparkSession, root: str) -> DataFrame:
 )
 def agentic_rounds(spark: SparkSession, root: str) -> DataFrame:
     """Search in rounds with a scripted model that finds every clause relevant: the ranking as it is."""
-    units = materialise(T.units(spark, root))
+    index = searchable(spark, root)
     clauses = materialise(T.clauses(spark, root))
-    index = lexical.build(units, "unit_id", "text")
 
     def search(text: str, k: int) -> list:
         asked = spark.createDataFrame([(1, text)], "query_id long, text string")
-        scored = lexical.scores(index, lexical.query_terms(asked, "query_id", "text"))
-        got = _top_clauses(scored, units, k).join(clauses.select("clause_id", "text"), "clause_id")
+        got = _top_clauses(lexical.asked(index.lexical, asked, "query_id", "text"), index.units, k).join(clauses.select("clause_id", "text"), "clause_id")
         return [(r.clause_id, r.score, r.text) for r in got.orderBy("rank").collect()]
 
     def grep(pattern: str, k: int) -> list:
@@ -1066,7 +1056,7 @@ def streamed_deliveries(spark: SparkSession, root: str) -> DataFrame:
     sink = f"m{uuid.uuid4().hex}"
     run = (
         counted.writeStream.format("memory").queryName(sink).outputMode("complete")
-        .option("checkpointLocation", f"{shared_dir(spark)}/lexgrain-{sink}").trigger(availableNow=True).start()
+        .option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
     )
     run.awaitTermination()
     return spark.table(sink).select(F.col("window_start").cast("timestamp_ntz").alias("day"), "n")

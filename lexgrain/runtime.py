@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors see: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, single machine) a local temporary folder is
-    made, and remembered in the JVM's checkpoint setting.
+    Only where that is unset and everything runs in one process (``local[...]``, as in
+    tests) a temporary folder is made, and remembered in the JVM's checkpoint
+    setting; on a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
@@ -21,29 +25,58 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured.rstrip("/")
     if not sc.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {sc.master} share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lexgrain-"))
     return str(sc.getCheckpointDir()).rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_SCOPES: list[list[str]] = []
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path for it."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; it goes with the innermost :func:`intermediates`,
+    else when the application ends."""
+    path = f"{shared_dir(spark)}/lexgrain-{uuid.uuid4().hex}"
+    fs, at = file_system(spark, path)
+    fs.deleteOnExit(at)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Scope of written intermediates: those made inside are deleted at its end.
+
+    Results must be written or collected inside, since they are read lazily.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            fs, at = file_system(spark, path)
+            fs.delete(at, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to a Parquet table in the shared folder and read it back.
 
     Unlike ``cache()`` the result survives the loss of any executor, and unlike
-    ``checkpoint()`` it stays columnar, so later readers prune columns.  The table
-    goes when the application ends.
+    ``checkpoint()`` it stays columnar, so later readers prune columns.  For how long
+    it stays, see :func:`scratch`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexgrain-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    sc = spark.sparkContext
-    at = sc._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

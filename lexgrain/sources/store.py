@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMAT, VERSION = "lexgrain-index", 1
-TABLES = ("documents", "sections", "clauses", "units")
+TABLES = ("documents", "sections", "clauses", "units", "vectors", "postings", "terms")
 _MANIFEST = "manifest.json"
 
 
@@ -93,10 +93,29 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_results(results: DataFrame, reports: DataFrame, key: str, root: str) -> None:
-    """Results as JSON lines under ``structured``, reports (``key``, ``report``) as text
-    under ``reports/<key>=...``; a run that is there is replaced."""
+    """Results as JSON lines under ``structured``, reports (``key``, ``report``) as JSON lines
+    under ``reports``; a run that is there is replaced.
+
+    Rows lie in as many files as the tables have partitions, whatever the number of keys.
+    """
     write_jsonl(results, f"{root}/structured")
-    reports.select(key, F.col("report").alias("value")).write.mode("overwrite").partitionBy(key).text(f"{root}/reports")
+    write_jsonl(reports.select(key, "report"), f"{root}/reports")
+
+
+def read_results(spark: SparkSession, root: str, key: str, key_type: str, schema: str) -> DataFrame:
+    """A run's results (``schema``) with ``body``: the report or, without one, the result as JSON in a fence.
+
+    A run with neither is an error; reports without a result come with nulls.
+    """
+    fs, _, Path = _fs(spark, root)
+    there = [fs.exists(Path(f"{root}/{part}")) for part in ("structured", "reports")]
+    if not any(there):
+        raise FileNotFoundError(f"{root} has no results and no reports")
+    results = read_jsonl(spark, f"{root}/structured", schema)
+    reports = read_jsonl(spark, f"{root}/reports", f"{key} {key_type}, report string")
+    fenced = F.concat(F.lit("# Output\n\n```json\n"), F.col("_json"), F.lit("\n```\n"))
+    told = results.withColumn("_json", F.to_json(F.struct(*results.columns)))
+    return told.join(reports, key, "full").withColumn("body", F.coalesce("report", fenced)).drop("_json", "report")
 
 
 def latest_run(files: DataFrame, result: str = "result.md") -> DataFrame:

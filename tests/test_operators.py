@@ -313,8 +313,12 @@ def test_results_and_latest_run(spark, tmp_path):
     reports = spark.createDataFrame([(1, "строка один\nстрока два")], "id int, report string")
     store.write_results(results, reports, "id", str(tmp_path / "r"))
     assert store.read_jsonl(spark, str(tmp_path / "r" / "structured"), "id int, name string, empty string").collect() == results.collect()
-    text = [f.read_text() for f in (tmp_path / "r" / "reports" / "id=1").glob("*.txt")]
-    assert text == ["строка один\nстрока два\n"]
+    more = spark.createDataFrame([(1, "Совет", None), (2, "Съезд", None)], results.schema)
+    store.write_results(more, reports, "id", str(tmp_path / "r"))
+    back = {r.id: r for r in store.read_results(spark, str(tmp_path / "r"), "id", "int", "id int, name string, empty string").collect()}
+    assert back[1].body == "строка один\nстрока два" and back[2].name == "Съезд" and '{"id":2,"name":"Съезд"}' in back[2].body
+    with pytest.raises(FileNotFoundError):
+        store.read_results(spark, str(tmp_path / "nowhere"), "id", "int", "id int")
     assert store.read_jsonl(spark, str(tmp_path / "none"), "id int").count() == 0
     runs = spark.createDataFrame([("/a/1/result.md", 1), ("/a/2/result.md", 5), ("/a/3/other.md", 9)], "path string, modificationTime int")
     assert [r.run_dir for r in store.latest_run(runs).collect()] == ["/a/2"]
