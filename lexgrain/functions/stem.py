@@ -1,4 +1,4 @@
-"""Russian stems by the published Snowball algorithm, as a Column expression.
+"""Russian stems by the published Snowball algorithm, as a chain of columns.
 
 Every step is a substitution at the end of the region behind the first vowel, so the whole
 algorithm is a chain of regular expressions that stays in the JVM (and that SQL can repeat).
@@ -7,7 +7,7 @@ Where an ending must follow "а" or "я", that letter is matched too and put bac
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The vowels and the endings of each class, as the algorithm lists them; those
@@ -37,31 +37,42 @@ HEAD = f"^[^{VOWELS}]*[{VOWELS}]"
 R2 = f"^(?:[^{VOWELS}]*[{VOWELS}]+[^{VOWELS}]){{2}}"
 
 
-def stem(word: Column | str) -> Column:
-    """Stem of a lower-case word; words without a Russian vowel stay as they are."""
-    word = F.col(word) if isinstance(word, str) else word
-    plain = F.translate(word, "ё", "е")
-    head = F.regexp_extract(plain, HEAD, 0)
-    rest = F.substring(plain, F.length(head) + 1, F.length(plain))
+def with_stem(words: DataFrame, word: str, name: str) -> DataFrame:
+    """Table with the stem of each lower-case word; words without a Russian vowel stay as they are.
 
-    def less(text: Column, kind: dict[str, str]) -> Column:
+    Each step is a column of its own, so that no expression holds another one several
+    times over.
+    """
+
+    def less(text: str, kind: dict[str, str]) -> Column:
         return F.regexp_replace(text, ending(kind), "$1" if "after" in kind else "")
 
-    gerund = less(rest, GERUND)
-    bare = less(rest, REFLEXIVE)
-    adjective, verb, noun = less(bare, ADJECTIVE), less(bare, VERB), less(bare, NOUN)
+    def step(df: DataFrame, **columns: Column) -> DataFrame:
+        return df.select("_row", *[c for c in df.columns if c != "_row" and c not in columns], *[c.alias(n) for n, c in columns.items()])
+
+    rows = F.struct(*words.columns) if words.columns else F.struct()
+    df = words.select(rows.alias("_row"), F.translate(word, "ё", "е").alias("p"))
+    df = step(df, h=F.regexp_extract("p", HEAD, 0), region=F.length(F.regexp_extract("p", R2, 0)))
+    df = step(df, r=F.substring("p", F.length("h") + 1, F.length("p")))
+    df = step(df, gerund=less("r", GERUND), bare=less("r", REFLEXIVE))
+    df = step(df, adjective=less("bare", ADJECTIVE), verb=less("bare", VERB), noun=less("bare", NOUN))
     inflected = (
-        F.when(gerund != rest, gerund)
-        .when(adjective != bare, less(adjective, PARTICIPLE))
-        .when(verb != bare, verb)
-        .otherwise(noun)
+        F.when(F.col("gerund") != F.col("r"), F.col("gerund"))
+        .when(F.col("adjective") != F.col("bare"), less("adjective", PARTICIPLE))
+        .when(F.col("verb") != F.col("bare"), F.col("verb"))
+        .otherwise(F.col("noun"))
     )
-    short = F.regexp_replace(inflected, "и$", "")
-    region = F.length(F.regexp_extract(plain, R2, 0))
-    derived = less(short, DERIVATIONAL)
-    short = F.when((region > 0) & (F.length(head) + F.length(derived) >= region), derived).otherwise(short)
-    superlative = less(short, SUPERLATIVE)
-    tidy = F.when(superlative != short, F.regexp_replace(superlative, "нн$", "н")).when(
-        short.endswith("нн"), F.regexp_replace(short, "нн$", "н")
+    df = step(df, x=inflected)
+    df = step(df, x=F.regexp_replace("x", "и$", ""))
+    df = step(df, d=less("x", DERIVATIONAL))
+    in_r2 = (F.col("region") > 0) & (F.length("h") + F.length("d") >= F.col("region"))
+    df = step(df, y=F.when(in_r2, F.col("d")).otherwise(F.col("x")))
+    df = step(df, u=less("y", SUPERLATIVE))
+    tidy = (
+        F.when(F.col("u") != F.col("y"), F.regexp_replace("u", "нн$", "н"))
+        .when(F.endswith("y", F.lit("нн")), F.regexp_replace("y", "нн$", "н"))
+        .otherwise(F.regexp_replace("y", "ь$", ""))
     )
-    return F.when(head == "", plain).otherwise(F.concat(head, tidy.otherwise(F.regexp_replace(short, "ь$", ""))))
+    done = F.when(F.col("h") == "", F.col("p")).otherwise(F.concat("h", tidy))
+    # never null, so that no test for it is pushed down through all the steps; a null word has an empty stem
+    return df.select("_row.*", F.coalesce(done, F.lit("")).alias(name))

@@ -26,20 +26,38 @@ HEADING = rf"(?s)^{WS}{{0,3}}(#{{1,6}}){WS}+({NOT_WS}.*)$"
 WORD_KEY = rf"(?i)^{WS}*(?:статья|глава|раздел|СТАТЬЯ|ГЛАВА|РАЗДЕЛ){WS}+({PART})"
 NUMBER_KEY = rf"^{WS}*({PART}(?:{WS}*[.,]{WS}*{PART})*)"
 TOC_TITLE = rf"^(?:содержание|оглавление|contents|table{WS}+of{WS}+contents)(?:{WS}|[:.])*$"
-_DOTTED = rf"{DIGIT}+(?:\.{DIGIT}+){{1,4}}"
-#: Fixed values, for results must agree on them.  Lines that open a clause: plain, bulleted without punctuation, first cell of a
-#: table row; then the first two with misread digits.  Group 1 is the number.
+
+
+def _number(part: str, between: str) -> str:
+    """Group of a dotted number: two to five parts."""
+    return f"({part}(?:{between}{part}){{1,4}})"
+
+
+def _line(*parts: str) -> str:
+    return "^" + "".join(parts)
+
+
+# what a line that opens a clause is made of
+_INDENT, _GAP = rf"{WS}{{0,3}}", rf"{WS}+"
+_BULLET, _BOLD = rf"[-*]{_GAP}", rf"(?:\*{{1,2}}{WS}*)?"
+_DIGITS, _ANY_PART = rf"{DIGIT}+", PART
+_LOOSE_DOT, _LOOSE_MARK = rf"{WS}*\.{WS}*", rf"{WS}*[.,]{WS}*"
+_UNBOLD = r"(?:\*{1,2})?"
+_TEXT = rf"(?:{_GAP}{NOT_WS}|{LETTER})"
+#: Lines that open a clause: closed by a dot or bracket before text, bulleted without
+#: punctuation, first cell of a table row.  Group 1 is the number.
 CLAUSE_LINES = (
-    rf"^{WS}{{0,3}}(?:[-*]{WS}+)?(?:\*{{1,2}}{WS}*)?({DIGIT}+(?:{WS}*\.{WS}*{DIGIT}+){{1,4}}){WS}*[.)](?:\*{{1,2}})?(?:{WS}+{NOT_WS}|{LETTER})",
-    rf"^{WS}{{0,3}}[-*]{WS}+({_DOTTED}){WS}+{NOT_WS}",
-    rf"^{WS}*\|{WS}*(?:\*{{1,2}}{WS}*)?({_DOTTED})(?:{WS}*[.)])?{WS}+[^|]*{LETTER}",
+    _line(_INDENT, f"(?:{_BULLET})?", _BOLD, _number(_DIGITS, _LOOSE_DOT), rf"{WS}*[.)]", _UNBOLD, _TEXT),
+    _line(_INDENT, _BULLET, _number(_DIGITS, r"\."), _GAP, NOT_WS),
+    _line(rf"{WS}*\|{WS}*", _BOLD, _number(_DIGITS, r"\."), rf"(?:{WS}*[.)])?", _GAP, rf"[^|]*{LETTER}"),
 )
+#: The first two with misread digits and commas.
 CLAUSE_LINES_MISREAD = (
-    rf"^{WS}{{0,3}}(?:[-*]{WS}+)?(?:\*{{1,2}}{WS}*)?({PART}(?:{WS}*[.,]{WS}*{PART}){{1,4}}){WS}*[.,)](?:\*{{1,2}})?(?:{WS}+{NOT_WS}|{LETTER})",
-    rf"^{WS}{{0,3}}[-*]{WS}+({PART}(?:[.,]{PART}){{1,4}}){WS}+{NOT_WS}",
+    _line(_INDENT, f"(?:{_BULLET})?", _BOLD, _number(_ANY_PART, _LOOSE_MARK), rf"{WS}*[.,)]", _UNBOLD, _TEXT),
+    _line(_INDENT, _BULLET, _number(_ANY_PART, "[.,]"), _GAP, NOT_WS),
 )
-#: The same up to the number and its closing mark, for telling "1.2)" from "1.2.".
-CLOSED_BY_BRACKET = rf"^{WS}*(?:[-*]{WS}+)?(?:\*{{1,2}}{WS}*)?(?:[0-9{_DETECT}]|{DIGIT}|[.,]|{WS})*\)"
+#: A line up to its number and a bracket, for telling "1.2)" from "1.2.".
+CLOSED_BY_BRACKET = _line(rf"{WS}*", f"(?:{_BULLET})?", _BOLD, rf"(?:[0-9{_DETECT}]|{DIGIT}|[.,]|{WS})*\)")
 LEADING_ZERO = rf"(?:^|\.){WS}*0{DIGIT}"
 TOKEN = r"[\p{L}\p{N}_]+"
 #: Lines of page furniture in chunking, and those that a preview skips.

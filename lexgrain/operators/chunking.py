@@ -109,6 +109,39 @@ def hierarchical(docs: DataFrame, key: str, text: str, most: int = 1800, overlap
     return chunks.unionByName(without).select(key, (F.row_number().over(order) - 1).alias("chunk_no"), "chunk")
 
 
+def fused(lexical: DataFrame, meaning: DataFrame | None, k: int, weight: float = 0.7, rrf_k: int = 60) -> DataFrame:
+    """The ``k`` best chunks of each query and document by two rankings: ``query_id``, ``doc``,
+    ``chunk_no``, ``score``, ``rank``.
+
+    Both (``query_id``, ``doc``, ``chunk_no``, ``score``) are cut at ``max(3k, 15)`` before they
+    are fused with ``weight`` and its rest.  Where the ranking by meaning is empty or absent,
+    the lexical one stands, with its own scores.
+    """
+    depth = max(3 * k, 15)
+    best = Window.partitionBy("query_id", "doc").orderBy(F.desc("score"), "chunk_no")
+    columns = ("query_id", "doc", "chunk_no", "score")
+
+    def cut(scored: DataFrame, n: int) -> DataFrame:
+        return scored.select(*columns).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+
+    words = cut(lexical, depth)
+    if meaning is None:
+        return words.where(F.col("rank") <= k)
+    near = cut(meaning, depth)
+    parts = [
+        d.select("query_id", "doc", "chunk_no", (F.lit(w) / (F.lit(rrf_k) + F.col("rank"))).alias("_c"), o.alias("_own"))
+        for d, w, o in ((words, weight, F.col("score")), (near, 1.0 - weight, F.lit(None).cast("double")))
+    ]
+    both = parts[0].unionByName(parts[1]).groupBy("query_id", "doc", "chunk_no").agg(
+        F.round(F.sum("_c"), 9).alias("_f"), F.max("_own").alias("_own")
+    )
+    there = near.select("query_id", "doc").distinct().withColumn("_m", F.lit(True))
+    scored = both.join(there, ["query_id", "doc"], "left").select(
+        "query_id", "doc", "chunk_no", F.when(F.col("_m"), F.col("_f")).otherwise(F.col("_own")).alias("score")
+    )
+    return cut(scored, k)
+
+
 def contexts(
     scored: DataFrame, chunks: DataFrame, k: int = 12, most: int | None = None, asked: DataFrame | None = None
 ) -> DataFrame:

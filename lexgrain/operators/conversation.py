@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -208,3 +210,68 @@ def trace(messages: DataFrame, most: int = 6000) -> DataFrame:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_l"))), lambda x: x["_l"]), "\n")
     cut = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("\n... (truncated)"))).otherwise(text)
     return lines.groupBy("conv_id").agg(cut.alias("trace"))
+
+
+class BudgetExceeded(RuntimeError):
+    """No tokens are left for another call of the model."""
+
+
+class GuardedModel:
+    """A model of text behind the steps that each call takes, in this order: the budget is
+    checked, binary blocks go, ids are filled in, the model is called (once more after an error
+    about a call's id), tokens are counted, and calls written as markup are read.
+
+    Messages are dicts with ``role``, ``content`` (text or blocks), ``tool_calls`` (dicts with ``id``, ``name``,
+    ``args``) and ``tool_call_id``; ``model(messages)`` gives one more, with ``tokens`` if known.
+    ``budget`` 0 sets no limit.
+    """
+
+    def __init__(self, model: Callable[[list[dict]], dict], budget: int = 0, conv: str = ""):
+        self.model, self.budget, self.conv, self.used, self.turn = model, budget, conv, 0, 0
+
+    def __call__(self, messages: list[dict]) -> dict:
+        if self.budget and self.used >= self.budget:
+            raise BudgetExceeded(f"{self.used} of {self.budget} tokens used")
+        sent = self.filled([self.readable(m) for m in messages])
+        try:
+            answer = self.model(sent)
+        except ValueError as e:
+            if "tool call id" not in str(e).lower():
+                raise
+            answer = self.model(self.filled(sent))
+        self.turn += 1
+        self.used += int(answer.get("tokens") or 0)
+        answer = dict(answer)
+        content = answer.get("content")
+        if isinstance(content, str):
+            answer["tool_calls"] = [*(answer.get("tool_calls") or []), *markup_calls(content)]
+            answer["content"] = without_calls(content)
+        return self.filled([answer])[0]
+
+    @staticmethod
+    def readable(message: dict) -> dict:
+        """A message without binary blocks; a hint stands for them if no text is left."""
+        blocks = message.get("content")
+        if not isinstance(blocks, list):
+            return message
+        binary = lambda b: isinstance(b, dict) and (b.get("type") in BINARY_KINDS or {"base64", "file_data", "image_url"} & b.keys())
+        kept = [b for b in blocks if not binary(b)]
+        if len(kept) < len(blocks) and not any(isinstance(b, dict) and b.get("type") == "text" for b in kept):
+            kept.append({"type": "text", "text": HINT})
+        return message | {"content": kept}
+
+    def filled(self, messages: list[dict]) -> list[dict]:
+        """Messages with ids: calls without one get one, answers without one take the last calls' in turn."""
+        out, waiting = [], []
+        for n, message in enumerate(messages):
+            if message.get("tool_calls"):
+                calls = [c | {"id": c.get("id") or self.new_id(n, k)} for k, c in enumerate(message["tool_calls"])]
+                message, waiting = message | {"tool_calls": calls}, [c["id"] for c in calls]
+            elif message.get("role") == "tool" and not message.get("tool_call_id") and waiting:
+                message = message | {"tool_call_id": waiting.pop(0)}
+            out.append(message)
+        return out
+
+    def new_id(self, message: int, pos: int) -> str:
+        mark = f"{self.conv}:{self.turn}:{message}:{pos}"
+        return "call_" + hashlib.sha256(mark.encode()).hexdigest()[:16]

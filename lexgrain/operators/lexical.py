@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexgrain.functions import text as X
-from lexgrain.functions.stem import stem
+from lexgrain.functions.stem import with_stem
 from lexgrain.runtime import materialise
 
 #: Scores are rounded before ranking, so that ties don't hang on the order of sums.
@@ -20,7 +20,7 @@ DIGITS = 9
 
 
 NORMALISERS = ("stem", "none")
-#: Terms of a question that are looked up by value; more are joined.
+#: Query terms that are looked up by value; more are joined.
 LOOKED_UP = 1000
 
 
@@ -74,7 +74,7 @@ def postings_of(units: DataFrame, unit: str, text: str, normaliser: str = "none"
     if normaliser == "none":
         return found
     found = materialise(found)
-    stems = found.select("term").distinct().select("term", stem("term").alias("_s"))
+    stems = with_stem(found.select("term").distinct(), "term", "_s")
     return (
         found.join(stems, "term")
         .groupBy(F.col("_s").alias("term"), "unit_id", "dl")
@@ -98,7 +98,7 @@ def query_terms(queries: DataFrame, query: str, text: str, normaliser: str = "no
     """``query_id``, ``term``, ``qtf`` (how often the query has the term)."""
     words = queries.select(F.col(query).alias("query_id"), F.explode(X.tokens(text)).alias("term"))
     if normaliser != "none":
-        words = words.select("query_id", stem("term").alias("term"))
+        words = with_stem(words, "term", "_s").select("query_id", F.col("_s").alias("term"))
     return words.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
@@ -120,16 +120,16 @@ def scores(index: LexicalIndex, terms: DataFrame, k1: float = 1.5, b: float = 0.
 def asked(index: LexicalIndex, queries: DataFrame, query: str, text: str) -> DataFrame:
     """Scores of queries (see :func:`scores`) against an index, in the index's normal form.
 
-    The terms of up to ``LOOKED_UP`` different ones go into the scans as values, so
-    that stored postings are read by their ranges; more are joined.
+    Up to ``LOOKED_UP`` rows of query terms go into the scans as values, so that stored
+    postings are read by their ranges; more are written and joined.
     """
     terms = query_terms(queries, query, text, index.normaliser)
-    known = terms.select("term").distinct().limit(LOOKED_UP + 1).collect()
+    known = terms.limit(LOOKED_UP + 1).collect()
     if len(known) > LOOKED_UP:
-        return scores(index, terms)
-    only = F.col("term").isin([r.term for r in known])
+        return scores(index, materialise(terms))
+    only = F.col("term").isin(sorted({r.term for r in known}))
     few = LexicalIndex(index.postings.where(only), index.terms.where(only), index.units, index.mean_length, index.normaliser)
-    return scores(few, terms)
+    return scores(few, queries.sparkSession.createDataFrame(known, terms.schema))
 
 
 def top(scored: DataFrame, k: int, item: str = "unit_id", by: str = "score") -> DataFrame:

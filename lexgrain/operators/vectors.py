@@ -152,3 +152,15 @@ def missing(units: DataFrame, text: str, cache: DataFrame, model: str) -> DataFr
     """Distinct texts that the cache (column ``key``) lacks: ``key``, ``text``."""
     wanted = units.where(F.col(text).isNotNull()).select(cache_key(model, text).alias("key"), F.col(text).alias("text"))
     return wanted.dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
+
+
+def provider(name: str, known: dict[str, Callable[[], Callable]], credentials: dict[str, str | None]) -> Callable:
+    """The embedder of a provider's name; one that needs credentials is refused without them.
+
+    ``known`` makes embedders by name, ``credentials`` has an entry for each that sends text elsewhere.
+    """
+    if name not in known:
+        raise ValueError(f"embedder must be one of {sorted(known)}, got {name!r}")
+    if name in credentials and not credentials[name]:
+        raise PermissionError(f"the embedder {name!r} sends text elsewhere and has no credentials; it isn't used")
+    return known[name]()

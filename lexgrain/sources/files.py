@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexgrain.runtime import file_system, materialise
+
 TEXT_SUFFIXES = (".md", ".txt", ".markdown")
 
 
@@ -84,6 +86,71 @@ def recognise_with(files: DataFrame, recogniser: Callable[[str, bytes], str]) ->
     return files.select("path", "content").mapInArrow(run, "path string, md_text string, error string")
 
 
+def paged(pages: DataFrame, key: str, page: str, text: str) -> DataFrame:
+    """Pages of a document as one text: their number, then each page under its marker.
+
+    ``key``, ``md_text``; a page without text has its marker only.
+    """
+    parts = F.array_sort(F.collect_list(F.struct(F.col(page).cast("int").alias("n"), F.coalesce(text, F.lit("")).alias("t"))))
+    gathered = pages.groupBy(key).agg(parts.alias("_p"))
+    total = F.size("_p")
+    shown = F.transform("_p", lambda p: F.concat(F.lit("--- Page "), p["n"], F.lit("/"), total, F.lit(" ---\n"), p["t"]))
+    return gathered.select(key, F.concat(F.lit("Total pages: "), total, F.lit("\n\n"), F.array_join(shown, "\n\n")).alias("md_text"))
+
+
+def recognised_once(files: DataFrame, recogniser: Callable[[str, bytes], str], cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts (``path``, ``md_text``, ``error``) by way of a cache (``content_key``, ``md_text``), and the cache with what is new.
+
+    Files of equal content are recognised once; failures are not kept.
+    """
+    keyed = files.withColumn("content_key", content_key())
+    new = keyed.join(cache.select("content_key"), "content_key", "left_anti").dropDuplicates(["content_key"])
+    made = recognise_with(new, recogniser).join(new.select("path", "content_key"), "path")
+    made = materialise(made.select("content_key", "md_text", "error"))
+    grown = cache.select("content_key", "md_text").unionByName(made.where("error is null").select("content_key", "md_text"))
+    known = grown.withColumn("error", F.lit(None).cast("string")).unionByName(made.where("error is not null"))
+    return keyed.select("path", "content_key").join(known, "content_key").select("path", "md_text", "error"), grown
+
+
+def all_texts(files: DataFrame, recogniser: Callable[[str, bytes], str] | None = None) -> DataFrame:
+    """Texts of all inputs in the order of their paths (``path``, ``md_text``).
+
+    Files of other kinds than text go to the recogniser, where there is one; what
+    can't be read is left out.
+    """
+    plain = recognised(files)
+    known = plain.where("error is null").select("path", "md_text")
+    if recogniser is None:
+        return known
+    others = files.join(plain.where("error is not null").select("path"), "path", "left_semi")
+    made = recognise_with(others, recogniser).where("error is null").select("path", "md_text")
+    return known.unionByName(made)
+
+
+def stage(spark: SparkSession, source: str, target: str) -> list[str]:
+    """Copy a file, or the files of a folder (not hidden ones), into ``target/input`` for one run.
+
+    ``target/input`` and ``target/scratch`` are emptied first; a missing source and one
+    without files are errors.  Gives the copies' paths, sorted.
+    """
+    fs, at = file_system(spark, source)
+    jvm = spark.sparkContext._jvm
+    if not fs.exists(at):
+        raise FileNotFoundError(source)
+    found = [at] if fs.getFileStatus(at).isFile() else [s.getPath() for s in fs.listStatus(at) if s.isFile() and not s.getPath().getName().startswith(".")]
+    if not found:
+        raise FileNotFoundError(f"{source} has no files")
+    for part in ("input", "scratch"):
+        to, folder = file_system(spark, f"{target}/{part}")
+        to.delete(folder, True)
+        to.mkdirs(folder)
+    to, folder = file_system(spark, f"{target}/input")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in found:
+        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, path, to, jvm.org.apache.hadoop.fs.Path(folder, path.getName()), False, conf)
+    return sorted(f"{target}/input/{p.getName()}" for p in found)
+
+
 def mapped(files: DataFrame, mapping: DataFrame) -> DataFrame:
     """Texts from a table (path, md_text); a path without one gets an error."""
     joined = files.select("path").join(mapping.select("path", "md_text"), "path", "left")
