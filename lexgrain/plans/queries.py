@@ -188,10 +188,25 @@ def clause_segments(spark: SparkSession, root: str) -> DataFrame:
     return got.select("doc_ord", "number", "section_key", "span_start", F.col("span_end").cast("long").alias("span_end"), "text")
 
 
-@query("inline_clauses")
+@query(
+    "inline_clauses",
+    """WITH l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n, l_partkey AS p FROM lineitem),
+    c AS (SELECT k, CAST(k AS VARCHAR) AS number, '## Статья ' || k || '. Список' AS text FROM l WHERE n = 1
+        UNION ALL SELECT k, k || '.' || n, CASE WHEN n = 1 THEN k || '.1. Перечень |  Товар ' || p ELSE k || '.' || n || '.  Товар ' || p END FROM l)
+    SELECT k AS doc, number, text, CAST(length(text) AS BIGINT) AS n FROM c""",
+)
 def inline_clauses(spark: SparkSession, root: str) -> DataFrame:
-    got = parse.segments(T.charters(spark, root), "doc_ord", "md_text")
-    return parse.split_inline(got, "doc_ord")
+    """Orders as flattened table rows, taken apart again: one clause for each line."""
+    lines = table(spark, root, "lineitem")
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    numbered = lines.select(F.col("l_orderkey").alias("doc"), nth.alias("n"), F.col("l_partkey").alias("p"))
+    item = F.when(F.col("n") == 1, F.concat(F.lit("Перечень |  Товар "), "p")).otherwise(F.concat(F.lit(" Товар "), "p"))
+    cell = F.concat("doc", F.lit("."), "n", F.lit(". "), item)
+    rows = numbered.select("doc", "n", cell.alias("c")).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("n", "c"))).alias("_c"))
+    body = F.array_join(F.transform("_c", lambda x: x["c"]), "   ")
+    docs = rows.select("doc", F.concat(F.lit("## Статья "), "doc", F.lit(". Список\n"), body).alias("md_text"))
+    got = parse.split_inline(parse.segments(docs, "doc", "md_text"), "doc")
+    return got.select("doc", "number", "text", (F.col("span_end") - F.col("span_start")).cast("long").alias("n"))
 
 
 @query(
@@ -287,7 +302,34 @@ def fixed_windows(spark: SparkSession, root: str) -> DataFrame:
     return T.clauses(spark, root).where("text is not null").select("clause_id", pieces).select("clause_id", "piece_no", F.md5("p").alias("h"))
 
 
-@query("hierarchical_chunks")
+S_LINE_END = chunking.LINE_ENDS
+S_HIER = f"""{T.CHARTERS}, hl AS (
+    SELECT doc_ord, CAST(unnest(range(len(a))) AS INT) AS i, unnest(a) AS line FROM (
+        SELECT doc_ord, string_split_regex(regexp_replace(md_text, '(?:{S_LINE_END})$', ''), '{S_LINE_END}') AS a FROM charters)),
+hc AS (SELECT doc_ord, i, regexp_replace(regexp_replace(line, '[ \\t]{{2,}}', ' ', 'g'), '{X.WS}+$', '') AS line FROM hl WHERE NOT regexp_matches(line, '{X.NOISE_CHUNK}')),
+hm AS (SELECT *, regexp_matches(line, '{chunking._HEAD}') AS h, regexp_matches(line, '{chunking._UNIT}') AS u FROM hc),
+hs AS (SELECT *, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY doc_ord ORDER BY i) AS s FROM hm),
+hb AS (SELECT *, coalesce(sum(CASE WHEN h THEN 0 ELSE 1 END) OVER (PARTITION BY doc_ord, s ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM hs),
+hu AS (SELECT *, sum(CASE WHEN u AND before > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_ord, s ORDER BY i) AS un FROM hb),
+units0 AS (SELECT doc_ord, s, un, string_agg(line, chr(10) ORDER BY i) AS t FROM hu WHERE NOT h GROUP BY 1, 2, 3),
+folded AS (SELECT doc_ord, s, list_reduce(list({{'o': CAST([] AS VARCHAR[]), 'b': t}} ORDER BY un), lambda a, x:
+    CASE WHEN a.b = '' THEN {{'o': a.o, 'b': x.b}} WHEN length(a.b) + length(x.b) + 1 <= 1720 THEN {{'o': a.o, 'b': a.b || chr(10) || x.b}}
+    ELSE {{'o': list_append(a.o, a.b), 'b': x.b}} END) AS f FROM units0 GROUP BY 1, 2),
+names AS (SELECT doc_ord, s, max({s_strip(f"regexp_replace({s_strip('line')}, '^#+', '')")}) AS head FROM hu WHERE h GROUP BY 1, 2),
+merged AS (SELECT f.doc_ord, f.s, CASE WHEN coalesce(head, '') = '' THEN '' ELSE '[' || head || ']' || chr(10) END AS p,
+    list_filter(list_transform(CASE WHEN f.b = '' THEN f.o ELSE list_append(f.o, f.b) END, lambda x: {s_strip("x")}), lambda x: x <> '') AS m
+    FROM folded f LEFT JOIN names USING (doc_ord, s)),
+flat AS (SELECT doc_ord, s, p, unnest(range(len(m))) AS m, unnest(m) AS t FROM merged),
+sized AS (SELECT *, greatest(200, 1800 - length(p)) AS z, length(p) + length(t) <= 1800 AS fits FROM flat),
+cut AS (SELECT doc_ord, s, m, p, t, z, fits, unnest(range(CASE WHEN fits THEN 1 ELSE CAST(greatest(floor((length(t) - 1) / CAST(greatest(1, z - 150) AS DOUBLE)), 0) AS BIGINT) + 1 END)) AS k FROM sized),
+got AS (SELECT doc_ord, s, m, k, p || CASE WHEN fits THEN t ELSE substring(t, k * greatest(1, z - 150) + 1, z) END AS chunk FROM cut),
+kept AS (SELECT * FROM got WHERE {s_strip("chunk")} <> ''),
+bare AS (SELECT doc_ord, 0 AS s, 0 AS m, unnest(range(CAST(greatest(floor((length(md_text) - 1) / 1650.0), 0) AS BIGINT) + 1)) AS k, md_text FROM charters WHERE doc_ord NOT IN (SELECT doc_ord FROM kept)),
+hchunks AS (SELECT doc_ord, CAST(row_number() OVER (PARTITION BY doc_ord ORDER BY s, m, k) - 1 AS INT) AS chunk_no, chunk FROM (
+    SELECT * FROM kept UNION ALL SELECT doc_ord, s, m, k, substring(md_text, k * 1650 + 1, 1800) FROM bare))"""
+
+
+@query("hierarchical_chunks", f"WITH {S_HIER} SELECT * FROM hchunks")
 def hierarchical_chunks(spark: SparkSession, root: str) -> DataFrame:
     return chunking.hierarchical(T.charters(spark, root), "doc_ord", "md_text")
 
@@ -374,9 +416,23 @@ def bm25_in_section(spark: SparkSession, root: str) -> DataFrame:
     return _shown(_top_clauses(inside, units, 5))
 
 
+S_CHUNK_BEST = f"""{S_HIER}, tok AS (SELECT doc_ord, chunk_no, unnest({s_tokens("chunk")}) AS term FROM hchunks),
+tf AS (SELECT doc_ord, chunk_no, term, count(*) AS tf FROM tok GROUP BY 1, 2, 3), dl AS (SELECT doc_ord, chunk_no, count(*) AS dl FROM tok GROUP BY 1, 2),
+n AS (SELECT (SELECT count(*) FROM hchunks) AS n, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM hchunks) AS avgdl),
+raw AS (SELECT term, count(*) AS df, ln((SELECT n FROM n) - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf GROUP BY 1),
+terms AS (SELECT term, df, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({s_tokens("text")}) AS term FROM ({BODIES})) GROUP BY 1, 2),
+cs AS (SELECT q.query_id, tf.doc_ord, tf.chunk_no, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM n)))), 9) AS score
+    FROM q JOIN terms USING (term) JOIN tf USING (term) JOIN dl USING (doc_ord, chunk_no) GROUP BY 1, 2, 3),
+cb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_ord ORDER BY score DESC, chunk_no) AS r FROM cs WHERE score > 0) WHERE r <= 12),
+pairs AS (SELECT DISTINCT body_id AS query_id, doc_ord FROM governing_bodies, (SELECT DISTINCT doc_ord FROM hchunks))"""
+
+
 @query(
     "bm25_chunk_context",
-    None,
+    f"""WITH {S_CHUNK_BEST} SELECT p.query_id, p.doc_ord AS doc, coalesce(string_agg(h.chunk, chr(10) || chr(10) ORDER BY h.chunk_no), any_value(f.chunk)) AS context
+    FROM pairs p JOIN hchunks f ON f.doc_ord = p.doc_ord AND f.chunk_no = 0 LEFT JOIN cb ON cb.query_id = p.query_id AND cb.doc_ord = p.doc_ord
+    LEFT JOIN hchunks h ON h.doc_ord = p.doc_ord AND h.chunk_no = cb.chunk_no GROUP BY 1, 2""",
 )
 def bm25_chunk_context(spark: SparkSession, root: str) -> DataFrame:
     """Context of each listed body in each charter: its 12 best hierarchical chunks uncut, in document order.
