@@ -333,6 +333,28 @@ def oracle_sql() -> dict[str, str]:
               JOIN z c ON c.item_kind = b.item_kind AND c.id = key_b
             WHERE common >= 0.65 * (a.n + c.n - common)
         """,
+        "p5_classes": r"""
+            WITH RECURSIVE r AS (
+              SELECT 'clause' AS item_kind, clause_id AS id, text AS t FROM clauses
+              UNION SELECT 'document', doc_ord, md_text FROM documents_in),
+            w AS (SELECT item_kind, id, regexp_extract_all(lower(coalesce(t, '')), '[\p{L}\p{N}]+') AS ws FROM r),
+            e AS (SELECT item_kind, id, i, array_to_string(list_slice(ws, i, i + least(5, len(ws)) - 1), ' ') AS g
+                  FROM (SELECT item_kind, id, ws, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS i FROM w WHERE len(ws) > 0)),
+            s AS (SELECT item_kind, id, g || '#' || row_number() OVER (PARTITION BY item_kind, id, g ORDER BY i) AS x FROM e),
+            bag AS (SELECT item_kind, id, count(*) AS n, md5(string_agg(x, '|' ORDER BY x)) AS print FROM s GROUP BY 1, 2),
+            rep AS (SELECT item_kind, id, n, min(id) OVER (PARTITION BY item_kind, print) AS rep FROM bag),
+            own AS (SELECT s.item_kind, s.id, s.x FROM s JOIN rep ON rep.item_kind = s.item_kind AND rep.id = s.id WHERE rep.id = rep.rep),
+            o AS (SELECT a.item_kind, a.id AS a, b.id AS b, count(*) AS common FROM own a JOIN own b ON a.item_kind = b.item_kind AND a.x = b.x AND a.id < b.id GROUP BY ALL),
+            l AS (SELECT o.item_kind, o.a, o.b FROM o JOIN rep x ON x.item_kind = o.item_kind AND x.id = o.a JOIN rep y ON y.item_kind = o.item_kind AND y.id = o.b
+                  WHERE common >= 0.8 * (x.n + y.n - common)),
+            d AS (SELECT item_kind, a, b FROM l UNION ALL SELECT item_kind, b, a FROM l),
+            reach AS (SELECT DISTINCT item_kind, a AS node, a AS label FROM d UNION SELECT d.item_kind, d.b, reach.label FROM reach JOIN d ON d.item_kind = reach.item_kind AND d.a = reach.node),
+            lab AS (SELECT item_kind, node, min(label) AS label FROM reach GROUP BY 1, 2),
+            deg AS (SELECT item_kind, a, count(*) AS n FROM d GROUP BY 1, 2)
+            SELECT w.item_kind, w.id AS key, coalesce(lab.label, rep.rep, w.id) AS class_id, coalesce(deg.n, 0) AS n_links
+            FROM w LEFT JOIN rep ON rep.item_kind = w.item_kind AND rep.id = w.id
+            LEFT JOIN lab ON lab.item_kind = w.item_kind AND lab.node = rep.rep LEFT JOIN deg ON deg.item_kind = w.item_kind AND deg.a = rep.rep
+        """,
         "p7_account": """
             SELECT 'documents' AS item, count(*) AS n FROM documents
             UNION ALL SELECT 'over capacity', 0 UNION ALL SELECT 'overlapping', 0
