@@ -5,12 +5,14 @@ and its subwords' vectors; each subject has an independent logistic output on
 sentences.  A document's score for a subject is the soft maximum over its
 sentences, which is also how training reaches the sentences behind a document's
 labels.  Training is data-parallel: each partition of the labelled sample works
-out the gradient step of its documents, and the steps are averaged every round.
+out the gradient of its documents, and the gradients are summed every step, in groups on
+the executors and then on the driver, which takes the step.
 """
 
 from __future__ import annotations
 
 import io
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,11 +38,13 @@ class Settings:
     buckets: int = 1 << 14
     #: Labelled documents used for fitting: those with the smallest hash of the id.
     sample: int = 5000
-    #: Words of the sample that get a vector of their own: the most frequent.
-    vocabulary: int = 50_000
-    partitions: int = 6
-    steps: int = 40
-    rate: float = 0.05
+    #: Words in at least so many documents of the sample get a vector of their own; others
+    #: are read by their subwords alone.
+    least_documents: int = 2
+    #: Partitions of the sample; None: as many as the cluster has cores, of at least 100 documents.
+    partitions: int | None = None
+    steps: int = 24
+    rate: float = 0.08
     #: Of the soft maximum over sentences, at the first and the last step.
     sharpness: tuple[float, float] = (1.0, 6.0)
     #: Logits tried as the decision threshold on a held-out tenth of the sample.
@@ -253,18 +257,18 @@ def train(
         .where(F.col("_r") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63)))
         .orderBy("_r", key)
         .limit(how.sample)
-        .withColumn("_p", F.pmod(F.xxhash64(F.lit("part"), key), F.lit(10 * how.partitions)).cast("int"))
-        # a tenth is held out, as partition -1
-        .withColumn("_p", F.when(F.col("_p") < how.partitions, -1).otherwise(F.col("_p") % how.partitions))
     )
+    parts = how.partitions or max(1, min(spark.sparkContext.defaultParallelism, min(n, how.sample) // 100))
+    # a tenth is held out, as partition -1, whatever the number of the others
+    held_out = F.pmod(F.xxhash64(F.lit("held"), key), F.lit(10)) == 0
+    wanted = wanted.withColumn("_p", F.when(held_out, -1).otherwise(F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts))).cast("int"))
     has_word = F.col("_t").rlike(r"\p{L}")
     # at most ``sample`` ids
     sampled = documents.select(key, F.col(text).alias("_t")).join(F.broadcast(wanted), key).where(has_word)
     sample = materialise(sampled.select("_t", "_l", "_p"))
-    counted = (
-        sample.where("_p >= 0").select(F.explode(_words("_t")).alias("w")).groupBy("w").count().where("count > 1")
-    )
-    top = counted.orderBy(F.desc("count"), "w").limit(how.vocabulary).collect()
+    counted = sample.where("_p >= 0").select(F.explode(_words("_t")).alias("w")).groupBy("w").count()
+    # as many as the sample has, which is bounded
+    top = counted.where(F.col("count") >= how.least_documents).orderBy(F.desc("count"), "w").collect()
     model = Model([r.w for r in top], len(subjects), how)
     shared = spark.sparkContext.broadcast(model)
 
@@ -276,17 +280,17 @@ def train(
         data = Shard.of(shared.value, [d for d in docs if d[0]]).packed()
         return pa.table({"p": group.column("_p").slice(0, 1), "data": pa.array([data], pa.binary())})
 
-    shards = materialise(sample.groupBy("_p").applyInArrow(pack, "p int, data binary").repartition(how.partitions, "p"))
+    shards = materialise(sample.groupBy("_p").applyInArrow(pack, "p int, data binary").repartition(parts, "p"))
     state = model.state()
     moments = Adam(state, how.rate)
     n = max(1, sample.where("_p >= 0").count())
     training = shards.where("p >= 0")
     for step in range(how.steps):
         sharp = how.sharpness[0] + (how.sharpness[1] - how.sharpness[0]) * step / how.steps
-        parts = _each(spark, training, state, lambda shard, st, sharp=sharp: shard.gradient(st, sharp))
-        if not parts:
+        found = _each(spark, training, state, lambda shard, st, sharp=sharp: shard.gradient(st, sharp), math.isqrt(parts))
+        if not found:
             break
-        moments.step(state, [sum(g) / np.float32(n) for g in zip(*parts)])
+        moments.step(state, [sum(g) / np.float32(n) for g in zip(*found)])
     held = _each(spark, shards.where("p < 0"), state, lambda shard, st: [shard.best(st), shard.truth])
     options = [(0.0, how.thresholds[0], 0.0, 0.0)]
     for scores, truth in held:
@@ -302,26 +306,42 @@ def train(
     return Trained(model, at, precision, recall)
 
 
-def _each(spark, shards: DataFrame, state: list[np.ndarray], work) -> list[list[np.ndarray]]:
-    """``work(shard, state)`` of every shard, in the order of their numbers."""
+def _bytes(arrays: list[np.ndarray]) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, *arrays)
+    return out.getvalue()
+
+
+def _arrays(data: bytes) -> list[np.ndarray]:
+    with np.load(io.BytesIO(data)) as found:
+        return [found[name] for name in found.files]
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    """One row with the sums of a group's arrays, in the order of their partitions."""
+    total = None
+    for data in group.sort_by("p").column("out").to_pylist():
+        arrays = _arrays(data)
+        total = arrays if total is None else [a + b for a, b in zip(total, arrays)]
+    return pa.table({"p": pa.array([group.column("p")[0].as_py()], pa.int32()), "out": pa.array([_bytes(total)], pa.binary())})
+
+
+def _each(spark, shards: DataFrame, state: list[np.ndarray], work, sums: int = 0) -> list[list[np.ndarray]]:
+    """``work(shard, state)`` of every shard, in the order of their numbers; with ``sums``, the
+    sums of so many groups of shards, made on the executors."""
     current = spark.sparkContext.broadcast(state)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for data in batch.column(1).to_pylist():
-                buffer = io.BytesIO()
-                np.savez(buffer, *work(_shard(data), current.value))
-                out.append(buffer.getvalue())
+            out = [_bytes(work(_shard(data), current.value)) for data in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["p", "out"])
 
-    rows = sorted(shards.mapInArrow(run, "p int, out binary").collect(), key=lambda r: r.p)
+    done = shards.mapInArrow(run, "p int, out binary")
+    if sums > 1:
+        done = done.groupBy(F.pmod("p", F.lit(sums))).applyInArrow(_summed, "p int, out binary")
+    rows = sorted(done.collect(), key=lambda r: r.p)
     current.destroy()
-    found = []
-    for row in rows:
-        with np.load(io.BytesIO(row.out)) as arrays:
-            found.append([arrays[name] for name in arrays.files])
-    return found
+    return [_arrays(row.out) for row in rows]
 
 
 _MEMO_WORDS = 500_000
