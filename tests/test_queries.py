@@ -11,9 +11,8 @@ def test_query_against_sql(spark, data, name):
     assert_same(QUERIES[name](spark, data), SQL[name], views(data))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_query_runs(spark, data, name):
-    assert len(QUERIES[name](spark, data).toPandas()) > 0
+def test_every_core_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):
