@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexgrain.plans import covered as _covered  # noqa: F401 registers its queries
 from lexgrain.plans import pipelines as _pipelines  # noqa: F401 registers its queries
 from lexgrain.plans import planted as _planted  # noqa: F401 registers its queries
 from lexgrain.plans import queries as _q
