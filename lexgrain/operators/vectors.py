@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +49,31 @@ def hashed(units: DataFrame, unit: str, text: str) -> DataFrame:
     return sums.select(unit, "dim", (F.col("_v") / F.sqrt(F.sum(F.col("_v") * F.col("_v")).over(whole))).alias("value"))
 
 
+_DIM = 256
+
+
+@F.arrow_udf("array<double>")
+def hashed_dense(tokens: pa.Array) -> pa.Array:
+    """Column of hashing vectors (see :func:`hashed`) of lists of tokens, as whole arrays; without
+    length if the tokens cancel or there are none.  Each different token is hashed once a batch."""
+    import hashlib
+
+    import numpy as np
+
+    words = tokens.flatten().dictionary_encode() if len(tokens) else None
+    out = np.zeros((len(tokens), _DIM))
+    if words is not None and len(words):
+        digests = [hashlib.sha1(w.encode()).digest() for w in words.dictionary.to_pylist()]
+        dims = np.array([d[7] for d in digests])
+        signs = np.array([1.0 if d[6] & 1 else -1.0 for d in digests])
+        codes = words.indices.to_numpy()
+        sizes = [0 if n is None else n for n in pc.list_value_length(tokens).to_pylist()]
+        np.add.at(out, (np.repeat(np.arange(len(tokens)), sizes), dims[codes]), signs[codes])
+        out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+    ends = pa.array(np.arange(0, out.size + 1, _DIM, dtype=np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(out.reshape(-1)))
+
+
 def embed(
     units: DataFrame, unit: str, text: str, embedder: Callable[[list[str]], list[list[float]]], batch: int = 64
 ) -> DataFrame:

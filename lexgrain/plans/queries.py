@@ -585,6 +585,33 @@ def hashing_topk(spark: SparkSession, root: str) -> DataFrame:
     return _shown(_top_clauses(hashed_scores(index, _one(spark)), index.units, 5))
 
 
+S_UNIT_QUERIES = "SELECT unit_id AS query_id, text FROM units WHERE unit_id % 100 = 0"
+S_BEST_UNITS = "SELECT CAST(query_id AS BIGINT) AS query_id, unit_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM {}) WHERE rank <= 5"
+
+
+@query("bm25_units", f"WITH {s_scores(S_UNIT_QUERIES)} {S_BEST_UNITS.format('scores')}")
+def bm25_units(spark: SparkSession, root: str) -> DataFrame:
+    """Five best units for each unit whose id is divisible by 100, among all: the stated query set."""
+    asked = T.units(spark, root).where("unit_id % 100 = 0").select(F.col("unit_id").alias("query_id"), "text")
+    scored = lexical.asked(searchable(spark, root).lexical, asked, "query_id", "text")
+    return lexical.top(scored, 5).select("query_id", "unit_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    "hashing_units",
+    f"""WITH {S_HASHED}, uv AS (SELECT a.unit_id AS query_id, b.unit_id, round(sum(a.value * b.value), 6) AS score FROM hv a JOIN hv b USING (dim) WHERE a.unit_id % 100 = 0 GROUP BY 1, 2),
+    qs AS (SELECT DISTINCT unit_id AS query_id FROM hv WHERE unit_id % 100 = 0),
+    every AS (SELECT qs.query_id, u.unit_id, coalesce(uv.score, 0) AS score FROM qs CROSS JOIN units u LEFT JOIN uv ON uv.query_id = qs.query_id AND uv.unit_id = u.unit_id)
+    {S_BEST_UNITS.format("every")}""",
+)
+def hashing_units(spark: SparkSession, root: str) -> DataFrame:
+    """Five nearest units by hashing vectors for each unit whose id is divisible by 100, among all."""
+    rows = T.units(spark, root).select("unit_id", vectors.hashed_dense(X.tokens("text")).alias("vec"))
+    rows = materialise(rows)
+    asked = rows.where("unit_id % 100 = 0").where(F.exists("vec", lambda x: x != 0)).select(F.col("unit_id").alias("query_id"), "vec")
+    return vectors.rank(asked, rows, "unit_id", 5).select("query_id", "unit_id", "score", "rank")
+
+
 S_BOTH = f"""{s_scores(ONE)}, {S_HASHED.split('), hw AS', 1)[1].join(['hw AS', ''])}, {s_hashed_query(QUESTION)},
 b1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, clause_id) AS rank FROM (
     SELECT query_id, clause_id, max(score) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS r FROM scores)
