@@ -6,8 +6,12 @@ be stored, ordered by term; a search touches only the rows of its terms.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,6 +136,81 @@ def asked(index: LexicalIndex, queries: DataFrame, query: str, text: str) -> Dat
     return scores(few, queries.sparkSession.createDataFrame(known, terms.schema))
 
 
+#: Query terms (rows of query and term) that :func:`rank` keeps in every worker.
+RANKED_TERMS = 2_000_000
+#: Cells of the block of queries that a worker holds at a time.
+_CELLS = 8_000_000
+
+
+def rank(index: LexicalIndex, queries: DataFrame, query: str, text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The ``k`` best units of each query of a stated set: ``query_id``, ``unit_id``, ``score``, ``rank``.
+
+    The same scores as :func:`scores`, for many long queries: these are collected (at
+    most ``RANKED_TERMS`` terms, refused beyond) and every task holds its units against all of them,
+    in blocks, passing on its own best ``k`` only, so that no pair of a query and a unit is
+    ever a row.
+    """
+    terms = query_terms(queries, query, text, index.normaliser).join(index.terms.select("term", "idf"), "term")
+    rows = terms.select("query_id", "term", "qtf", "idf").limit(RANKED_TERMS + 1).collect()
+    if len(rows) > RANKED_TERMS:
+        raise ValueError(f"more than {RANKED_TERMS} query terms; pass the queries in parts")
+    ids = sorted({r.query_id for r in rows})
+    idf = {r.term: r.idf for r in rows}
+    place, number = {q: n for n, q in enumerate(ids)}, {t: n for n, t in enumerate(sorted(idf))}
+    told = (
+        np.array([place[r.query_id] for r in rows], np.int32),
+        np.array([number[r.term] for r in rows], np.int32),
+        np.array([float(r.qtf) for r in rows]),
+    )
+    spark = queries.sparkSession
+    shared = spark.sparkContext.broadcast((ids, told, len(number)))
+    known = spark.createDataFrame([(t, n, idf[t]) for t, n in number.items()], "term string, no int, idf double")
+    tf, dl = F.col("tf"), F.col("dl")
+    gain = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(index.mean_length or 1.0)))
+    units = index.postings.join(known, "term").groupBy("unit_id").agg(F.collect_list(F.struct("no", gain.alias("w"))).alias("ws"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, (query_no, term_no, qtf), n_terms = shared.value
+        width = max(1, min(len(names), _CELLS // max(1, n_terms)))
+        best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))  # query, score, unit
+        least = np.zeros(len(names))
+        for batch in batches:
+            unit = batch.column(0).to_numpy()
+            flat = batch.column(1)
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(flat).to_numpy())])
+            inner = flat.flatten()
+            cols, weights = inner.field(0).to_numpy(), inner.field(1).to_numpy()
+            for low in range(0, len(names), width):
+                mine = (query_no >= low) & (query_no < low + width)
+                table = np.zeros((n_terms, min(width, len(names) - low)))
+                table[term_no[mine], query_no[mine] - low] = qtf[mine]
+                for at in range(0, len(unit), 256):
+                    part = range(at, min(at + 256, len(unit)))
+                    got = np.round([weights[ends[u] : ends[u + 1]] @ table[cols[ends[u] : ends[u + 1]]] for u in part], DIGITS)
+                    u, q = np.nonzero((got > 0) & (got >= least[low : low + table.shape[1]]))
+                    if len(u):
+                        best = _best(tuple(np.concatenate(x) for x in zip(best, (q + low, got[u, q], unit[u + at]))), k, least)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.array(names, np.int64)[best[0]] if len(best[0]) else [], pa.int64()), pa.array(best[2], pa.int64()), pa.array(best[1], pa.float64())],
+            names=["query_id", "unit_id", "score"],
+        )
+
+    return top(units.mapInArrow(run, "query_id long, unit_id long, score double"), k)
+
+
+def _best(found: tuple, k: int, least: np.ndarray) -> tuple:
+    """The ``k`` best rows of each query, ties to the lower unit; ``least`` takes the scores of the last ones."""
+    query, score, unit = found
+    order = np.lexsort((unit, -score, query))
+    query, score, unit = query[order], score[order], unit[order]
+    starts = np.flatnonzero(np.diff(query, prepend=-1))
+    nth = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
+    last = nth == k - 1
+    least[query[last]] = score[last]
+    keep = nth < k
+    return query[keep], score[keep], unit[keep]
+
+
 def top(scored: DataFrame, k: int, item: str = "unit_id", by: str = "score") -> DataFrame:
     """The ``k`` best items of each query with ``rank`` from 1; ties go to the lower id."""
     best = Window.partitionBy("query_id").orderBy(F.desc(by), item)

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexgrain.functions import text as X
 
@@ -52,7 +53,7 @@ def hashed(units: DataFrame, unit: str, text: str) -> DataFrame:
 _DIM = 256
 
 
-@F.arrow_udf("array<double>")
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
 def hashed_dense(tokens: pa.Array) -> pa.Array:
     """Column of hashing vectors (see :func:`hashed`) of lists of tokens, as whole arrays; without
     length if the tokens cancel or there are none.  Each different token is hashed once a batch."""

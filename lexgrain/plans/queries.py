@@ -593,8 +593,8 @@ S_BEST_UNITS = "SELECT CAST(query_id AS BIGINT) AS query_id, unit_id, round(scor
 def bm25_units(spark: SparkSession, root: str) -> DataFrame:
     """Five best units for each unit whose id is divisible by 100, among all: the stated query set."""
     asked = T.units(spark, root).where("unit_id % 100 = 0").select(F.col("unit_id").alias("query_id"), "text")
-    scored = lexical.asked(searchable(spark, root).lexical, asked, "query_id", "text")
-    return lexical.top(scored, 5).select("query_id", "unit_id", F.round("score", 6).alias("score"), "rank")
+    found = lexical.rank(searchable(spark, root).lexical, asked, "query_id", "text", 5)
+    return found.select("query_id", "unit_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(

@@ -2,11 +2,14 @@
 
 import os
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexgrain import runtime
+from lexgrain.functions import text as X
 from lexgrain.functions.stem import with_stem
 from lexgrain.operators import agentic, lexical, parse, vectors
 from lexgrain.plans.index import Index
@@ -153,3 +156,36 @@ def test_ranking_within_a_scope(spark):
     got = vectors.rank(asked, rows, "v", 30, section="s", scope=scope).collect()
     assert {r.query_id for r in got} == {0, 1} and {r.v % 4 for r in got if r.query_id == 0} == {1, 2}
     assert sum(r.query_id == 1 for r in got) == 10
+
+
+@pytest.mark.parametrize("cells", [8_000_000, 7])
+def test_many_queries_rank_as_scores_do(spark, monkeypatch, cells):
+    monkeypatch.setattr(lexical, "_CELLS", cells)
+    rng = random.Random(2)
+    words = [f"слово{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 12)))) for i in range(400)] + [(400, None), (401, "слово1"), (402, "слово1")]
+    units = spark.createDataFrame(rows, "unit_id long, text string")
+    index = lexical.build(units, "unit_id", "text")
+    asked = spark.createDataFrame([(n, t) for n, t in rows[:30]] + [(99, "слово1 слово1 слово2"), (98, "нет такого"), (97, None)], "query_id long, text string")
+    want = lexical.top(lexical.scores(index, lexical.query_terms(asked, "query_id", "text")), 4)
+    got = lexical.rank(index, asked, "query_id", "text", 4)
+    shown = lambda df: sorted((r.query_id, r["rank"], r.unit_id, r.score) for r in df.collect())
+    assert shown(got) == shown(want)
+    assert lexical.rank(index, asked.where("false"), "query_id", "text", 4).count() == 0
+    monkeypatch.setattr(lexical, "RANKED_TERMS", 3)
+    with pytest.raises(ValueError):
+        lexical.rank(index, asked, "query_id", "text", 4)
+
+
+def test_dense_hashing_vectors(spark):
+    rows = [(1, "Совет директоров совет"), (2, ""), (3, None), (4, "25 а")]
+    df = spark.createDataFrame(rows, "u long, t string")
+    entries = {(r.u, r.dim): r.value for r in vectors.hashed(df, "u", "t").collect()}
+    for r in df.select("u", vectors.hashed_dense(X.tokens("t")).alias("v")).collect():
+        assert len(r.v) == 256
+        assert {d: x for d, x in enumerate(r.v) if x} == pytest.approx({d: x for (u, d), x in entries.items() if u == r.u})
+
+
+def test_import_needs_no_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).returncode == 0
