@@ -22,6 +22,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,12 +178,12 @@ def _encoder(key: str, data: bytes) -> PrefixEncoder:
 
 
 def _vocabulary(spark: SparkSession, path: str):
-    """The vocabulary file as a broadcast of checked size."""
+    """The vocabulary file as a broadcast of checked size, and the mark of its content."""
     with open(path, "rb") as f:
         data = f.read(VOCABULARY_BYTES + 1)
     if len(data) > VOCABULARY_BYTES:
         raise ValueError(f"{path} is larger than {VOCABULARY_BYTES} bytes")
-    return spark.sparkContext.broadcast(data)
+    return spark.sparkContext.broadcast(data), xxhash.xxh64_hexdigest(data)
 
 
 def _strings(column: pa.Array) -> list[str | None]:
@@ -198,7 +199,7 @@ def token_ids(
     ordinary text; texts of any length are encoded whole.  Other columns of the
     frame are not touched and not sent to Python.
     """
-    shared, key = _vocabulary(spark, vocabulary), vocabulary
+    shared, key = _vocabulary(spark, vocabulary)
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
@@ -216,7 +217,7 @@ def token_count(
     spark: SparkSession, text: Column | str, vocabulary: str = DEFAULT_VOCABULARY
 ) -> Column:
     """Column with the number of tokens (``int``) of a text; 0 for null and empty."""
-    shared, key = _vocabulary(spark, vocabulary), vocabulary
+    shared, key = _vocabulary(spark, vocabulary)
 
     @F.arrow_udf("int")
     def count(texts: pa.Array) -> pa.Array:
