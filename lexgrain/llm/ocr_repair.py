@@ -144,13 +144,13 @@ def _counted(counts: Counter) -> pa.RecordBatch:
 
 class Token(NamedTuple):
     """Part of a stream that reads otherwise than it stands: ``word`` for ``start .. end``,
-    where letters were misread and where lines were broken (a kept hyphen is in ``word``)."""
+    where letters were misread, and where lines were broken with what joins them there."""
 
     start: int
     end: int
     word: str
     glyphs: tuple[int, ...]
-    breaks: tuple[int, ...]
+    breaks: tuple[tuple[int, str], ...]
 
 
 _READ_AS: dict[str, list[tuple[str, str]]] = {}
@@ -244,7 +244,7 @@ def decode(stream: str, rarity: dict[str, float], costs: Costs = Costs()) -> tup
             elif prefix and c != APART:
                 push(cost + costs.hyphen, at + 1, prefix, mark, (trace, "h", at, at + 1, ""))
                 if prefix + "-" in prefixes and c != HANGING:
-                    push(cost, at + 1, prefix + "-", mark, (trace, "h", at, at + 1, ""))
+                    push(cost, at + 1, prefix + "-", mark, (trace, "h", at, at + 1, "-"))
             continue
         if prefix + c in prefixes:
             push(cost, at + 1, prefix + c, mark, trace)
@@ -272,11 +272,11 @@ def _tokens(stream: str, trace) -> list[Token]:
         elif kind == "j":
             moved = True
         elif kind == "h":
-            breaks.append(at)
+            breaks.append((at, word))
         elif kind == "k":
-            out.append(Token(at, end, word, (), (at,)))
+            out.append(Token(at, end, word, (), ((at, "-"),)))
         elif kind == "l":
-            out.append(Token(at, end, word, (), (step[4],)))
+            out.append(Token(at, end, word, (), ((step[4], ""),)))
         elif parted or moved or glyphs or breaks:
             out.append(Token(start, at, " " * parted + word, tuple(glyphs), tuple(breaks)))
     return out
@@ -628,7 +628,7 @@ class Reader:
 
 
 def _unpacked(text: str) -> list[Token]:
-    return [Token(a, b, w, tuple(g), tuple(h)) for a, b, w, g, h in json.loads(text)]
+    return [Token(a, b, w, tuple(g), tuple(map(tuple, h))) for a, b, w, g, h in json.loads(text)]
 
 
 def apply_readings(page: Page, chunks: list[Chunk | None], readings: dict[str, str], hot: dict[str, float]) -> None:
@@ -656,10 +656,10 @@ def apply_readings(page: Page, chunks: list[Chunk | None], readings: dict[str, s
                 continue
             last = end
             page.glyph.update(_place(window, at)[0] for at in token.glyphs)
-            for at in token.breaks:
+            for at, joiner in token.breaks:
                 line = _place(window, at - 1)[0]
                 page.hyphen.add(line)
-                page.joined[line] = (_place(window, at + 1)[0], "-" if "-" in token.word else "")
+                page.joined[line] = (_place(window, at + 1)[0], joiner)
             _enter(page, window, token, start, end)
     for i in lines:
         label = _LABEL.match(page.lines[i])
@@ -675,8 +675,8 @@ def _place(window: Window, at: int, ends: bool = False) -> tuple[int, int]:
 
 def _enter(page: Page, window: Window, token: Token, start: tuple[int, int], end: tuple[int, int]) -> None:
     """Repairs of the lines that a token lies on."""
-    piece = _parts_of(window.key)[0][token.start : token.end]
-    if token.word in (re.sub(f"[{_BREAKS}]", "", piece), re.sub(f"[{_BREAKS}]", "-", piece)):
+    stream, joiners = _parts_of(window.key)[0], dict(token.breaks)
+    if token.word == "".join(joiners.get(at, stream[at]) for at in range(token.start, token.end)):
         return  # only a hyphen goes or stays
     first, last = page.lines[start[0]], page.lines[end[0]]
     if start[0] == end[0]:

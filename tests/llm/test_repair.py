@@ -163,6 +163,9 @@ def test_heads_recur_or_repeat_the_title():
         ("Проект инвести циопных сделок.", "Проект инвестиционных сделок.", [(0, "glyph")]),
         ("Совет и директо\nров общества", "Совет и директоров общества", []),
         ("Совет и дирек-\nтор0в общества", "Совет и директоров общества", [(0, "hyphen"), (1, "glyph")]),
+        ("финан-\nсово-хозяйственной", "финансово-хозяйственной", [(0, "hyphen")]),
+        ("финансово-хозяй-\nственной", "финансово-хозяйственной", [(0, "hyphen")]),
+        ("финансово-\nхозяйствепной", "финансово-хозяйственной", [(0, "hyphen"), (1, "glyph")]),
         ("советдиректоров общества", "совет директоров общества", []),
         ("Проект иивестициопиых сделок", "Проект инвестиционных сделок", [(0, "glyph")]),
         ("СОВЕТ ДИРЕКТО РОВ", "СОВЕТ ДИРЕКТОРОВ", []),
