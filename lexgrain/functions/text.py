@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: White space as Unicode sees it.
 WS = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NOT_WS = WS.replace("[", "[^", 1)
+#: The same characters one by one.
+WS_CHARS = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 DIGIT = r"\p{Nd}"
 LETTER = r"[\p{L}\p{Nl}\p{No}]"
 #: Letters read for digits in numbers, and the digits.
@@ -59,6 +61,8 @@ CLAUSE_LINES_MISREAD = (
 #: A line up to its number and a bracket, for telling "1.2)" from "1.2.".
 CLOSED_BY_BRACKET = _line(rf"{WS}*", f"(?:{_BULLET})?", _BOLD, rf"(?:[0-9{_DETECT}]|{DIGIT}|[.,]|{WS})*\)")
 LEADING_ZERO = rf"(?:^|\.){WS}*0{DIGIT}"
+#: A number that needs no repair.
+CLEAN_NUMBER = rf"^(?!0{DIGIT}){DIGIT}+(?:\.(?!0{DIGIT}){DIGIT}+)*\z"
 TOKEN = r"[\p{L}\p{N}_]+"
 #: Lines of page furniture in chunking, and those that a preview skips.
 NOISE_CHUNK = rf"(?is)^{WS}*(?:---{WS}*Page{WS}+{DIGIT}+.*|Total pages:.*|<!--.*-->){WS}*$"
@@ -71,7 +75,12 @@ def _c(column: Column | str) -> Column:
 
 def strip(text: Column | str) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(_c(text), rf"^{WS}+|{WS}+$", "")
+    return F.trim(_c(text), F.lit(WS_CHARS))
+
+
+def strip_left(text: Column | str) -> Column:
+    """Without white space at the beginning."""
+    return F.ltrim(_c(text), F.lit(WS_CHARS))
 
 
 def squeeze(text: Column | str) -> Column:
@@ -96,7 +105,7 @@ def repair_number(raw: Column | str) -> Column:
     mapped = F.translate(bare, "," + GLYPHS, "." + GLYPH_DIGITS)
     dotted = F.regexp_replace(F.regexp_replace(mapped, r"\.{2,}", "."), r"^\.+|\.+$", "")
     good = raw.rlike(DIGIT) & dotted.rlike(rf"^{DIGIT}+(?:\.{DIGIT}+)*$") & ~dotted.rlike(LEADING_ZERO)
-    return F.when(good, dotted).otherwise(F.lit(""))
+    return F.when(raw.rlike(CLEAN_NUMBER), raw).when(good, dotted).otherwise(F.lit(""))
 
 
 def section_key(title: Column | str) -> Column:

@@ -137,26 +137,30 @@ def segments(docs: DataFrame, key: str, text: str, misread: bool = True) -> Data
     contents give none.  Text is the exact span without white space at its ends.
     """
     of = lines(docs, key, text)
-    heads = sections(of, key)
     ordered = Window.partitionBy(key).orderBy("line_no")
-    marks = heads.select(
-        key,
-        F.col("line_start").alias("line_no"),
-        F.struct("section_key", "line_start", "line_end", X.is_toc_title("title").alias("toc")).alias("_sec"),
-    )
-    joined = of.join(marks, [key, "line_no"], "left")
     # a section ends only where a later heading starts, so the innermost section
-    # of a line is that of the last heading
-    latest = F.last("_sec", ignorenulls=True).over(ordered)
-    placed = joined.withColumn("_in", latest).select(
+    # of a line is that of the last heading; no scopes are needed, and no join.
+    # Documents without a key have no sections
+    titled = (
+        of.withColumn("_title", F.when(F.col(key).isNotNull(), F.regexp_extract("line", X.HEADING, 2)).otherwise(""))
+        .withColumn("_head", F.col("_title") != "")
+        .withColumn("_title", F.when(F.col("_head"), X.strip("_title")))
+        .withColumn("_key", F.when(F.col("_head"), X.section_key("_title")))
+    )
+    named = titled.withColumn("_sec", F.when(F.col("_head"), F.struct("_key", X.is_toc_title("_title").alias("toc"))))
+    latest = named.withColumns(
+        {"_in": F.last("_sec", ignorenulls=True).over(ordered), "_nth": F.count(F.when(F.col("_key") == "", 1)).over(ordered)}
+    )
+    section = F.when(F.col("_in._key") == "", F.concat(F.lit("§"), "_nth")).otherwise(F.coalesce("_in._key", F.lit("")))
+    placed = latest.select(
         key,
         "line_no",
         "line",
         "start",
-        F.col("_sec").isNotNull().alias("_head"),
-        F.coalesce("_in.section_key", F.lit("")).alias("section_key"),
+        "_head",
+        section.alias("section_key"),
         F.coalesce("_in.toc", F.lit(False)).alias("_toc"),
-        F.when(F.col("_sec").isNull(), clause_number("line", misread)).otherwise("").alias("_raw"),
+        F.when(~F.col("_head"), clause_number("line", misread)).otherwise("").alias("_raw"),
     )
     number = X.repair_number("_raw")
     parts = F.split("_num", r"\.")
@@ -170,22 +174,23 @@ def segments(docs: DataFrame, key: str, text: str, misread: bool = True) -> Data
     )
     bracket = F.col("line").rlike(X.CLOSED_BY_BRACKET) & ~F.col("line").rlike(r"^[^|]*\|")
     opens = (F.col("_num") != "") & ~(bracket & ~consistent(F.col("_num"), F.col("section_key")))
-    starts = numbered.withColumn("_open", F.col("_head") | opens | (F.col("line_no") == 0)).withColumn(
-        "_id", F.sum(F.col("_open").cast("int")).over(ordered)
+    starts = numbered.withColumn("_opens", opens).withColumn(
+        "_id", F.sum((F.col("_head") | F.col("_opens") | (F.col("line_no") == 0)).cast("int")).over(ordered)
     )
-    first = F.struct("line_no", "_head", "_num", "section_key", "_toc", "start", opens.alias("_opens"))
+    first = F.struct("line_no", "_head", "_num", "section_key", "_toc", "start", "_opens")
     blocks = starts.groupBy(key, "_id").agg(
-        F.min(first).alias("f"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_lines")
+        F.min(first).alias("f"), F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_lines")
     )
     raw = F.array_join(F.transform("_lines", lambda x: x["line"]), "\n")
     cut = X.strip("_text")
-    lead = F.length("_text") - F.length(F.regexp_replace("_text", rf"^{X.WS}+", ""))
+    lead = F.length("_text") - F.length(X.strip_left("_text"))
     own = F.when(F.col("f._head"), F.col("f.section_key")).when(F.col("f._opens"), F.col("f._num")).otherwise("")
     # text before the first start belongs to no section
     section = F.when(F.col("f._head") | F.col("f._opens"), F.col("f.section_key")).otherwise("")
     return (
         blocks.where(~F.col("f._toc"))
         .withColumn("_text", raw)
+        .where(F.col("_text").rlike(X.NOT_WS))
         .select(
             key,
             F.when(X.is_numbered(own), own).when(X.is_numbered(section), section).otherwise("").alias("number"),
@@ -193,13 +198,16 @@ def segments(docs: DataFrame, key: str, text: str, misread: bool = True) -> Data
             (F.col("f.start") + lead).cast("long").alias("span_start"),
             cut.alias("text"),
         )
-        .where("text <> ''")
         .withColumn("span_end", F.col("span_start") + F.length("text"))
     )
 
 
 #: A number within a flattened table row: framed by wide gaps, a letter after it.
-_INLINE = rf"(?<={X.WS}{{2,40}})(?=(?!0\d)\p{{Nd}}+(?:\.(?!0\d)\p{{Nd}}+){{1,4}}(?:{X.WS}*[.)])?{X.WS}{{2,}}{X.LETTER})(?<!\p{{Nd}})(?<!\.)"
+#: Digits are tried first and no more than two characters are looked back at, since
+#: this is tried at every place of a text.
+_INLINE = rf"(?=\p{{Nd}})(?<={X.WS}{{2}})(?=(?!0\d)\p{{Nd}}+(?:\.(?!0\d)\p{{Nd}}+){{1,4}}(?:{X.WS}*[.)])?{X.WS}{{2,}}{X.LETTER})"
+#: What lies between such places. ``split`` would compile the pattern for each row.
+_PIECE = rf"(?s).+?(?={_INLINE}|\z)"
 
 
 def split_inline(clauses: DataFrame, key: str) -> DataFrame:
@@ -208,33 +216,41 @@ def split_inline(clauses: DataFrame, key: str) -> DataFrame:
     Only numbered clauses with table markup; a number inside splits if it is
     below the clause or beside it and is not the clause's own.
     """
-    pieces = F.split("text", _INLINE)
-    got = clauses.withColumn("_p", F.when((F.col("number") != "") & F.col("text").contains("|"), pieces).otherwise(F.array("text")))
-    exploded = got.select(key, "number", "section_key", "span_start", F.posexplode("_p").alias("_i", "_t"))
-    inner = F.regexp_extract("_t", r"^(\p{Nd}+(?:\.\p{Nd}+){1,4})", 1)
-    fits = (inner != F.col("number")) & (X.is_descendant(inner, F.col("number")) | X.is_descendant(inner, X.family("number")))
-    of = Window.partitionBy(key, "span_start").orderBy("_i")
-    parts = (
-        exploded.withColumn("_cut", (F.col("_i") == 0) | fits)
-        .withColumn("_inner", F.when((F.col("_i") > 0) & fits, inner))
-        .withColumn("_off", F.coalesce(F.sum(F.length("_t")).over(of.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_g", F.sum(F.col("_cut").cast("int")).over(of))
-    )
-    merged = parts.groupBy(key, "number", "section_key", "span_start", "_g").agg(
-        F.min("_off").alias("_off"),
-        F.max("_inner").alias("_inner"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_t"))), lambda x: x["_t"]), "").alias("_raw"),
+    number = F.col("number")
+    tabular = (number != "") & F.col("text").contains("|")
+    got = clauses.withColumn("_p", F.when(tabular, F.regexp_extract_all("text", F.lit(_PIECE), F.lit(0))).otherwise(F.array("text")))
+    inner = F.transform("_p", lambda piece: F.regexp_extract(piece, r"^(\p{Nd}+(?:\.\p{Nd}+){1,4})", 1))
+    got = got.withColumn("_n", F.when(F.size("_p") > 1, inner)).withColumn("_above", F.when(F.size("_p") > 1, X.family(number)))
+
+    def fits(i: Column) -> Column:
+        n = F.get("_n", i)
+        return (n != number) & (X.is_descendant(n, number) | X.is_descendant(n, F.col("_above")))
+
+    # a piece that doesn't split belongs to the one before
+    firsts = F.filter(F.sequence(F.lit(0), F.size("_p") - 1), lambda i: (i == 0) | fits(i))
+    cut = got.withColumn("_at", F.when(F.size("_p") > 1, firsts).otherwise(F.array(F.lit(0))))
+    joined = F.transform(
+        "_at",
+        lambda at, j: F.struct(
+            F.when(at > 0, F.get("_n", at)).alias("_inner"),
+            F.array_join(F.slice("_p", at + 1, F.coalesce(F.get("_at", j + 1), F.size("_p")) - at), "").alias("_raw"),
+        ),
     )
-    lead = F.length("_raw") - F.length(F.regexp_replace("_raw", rf"^{X.WS}+", ""))
+    parts = cut.select(key, "number", "section_key", "span_start", F.posexplode(joined).alias("_i", "_part"))
+    parts = parts.select(key, "number", "section_key", "span_start", "_i", "_part.*")
+    before = Window.partitionBy(key, "span_start").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("_off", F.coalesce(F.sum(F.length("_raw")).over(before), F.lit(0)))
+    lead = F.length("_raw") - F.length("_left")
     return (
-        merged.select(
+        placed.where(F.col("_raw").rlike(X.NOT_WS))
+        .withColumn("_left", X.strip_left("_raw"))
+        .select(
             key,
             F.coalesce("_inner", "number").alias("number"),
             "section_key",
             (F.col("span_start") + F.col("_off") + lead).cast("long").alias("span_start"),
-            X.strip("_raw").alias("text"),
+            X.strip("_left").alias("text"),
         )
-        .where("text <> ''")
         .withColumn("span_end", F.col("span_start") + F.length("text"))
     )
 

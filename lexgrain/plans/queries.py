@@ -7,7 +7,7 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexgrain.functions import text as X
@@ -197,14 +197,16 @@ def clause_segments(spark: SparkSession, root: str) -> DataFrame:
 )
 def inline_clauses(spark: SparkSession, root: str) -> DataFrame:
     """Orders as flattened table rows, taken apart again: one clause for each line."""
-    lines = table(spark, root, "lineitem")
-    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
-    numbered = lines.select(F.col("l_orderkey").alias("doc"), nth.alias("n"), F.col("l_partkey").alias("p"))
-    item = F.when(F.col("n") == 1, F.concat(F.lit("Перечень |  Товар "), "p")).otherwise(F.concat(F.lit(" Товар "), "p"))
-    cell = F.concat("doc", F.lit("."), "n", F.lit(". "), item)
-    rows = numbered.select("doc", "n", cell.alias("c")).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("n", "c"))).alias("_c"))
-    body = F.array_join(F.transform("_c", lambda x: x["c"]), "   ")
-    docs = rows.select("doc", F.concat(F.lit("## Статья "), "doc", F.lit(". Список\n"), body).alias("md_text"))
+    lines = table(spark, root, "lineitem").where("l_orderkey is not null").withColumnRenamed("l_orderkey", "doc")
+    # nothing but this groups by order: all that follows stays where it is
+    rows = lines.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("_c"))
+
+    def cell(x: Column, i: Column) -> Column:
+        item = F.when(i == 0, F.lit("Перечень |  Товар ")).otherwise(F.lit(" Товар "))
+        return F.concat("doc", F.lit("."), i + 1, F.lit(". "), item, x["l_partkey"])
+
+    body = F.array_join(F.transform("_c", cell), "   ")
+    docs = rows.select("doc", F.concat_ws("", F.lit("## Статья "), "doc", F.lit(". Список\n"), body).alias("md_text"))
     got = parse.split_inline(parse.segments(docs, "doc", "md_text"), "doc")
     return got.select("doc", "number", "text", (F.col("span_end") - F.col("span_start")).cast("long").alias("n"))
 

@@ -4,6 +4,7 @@ from itertools import pairwise
 import pytest
 from pyspark.sql import functions as F
 
+from lexgrain import registry
 from lexgrain.functions import text as X
 from lexgrain.operators import chunking, fusion, lexical, parse, toc, vectors
 
@@ -67,6 +68,39 @@ def test_inline_split(spark):
     assert got[-1].text.endswith("Чужое |")
 
 
+def test_clauses_of_many_documents_stay_where_they_are(spark):
+    of = spark.range(40).selectExpr("cast(id % 20 as int) AS doc", "id").groupBy("doc").agg(F.count("*").alias("n"))
+    md = F.concat(F.lit("## Вводная\n1.1. Первое |  a  1.2  Второе  9.9  Чужое  1.3  Третье\n## Прочее\nтекст\n# Статья 2. Срок "), "doc")
+    got = parse.split_inline(parse.segments(of.select("doc", md.alias("md")), "doc", "md"), "doc")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # no scopes by document in Python, no join of lines and headings, one exchange
+    assert "InArrow" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    rows = got.orderBy("doc", "span_start").collect()
+    assert [(r.number, r.section_key) for r in rows] == [("", "§1"), ("1.1", "§1"), ("1.2", "§1"), ("1.3", "§1"), ("", "§2"), ("2", "2")] * 20
+    assert rows[2].text == "1.2  Второе  9.9  Чужое" and rows[2].span_end - rows[2].span_start == len(rows[2].text)
+
+
+def test_inline_clauses_by_order(spark, tmp_path):
+    rows = [(7, 2, 30), (7, 1, 9), (7, 2, 4), (10, 1, 5)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = registry.queries()["inline_clauses"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert {(r.doc, r.number, r.text) for r in df.collect()} == {
+        (7, "7", "## Статья 7. Список"), (7, "7.1", "7.1. Перечень |  Товар 9"), (7, "7.2", "7.2.  Товар 4"), (7, "7.3", "7.3.  Товар 30"),
+        (10, "10", "## Статья 10. Список"), (10, "10.1", "10.1. Перечень |  Товар 5"),
+    }
+
+
+def test_white_space_one_by_one_is_the_class(spark):
+    chars = spark.createDataFrame([(chr(i),) for i in range(0x10000) if not 0xD800 <= i < 0xE000], "c string")
+    assert {r.c for r in chars.where(F.col("c").rlike(X.WS)).collect()} == set(X.WS_CHARS)
+    odd = ["", " ", "\n\u2028", "a", "\u3000 а б\x85\r\n", "\u200bx\u200b", "x \n", "\n"]
+    d = spark.createDataFrame([(t,) for t in odd], "t string")
+    by_pattern = F.regexp_replace("t", rf"^{X.WS}+|{X.WS}+$", "")
+    assert all(r.a == r.b for r in d.select(X.strip("t").alias("a"), by_pattern.alias("b")).collect())
+
+
 @pytest.mark.parametrize("texts", [(), (None,), ("",), (" \n\n ",), ("просто текст\nбез заголовков",)])
 def test_texts_without_structure(spark, texts):
     d = spark.createDataFrame(list(enumerate(texts)), "doc int, md string")
